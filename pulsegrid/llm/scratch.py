@@ -8,6 +8,7 @@ session names no such folder (tests on one machine) is a local one made.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -38,8 +39,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(*tables: DataFrame) -> None:
-    """Removes tables made by ``written`` that no later plan reads."""
+    """Removes tables made by ``written`` that no later plan reads, and the shuffle files of plans that are done."""
+    if tables:
+        free(tables[0].sparkSession)
     for df in tables:
         path = getattr(df, "_pulsegrid_path", None)
         if path:

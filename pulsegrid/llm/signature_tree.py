@@ -17,7 +17,11 @@ Nodes of the join are distinct texts.  Two texts link when
    traversal drops node pairs whose largest possible overlap is too small, and
    those inside one component; at the leaves, pairs are held to their own bitmaps.
    Large groups are dealt to tasks in pairs of blocks.
-5. Surviving pairs are checked on the whole sets, streaming per left text.
+5. Surviving pairs are checked on the whole sets, streaming per left text.  In a
+   group of many alike texts nearly all pairs survive, but most links only repeat
+   what others say.  So a round takes each text's likeliest ``FIRST`` pairs; what
+   they link becomes one component, and the next round, with eight times as many,
+   looks at pairs between components only.  The rounds end when none was put off.
 
 Every link between different components is found: steps 3 to 5 lose nothing, and
 step 2 only merges what is linked.  Hashes of 64 bits stand for shingles.
@@ -34,14 +38,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .scratch import drop, written
+from .scratch import drop, free, written
 from .textkernel import U64, Words, shingle_sets, slices
 
 SKETCH_BITS = 20
 _CHUNK = 4096  # counters in a row of the sketch
 LEAF, BLOCK = 16, 1024
+FIRST = 8
 #: Rows (of two longs or so) up to which a lookup table is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Ids (one long each) up to which a semi-join is by broadcast.
+BROADCAST_IDS = 2_000_000
 
 
 def lookup(df: DataFrame, rows: int) -> DataFrame:
@@ -76,7 +83,7 @@ def fold(sig: np.ndarray, words: int) -> np.ndarray:
 class Node:
     """A node over members lo..hi of a group that is sorted by size."""
 
-    __slots__ = ("lo", "hi", "least", "most", "any", "all", "kids", "comp")
+    __slots__ = ("lo", "hi", "least", "most", "any", "all", "kids", "comp", "rows")
 
     def __init__(self, lo, hi, sizes, sigs, comps):
         self.lo, self.hi = lo, hi
@@ -86,7 +93,7 @@ class Node:
         if hi - lo <= LEAF:
             self.kids = ()
             words = min(len(s) for s in sigs[lo:hi])
-            rows = np.stack([fold(s, words) for s in sigs[lo:hi]])
+            self.rows = rows = np.stack([fold(s, words) for s in sigs[lo:hi]])
             self.any, self.all = np.bitwise_or.reduce(rows, 0), np.bitwise_and.reduce(rows, 0)
         else:
             mid = (lo + hi) // 2
@@ -107,42 +114,27 @@ def _apart(x: Node, y: Node, num: int, den: int) -> bool:
     return x.most - int(np.bitwise_count(fold(x.all, words) & ~ya).sum()) < least or y.most - int(np.bitwise_count(fold(y.all, words) & ~xa).sum()) < least
 
 
-def leaf_pairs(i: np.ndarray, j: np.ndarray, sizes, sigs, num: int, den: int) -> np.ndarray:
-    """Marks of the pairs whose largest possible overlap, by size and bitmaps, suffices."""
-    a, b = sizes[i], sizes[j]
-    ok = den * np.minimum(a, b) >= num * np.maximum(a, b)
-    for k in np.flatnonzero(ok):
-        s, t = sigs[i[k]], sigs[j[k]]
-        words = min(len(s), len(t))
-        s, t = fold(s, words), fold(t, words)
-        least = -(-num * int(a[k] + b[k]) // (num + den))
-        if a[k] - int(np.bitwise_count(s & ~t).sum()) < least or b[k] - int(np.bitwise_count(t & ~s).sum()) < least:
-            ok[k] = False
-    return ok
+def leaf_pairs(x: Node, y: Node, sizes, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of two leaves whose largest possible overlap, by sizes and bitmaps, suffices, and how alike their bitmaps are."""
+    words = min(x.rows.shape[1], y.rows.shape[1])
+    s, t = fold(x.rows, words)[:, None, :], fold(y.rows, words)[None, :, :]
+    a, b = sizes[x.lo : x.hi, None], sizes[None, y.lo : y.hi]
+    both, own_s, own_t = (np.bitwise_count(v).sum(-1, dtype=np.int64) for v in (s & t, s & ~t, t & ~s))
+    least = -(-num * (a + b) // (num + den))
+    ok = (den * np.minimum(a, b) >= num * np.maximum(a, b)) & (a - own_s >= least) & (b - own_t >= least)
+    i, j = np.nonzero(ok)
+    if x is y:
+        i, j = i[i < j], j[i < j]
+    return i + x.lo, j + y.lo, both[i, j] / np.maximum(1, both[i, j] + own_s[i, j] + own_t[i, j])
 
 
-def candidates(sizes: np.ndarray, sigs: list[np.ndarray], comps: np.ndarray, left: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one group (sorted by size) that may link and lie in different components.
+def candidates(sizes: np.ndarray, sigs: list[np.ndarray], comps: np.ndarray, left: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of one group (sorted by size) that may link and lie in different components, with their likeness.
 
     ``left`` marks members of the left block: where both blocks differ, only pairs across them are wanted.
     """
-    n = len(sizes)
     across = left.any() and not left.all()
-
-    def leaves(i, j):
-        keep = comps[i] != comps[j]
-        if across:
-            keep &= left[i] != left[j]
-        i, j = i[keep], j[keep]
-        if len(i):
-            ok = leaf_pairs(i, j, sizes, sigs, num, den)
-            if ok.any():
-                yield i[ok], j[ok]
-
-    if n <= LEAF:
-        yield from leaves(*np.triu_indices(n, 1))
-        return
-    root = Node(0, n, sizes, sigs, comps)
+    root = Node(0, len(sizes), sizes, sigs, comps)
     stack = [(root, root)]
     while stack:
         x, y = stack.pop()
@@ -151,11 +143,12 @@ def candidates(sizes: np.ndarray, sigs: list[np.ndarray], comps: np.ndarray, lef
         if x is not y and _apart(x, y, num, den):
             continue
         if not x.kids and not y.kids:
-            i, j = np.meshgrid(np.arange(x.lo, x.hi), np.arange(y.lo, y.hi), indexing="ij")
-            i, j = i.ravel(), j.ravel()
-            if x is y:
-                i, j = i[i < j], j[i < j]
-            yield from leaves(i, j)
+            i, j, like = leaf_pairs(x, y, sizes, num, den)
+            keep = comps[i] != comps[j]
+            if across:
+                keep &= left[i] != left[j]
+            if keep.any():
+                yield i[keep], j[keep], like[keep]
         elif x is y:
             p, q = x.kids
             stack += [(p, p), (q, q), (p, q)]
@@ -165,6 +158,16 @@ def candidates(sizes: np.ndarray, sigs: list[np.ndarray], comps: np.ndarray, lef
             stack += [(x, k) for k in y.kids]
 
 
+def likeliest(i: np.ndarray, j: np.ndarray, like: np.ndarray, limit: int) -> np.ndarray:
+    """Marks of the pairs that are among the ``limit`` likeliest of either member."""
+    keep = np.zeros(len(i), bool)
+    for own in (i, j):
+        order = np.lexsort((j, i, -like, own))
+        start = np.searchsorted(own[order], own[order])
+        keep[order[np.arange(len(own)) - start < limit]] = True
+    return keep
+
+
 # ---------------------------------------------------------------- stages
 
 
@@ -221,11 +224,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
     pairs = written(pairs.distinct(), "pairs")
     n = pairs.count()
     per = pairs.groupBy("a").agg(F.ceil(F.count("*") / 512).alias("ways"))
-    salted = pairs.join(lookup(per, n), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("ways")).alias("salt"))
+    salted = written(pairs.join(lookup(per, n), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("ways")).alias("salt")), "salted")
     right = salted.select("a", "salt", F.col("b").alias("nid"), F.lit(1).alias("side"))
     lefts = salted.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("nid"), F.lit(0).alias("side"))
     wanted = right.unionByName(lefts)
-    joined = texts.select("nid", "text").join(lookup(wanted, 2 * n), "nid")
+    ids = written(wanted.select("nid").distinct(), "ids")
+    few = ids.count()
+    own = texts.select("nid", "text").join(F.broadcast(ids) if few <= BROADCAST_IDS else ids, "nid", "left_semi")
+    joined = own.join(lookup(wanted, 2 * n), "nid")
     dealt = joined.repartition("a", "salt").sortWithinPartitions("a", "salt", "side", "nid")
 
     def run(batches):
@@ -247,7 +253,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
             yield pa.RecordBatch.from_arrays([pa.array(a[take], pa.int64()), pa.array(nid[take], pa.int64())], names=["a", "b"])
 
     out = written(dealt.mapInArrow(run, "a bigint, b bigint"), "links")
-    drop(pairs)
+    drop(pairs, salted, ids)
     return out
 
 
@@ -258,7 +264,7 @@ def _stars(nodes: DataFrame) -> DataFrame:
 
 
 def _prefix_groups(nodes: DataFrame, comps: DataFrame, n_comps: int, heat: np.ndarray, size: int, num: int, den: int) -> DataFrame:
-    """(key, nid, component) of the prefix groups that hold two components or more."""
+    """(key, nid, n) of the prefix groups that hold two components or more, less those texts that no other suits in size."""
 
     def run(batches):
         for part, buf, off in slices(batches, "text"):
@@ -270,37 +276,51 @@ def _prefix_groups(nodes: DataFrame, comps: DataFrame, n_comps: int, heat: np.nd
             rank = np.arange(len(vals)) - first[:-1][rows]
             keep = rank < (counts - need(counts, num, den) + 1)[rows]
             at = order[keep]  # rows are contiguous in the order, so ranks hold for it
-            yield pa.RecordBatch.from_arrays([pa.array(vals[at].astype(np.int64)), pa.array(nid[rows[keep]], pa.int64())], names=["key", "nid"])
-
-    keys = nodes.where("n > 0").select("nid", "text").mapInArrow(run, "key bigint, nid bigint")
-    tagged = keys.join(lookup(comps, n_comps), F.col("nid") == F.col("node"), "left").select("key", "nid", F.coalesce("component", "nid").alias("component"))
-    w = Window.partitionBy("key")
-    return tagged.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo <> hi").select("key", "nid", "component")
-
-
-def _tree_pairs(groups: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    groups = written(groups, "groups")
-    own = nodes.where("n > 0").select("nid", "n", "sig")
-    known = groups.join(own, "nid")
-    w = Window.partitionBy("key")
-    placed = known.withColumn("block", F.floor((F.row_number().over(w.orderBy("n", "nid")) - 1) / BLOCK)).withColumn("last", F.max("block").over(w.orderBy("n", "nid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+            own = rows[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(vals[at].astype(np.int64)), pa.array(nid[own], pa.int64()), pa.array(counts[own], pa.int64())], names=["key", "nid", "n"])
+
+    keys = nodes.where("n > 0").select("nid", "text").mapInArrow(run, "key bigint, nid bigint, n bigint")
+    tagged = keys.join(lookup(comps, n_comps), F.col("nid") == F.col("node"), "left").select("key", "nid", "n", F.coalesce("component", "nid").alias("component"))
+    by_size = Window.partitionBy("key").orderBy("n", "nid")
+    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    mixed = tagged.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size)).where("lo <> hi")
+    # of all sizes in the group, the next ones are the nearest: where neither suits, none does
+    return mixed.where(f"coalesce({den} * less >= {num} * n, false) or coalesce({den} * n >= {num} * more, false)").select("key", "nid", "n")
+
+
+def _tree_pairs(groups: DataFrame, comps: DataFrame, n_comps: int, nodes: DataFrame, num: int, den: int, limit: int) -> DataFrame:
+    """(a, b) of the likeliest pairs between components, written; rows with a null name the groups (b: key) where pairs were put off."""
+    by_size = Window.partitionBy("key").orderBy("n", "nid")
+    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tagged = groups.join(lookup(comps, n_comps), F.col("nid") == F.col("node"), "left").select("key", "nid", "n", F.coalesce("component", "nid").alias("component"))
+    mixed = tagged.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).where("lo <> hi")
+    placed = mixed.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK)).withColumn("last", F.max("block").over(whole))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    paired = paired.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nid", "component", "n", "sig", (F.col("block") <= F.col("other")).alias("left"))
+    paired = paired.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nid", "component", "n", (F.col("block") <= F.col("other")).alias("left"))
+    paired = paired.join(nodes.where("n > 0").select("nid", "sig"), "nid")
     dealt = paired.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "nid")
 
-    def solve(rows):
+    def solve(key, rows):
         nid, comp, n, sig, left = rows
+        if (comp == comp[0]).all():
+            return
         order = np.argsort(n, kind="stable")
         nid, comp, n, left = nid[order], comp[order], n[order], left[order]
-        sigs = [np.frombuffer(sig[k], U64) for k in order]
-        for i, j in candidates(n, sigs, comp, left, num, den):
-            yield np.minimum(nid[i], nid[j]), np.maximum(nid[i], nid[j])
+        found = list(candidates(n, [np.frombuffer(sig[k], U64) for k in order], comp, left, num, den))
+        if found:
+            i, j, like = (np.concatenate(x) for x in zip(*found, strict=True))
+            keep = likeliest(i, j, like, limit)
+            yield np.minimum(nid[i[keep]], nid[j[keep]]), np.maximum(nid[i[keep]], nid[j[keep]]), [] if keep.all() else [key]
 
     def run(batches):
         def out(found):
             a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
             b = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            late = [k for f in found for k in f[2]]
+            a, b = pa.array(a, pa.int64()), pa.array(b, pa.int64())
+            if late:
+                a, b = pa.concat_arrays([a, pa.nulls(len(late), pa.int64())]), pa.concat_arrays([b, pa.array(late, pa.int64())])
+            return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
         held, key = [], None  # at most two blocks of rows
         for b in batches:
@@ -313,15 +333,43 @@ def _tree_pairs(groups: DataFrame, nodes: DataFrame, num: int, den: int) -> Data
             for lo, hi in zip([0, *cut], [*cut, b.num_rows], strict=True):
                 mine = tuple(k[:, lo])
                 if held and mine != key:
-                    found += solve([np.concatenate(x) for x in zip(*held, strict=True)])
+                    found += solve(int(key[0]), [np.concatenate(x) for x in zip(*held, strict=True)])
                     held = []
                 key = mine
                 held.append([c[lo:hi] for c in cols])
             yield out(found)
         if held:
-            yield out(list(solve([np.concatenate(x) for x in zip(*held, strict=True)])))
+            yield out(list(solve(int(key[0]), [np.concatenate(x) for x in zip(*held, strict=True)])))
+
+    return written(dealt.mapInArrow(run, "a bigint, b bigint"), "candidates")
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+def _between(links: DataFrame, comps: DataFrame, n_comps: int, nodes: DataFrame, heat: np.ndarray, size: int, num: int, den: int) -> tuple[DataFrame, int]:
+    """Components after all links between the stars' components, round by round."""
+    texts = nodes.where("n > 0")
+    groups = written(_prefix_groups(nodes, comps, n_comps, heat, size, num, den), "groups")
+    free(nodes.sparkSession)
+    limit, failed, found = FIRST, None, links
+    while True:
+        got = _tree_pairs(groups, comps, n_comps, nodes, num, den, limit)
+        late = got.where("a is null").select(F.col("b").alias("key")).distinct()
+        n_late = late.count()
+        pairs = got.where("a is not null").distinct()
+        if failed is not None:
+            pairs = pairs.join(failed, ["a", "b"], "left_anti")
+        pairs = written(pairs, "untried")
+        linked = _verified(pairs, texts, size, num, den)
+        if not linked.isEmpty():
+            found = found.unionByName(linked)
+            comps = written(components(found), "comps")
+            n_comps = comps.count()
+        if not n_late:
+            return comps, n_comps
+        wrong = pairs.join(linked, ["a", "b"], "left_anti")
+        failed = written(wrong if failed is None else failed.unionByName(wrong), "failed")
+        groups = written(groups.join(lookup(late, n_late), "key", "left_semi"), "groups")
+        drop(got, pairs)
+        limit *= 8
 
 
 def jaccard_classes(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -331,23 +379,21 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, num: int = 4, den: int =
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("tk"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     nodes = _nodes(rows.groupBy("tk").agg(F.min("text").alias("text")), shingle)
+    free(docs.sparkSession)
     heat = _heat(nodes)
     texts = nodes.where("n > 0")
 
     links = _verified(_stars(nodes), texts, shingle, num, den)
     comps = written(components(links), "comps")
     n_comps = comps.count()
-    more = _verified(_tree_pairs(_prefix_groups(nodes, comps, n_comps, heat, shingle, num, den), nodes, num, den), texts, shingle, num, den)
-    if not more.isEmpty():
-        comps = written(components(links.unionByName(more)), "comps")
-        n_comps = comps.count()
+    comps, n_comps = _between(links, comps, n_comps, nodes, heat, shingle, num, den)
 
     known = texts.select("tk", "nid", "n").join(lookup(comps, n_comps), F.col("nid") == F.col("node"), "left").select("tk", "n", F.coalesce("component", "nid").alias("component"))
     least = rows.groupBy("tk").agg(F.min("doc_id").alias("own"))
     named = known.join(least, "tk")
     ids = named.groupBy("component").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "tk")).alias("first"))
     out = written(named.join(ids, "component").select("tk", F.col("n").alias("n_shingles"), F.col("first.own").alias("component_id"), F.col("first.tk").alias("first_tk")), "classes")
-    drop(nodes, links, more)
+    drop(nodes, links)
     return out
 
 

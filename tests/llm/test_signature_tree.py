@@ -70,7 +70,7 @@ def test_tree_loses_no_pair():
     n = np.array([len(s) for s in sets])
     sigs = [np.frombuffer(S.signature(s), np.uint64) for s in sets]
     found = set()
-    for i, j in S.candidates(n, sigs, np.arange(len(n)), np.ones(len(n), bool), 85, 100):
+    for i, j, _ in S.candidates(n, sigs, np.arange(len(n)), np.ones(len(n), bool), 85, 100):
         found |= set(zip(i.tolist(), j.tolist(), strict=True))
     want = {(i, j) for i in range(len(n)) for j in range(i + 1, len(n)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
     assert want <= found and len(found) < len(n) * (len(n) - 1) // 4
@@ -78,6 +78,7 @@ def test_tree_loses_no_pair():
 
 def test_blocks_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 8)
+    monkeypatch.setattr(S, "FIRST", 1)
     rows = corpus(9, 90)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted([tuple(r) for r in S.jaccard_components(df, 4, 85, 100).collect()], key=str) == brute(rows, 4, 85, 100)
