@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .labels import lowest
+
 # Names of elements and of the classes, ids and roles that mark boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe svg xmp".split())
@@ -244,7 +246,10 @@ def extract(page: str | None, weights: Weights) -> tuple[str, tuple[int, int]]:
 def fit(pages: DataFrame, page: str = "html", sample: int = 300, max_chars: int = 100_000) -> Weights:
     """Weights from at most ``sample`` labelled pages, chosen by hash among those of at most ``max_chars``."""
     marked = pages.select(F.col(page).alias("html")).where((F.length("html") <= max_chars) & F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
-    rows = marked.withColumn("h", F.xxhash64("html")).select("h", "html").orderBy("h").limit(sample).collect()
+    # hashes first, so that no more pages move than are learned from
+    hashed = marked.select(F.xxhash64("html").alias("h"), "html")
+    some = lowest(hashed.select("h").distinct(), F.col("h"), sample)
+    rows = hashed.join(F.broadcast(some), "h").groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()
     return learn([r["html"] for r in rows])
 
 

@@ -12,6 +12,19 @@ def held_out(doc_id: str | Column, mod: int, remainder: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(c.cast("string")), F.lit(mod)) == remainder, F.lit(True))
 
 
+def lowest(df: DataFrame, key: Column, k: int) -> DataFrame:
+    """The ``k`` rows of the lowest hash of ``key``.
+
+    Rows that cannot be among them go before the sort, by the share that k is of all,
+    so that no task or driver sees k rows of every partition.
+    """
+    n = df.count()
+    rows = df.withColumn("_hash", F.xxhash64(key))
+    if n > 4 * k:
+        rows = rows.where(F.col("_hash") < int(-(2**63) + 2**64 * (2 * k / n)))
+    return rows.orderBy("_hash", key).limit(k).drop("_hash")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, mod: int, remainder: int, per_class: int, max_chars: int) -> list[tuple[str, int]]:
     """At most ``per_class`` distinct (text, label) pairs of each label, chosen by hash, from rows that are not held out.
 
@@ -24,7 +37,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, mod: int, r
     for label in (0, 1):
         ids = y.where(F.col("_y") == label)
         # the ids are chosen before texts move: twice as many as asked for, as copies are dropped afterwards
-        some = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class)
+        some = lowest(ids, F.col("doc_id"), 2 * per_class)
         rows = own.join(F.broadcast(some), "doc_id").select("text").groupBy(F.xxhash64("text").alias("_h")).agg(F.min("text").alias("text")).orderBy("_h").limit(per_class).collect()
         picked += [(r["text"], label) for r in rows]
     return picked

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .labels import lowest
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -185,7 +187,7 @@ class Model:
 def fit(labelled: DataFrame, sample: int = 20_000, bins: int = 16) -> Model:
     """Trees from rows with lexical features and ``label`` (1: block)."""
     cols = FEATURES[: len(FEATURES) - len(SUFFIXES)]
-    some = labelled.orderBy(F.xxhash64("url"), "url").limit(sample).select(*cols, *SUFFIXES.values(), "label")
+    some = lowest(labelled, F.col("url"), sample).select(*cols, *SUFFIXES.values(), "label")
     rows = [tuple(r) for r in some.groupBy(*cols, *SUFFIXES.values(), "label").agg(F.count("*").cast("double").alias("n")).collect()]  # at most `sample` rows
     n, pos = sum(r[-1] for r in rows), sum(r[-1] for r in rows if r[-2])
     default = math.log((pos + 0.5) / (n - pos + 0.5))
