@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labels import held_out
+from .labels import held_out, lowest
 from .scratch import drop, written
 from .textkernel import LOWER, U64, Words, bytes_of, slices
 
@@ -105,25 +105,30 @@ class Lattice:
             out.append((s, s + 1, np.arange(len(rows)), len(self.pieces) + rows[:, s].astype(np.int64)))
         return out
 
-    def _solve(self, rows: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
-        n, arcs = rows.shape[1], self._arcs(rows)
-        go = math.log1p(-math.exp(self.stop))
-        alpha = np.full((n + 1, len(rows)), -np.inf)
+    @staticmethod
+    def _expect(arcs, n: int, m: int, logp: np.ndarray, go: float, counts: np.ndarray) -> None:
+        """Adds the expected piece counts of m words of n bytes."""
+        alpha, beta = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
+        alpha[0], beta[n] = 0, 0
+        lps = [logp[k] + go for _, _, _, k in arcs]
+        for (s, e, r, _), lp in zip(arcs, lps, strict=True):  # ordered by start: alpha[s] is final when its arcs come
+            alpha[e, r] = np.logaddexp(alpha[e, r], alpha[s, r] + lp)
+        for (s, e, r, _), lp in zip(reversed(arcs), reversed(lps), strict=True):
+            beta[s, r] = np.logaddexp(beta[s, r], beta[e, r] + lp)
+        w = [np.exp(alpha[s, r] + lp + beta[e, r] - alpha[n, r]) for (s, e, r, _), lp in zip(arcs, lps, strict=True)]
+        counts += np.bincount(np.concatenate([k for _, _, _, k in arcs]), weights=np.concatenate(w), minlength=len(counts))
+
+    @staticmethod
+    def _marginals(arcs, n: int, m: int, logp: np.ndarray, go: np.ndarray) -> np.ndarray:
+        """Log sums over all segmentations, a row per weighting (``logp``: weightings by pieces)."""
+        alpha = np.full((n + 1, len(logp), m), -np.inf)
         alpha[0] = 0
-        for s, e, r, k in arcs:  # ordered by start: alpha[s] is final when its arcs come
-            alpha[e, r] = np.logaddexp(alpha[e, r], alpha[s, r] + self.logp[k] + go)
-        if counts is not None:
-            beta = np.full((n + 1, len(rows)), -np.inf)
-            beta[n] = 0
-            for s, e, r, k in reversed(arcs):
-                beta[s, r] = np.logaddexp(beta[s, r], beta[e, r] + self.logp[k] + go)
-            for s, e, r, k in arcs:
-                w = np.exp(alpha[s, r] + self.logp[k] + go + beta[e, r] - alpha[n, r])
-                counts += np.bincount(k, weights=w, minlength=len(counts))
-        return alpha[n] + self.stop - go
-
-    def _long(self, word: bytes, counts: np.ndarray | None) -> float:
-        n, go = len(word), math.log1p(-math.exp(self.stop))
+        for s, e, r, k in arcs:
+            alpha[e][:, r] = np.logaddexp(alpha[e][:, r], alpha[s][:, r] + (logp[:, k] + go[:, None]))
+        return alpha[n]
+
+    def _long(self, word: bytes, lp: np.ndarray, stop: float, counts: np.ndarray | None) -> float:
+        n, go = len(word), math.log1p(-math.exp(stop))
         arcs = []
         for s in range(n):
             for size in self.by_len:
@@ -137,7 +142,7 @@ class Lattice:
                 x, y = y, x
             return x if y == -math.inf else x + math.log1p(math.exp(y - x))
 
-        alpha, lp = [-math.inf] * (n + 1), self.logp
+        alpha = [-math.inf] * (n + 1)
         alpha[0] = 0.0
         for s, e, k in arcs:
             alpha[e] = add(alpha[e], alpha[s] + float(lp[k]) + go)
@@ -148,25 +153,65 @@ class Lattice:
                 beta[s] = add(beta[s], beta[e] + float(lp[k]) + go)
             for s, e, k in arcs:
                 counts[k] += math.exp(alpha[s] + float(lp[k]) + go + beta[e] - alpha[n])
-        return alpha[n] + self.stop - go
+        return alpha[n] + stop - go
 
-    def log_marginals(self, words: list[bytes], counts: np.ndarray | None = None) -> np.ndarray:
-        """Natural log of each word's marginal probability; expected piece counts are added to ``counts``."""
-        out = np.empty(len(words))
+    def _groups(self, words: list[bytes]):
+        """Words of one length at a time, as (their numbers, bytes with the mark, arcs); long ones singly, without arcs."""
         groups: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             groups.setdefault(len(w), []).append(i)
         for n, ids in groups.items():
             if n >= LONG:
-                for i in ids:
-                    out[i] = self._long(MARK + words[i], counts)
+                yield from ((np.array([i]), MARK + words[i], None) for i in ids)
                 continue
             for lo in range(0, len(ids), 8192):
                 some = ids[lo : lo + 8192]
                 rows = np.frombuffer(b"".join(MARK + words[i] for i in some), np.uint8).reshape(len(some), n + len(MARK))
-                out[some] = self._solve(rows, counts)
+                yield np.array(some), rows, self._arcs(rows)
+
+    def log_marginals(self, words: list[bytes], weights: list[tuple[np.ndarray, float]] | None = None) -> np.ndarray:
+        """Natural log of each word's marginal probability, a row per weighting (log weights, stop); the lattice is matched once for all."""
+        weights = weights or [(self.logp, self.stop)]
+        logp, stop = np.stack([w for w, _ in weights]), np.array([s for _, s in weights])
+        go = np.log1p(-np.exp(stop))
+        out = np.empty((len(weights), len(words)))
+        for ids, rows, arcs in self._groups(words):
+            if arcs is None:
+                out[:, ids[0]] = [self._long(rows, w, s, None) for w, s in weights]
+            else:
+                out[:, ids] = self._marginals(arcs, rows.shape[1], len(ids), logp, go) + (stop - go)[:, None]
         return out
 
+    def expected(self, words: list[bytes], weights: list[tuple[np.ndarray, float]], use: np.ndarray, counts: np.ndarray) -> None:
+        """Adds to each weighting's row of ``counts`` the expected pieces of the words that its row of ``use`` marks."""
+        for ids, rows, arcs in self._groups(words):
+            for j, (logp, stop) in enumerate(weights):
+                mine = use[j, ids]
+                if not mine.any():
+                    continue
+                if arcs is None:
+                    self._long(rows, logp, stop, counts[j])
+                    continue
+                place = np.cumsum(mine) - 1
+                own = []
+                for s, e, r, k in arcs:
+                    keep = mine[r]
+                    own.append((s, e, place[r[keep]], k[keep]))
+                self._expect(own, rows.shape[1], int(mine.sum()), logp, math.log1p(-math.exp(stop)), counts[j])
+
+
+def gathered(batches, rows: int = 100_000):
+    """Batches joined to larger ones, which numpy needs for short words."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
 
 # ---------------------------------------------------------------- classes
 
@@ -265,13 +310,11 @@ def adapt(first: Lattice, words: DataFrame, classes: int, rounds: int) -> list[L
             pieces, weights = shared.value
             lat = Lattice(pieces, *weights[0])
             counts, types = np.zeros((classes, len(lat.logp))), np.zeros(classes)
-            for b in batches:
+            for b in gathered(batches):
                 own = [w.encode() for w in b.column("word").to_pylist()]
-                for k in range(classes):
-                    lat.logp, lat.stop = weights[k]
-                    some = [own[i] for i in np.flatnonzero(b.column(f"c{k}").to_numpy())]
-                    types[k] += len(some)
-                    lat.log_marginals(some, counts[k])
+                use = np.stack([b.column(f"c{k}").to_numpy() > 0 for k in range(classes)])
+                types += use.sum(1)
+                lat.expected(own, weights, use, counts)
             k, at = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((k, np.arange(classes)))), pa.array(np.concatenate((at, np.full(classes, -1)))), pa.array(np.concatenate((counts[k, at], types)))], names=["k", "piece", "n"])
 
@@ -301,7 +344,7 @@ def lattice_scores(
     spark = docs.sparkSession
     src = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id, mod, remainder).alias("held_out"), F.col(text).alias("text")).withColumn("train", ~F.col("held_out"))
     picked = src.where(F.col("train") & (F.length("text") <= CLASS_CHARS)).select("doc_id", "text")
-    picked = picked.join(F.broadcast(picked.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CLASS_DOCS)), "doc_id", "left_semi").select("text").limit(2 * CLASS_DOCS).collect()
+    picked = picked.join(F.broadcast(lowest(picked.select("doc_id"), F.col("doc_id"), CLASS_DOCS)), "doc_id", "left_semi").select("text").limit(2 * CLASS_DOCS).collect()
     model = fit_classes([w.hashes() for w in (Words(*bytes_of(pa.array([r["text"]], pa.string()))) for r in picked)], classes)
     cs = [f"c{k}" for k in range(classes)]
     vocab = written(word_counts(src, model, classes), "words")
@@ -324,14 +367,13 @@ def lattice_scores(
     def score(batches):
         pieces, weights = shared.value
         lat = Lattice(pieces, *weights[0])
-        for b in batches:
+        for b in gathered(batches):
             own = [w.encode() for w in b.column("word").to_pylist()]
-            cols, total = [], np.zeros(len(own))
+            cols, total, lows = [], np.zeros(len(own)), lat.log_marginals(own, weights)
             for k in range(classes):
                 c = b.column(f"c{k}").to_numpy().astype(float)
                 total += c
-                lat.logp, lat.stop = weights[k]
-                low = lat.log_marginals(own)
+                low = lows[k]
                 if n_k[k]:
                     with np.errstate(divide="ignore"):
                         low = np.logaddexp(np.log(np.maximum(c - discount[k], 0)), math.log(discount[k] * t_k[k]) + low) - math.log(n_k[k])

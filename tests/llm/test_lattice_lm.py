@@ -42,8 +42,19 @@ def test_marginal_and_expectation_equal_enumeration(monkeypatch, long):
     monkeypatch.setattr(M, "LONG", long)
     lat = toy()
     words = [b"a", b"ab", b"abab", b"b\xc3\xa9a", b"xx", b"aba"]
-    counts = np.zeros(len(lat.logp))
-    got = lat.log_marginals(words, counts)
+    other = (np.roll(lat.logp, 3), math.log(0.3))
+    counts = np.zeros((2, len(lat.logp)))
+    both = lat.log_marginals(words, [(lat.logp, lat.stop), other])
+    got = both[0]
+    lat.expected(words, [(lat.logp, lat.stop), other], np.stack((np.ones(len(words), bool), np.arange(len(words)) % 2 == 0)), counts)
+    second = M.Lattice(PIECES, *other)
+    for w, g in zip(words, both[1], strict=True):
+        assert g == pytest.approx(brute(second, w)[0])
+    half = Counter()
+    for w in words[::2]:
+        half.update(brute(second, w)[1])
+    assert all(counts[1, k] == pytest.approx(half.get(k, 0.0), abs=1e-12) for k in range(counts.shape[1]))
+    counts = counts[0]
     want = Counter()
     for w, g in zip(words, got, strict=True):
         lp, c = brute(lat, w)
