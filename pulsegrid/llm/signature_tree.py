@@ -44,7 +44,7 @@ from .textkernel import U64, Words, shingle_sets, slices
 SKETCH_BITS = 20
 _CHUNK = 4096  # counters in a row of the sketch
 LEAF, BLOCK = 16, 1024
-FIRST = 8
+FIRST = 2
 #: Rows (of two longs or so) up to which a lookup table is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 #: Ids (one long each) up to which a semi-join is by broadcast.
