@@ -393,13 +393,12 @@ def pool_species_sorted(spark, sf):
     for p in parts[1:]:
         pooled = pooled.unionByName(p)
     key = inject.natural_key("read_name")
-    ranged = pooled.withColumn("k", key).repartitionByRange(8, "k", "species")
-    # a place in the whole order without one task for all: the sizes of the ranges before, then the place in the range
-    part = ranged.withColumn("part", F.spark_partition_id())
+    # a place in the whole order without one task for all reads: the sizes of the key prefixes before, then the place under the prefix
+    part = pooled.withColumn("k", key).withColumn("part", F.substring("k", 1, 19))
     w = Window.partitionBy("part").orderBy("k", "species")
-    placed = part.withColumn("rn", F.row_number().over(w)).withColumn("first", F.min("k").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    sizes = placed.groupBy("part").agg(F.count("*").alias("c"), F.min("first").alias("first"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = part.withColumn("rn", F.row_number().over(w))
+    sizes = part.groupBy("part").agg(F.count("*").alias("c"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return placed.join(before.select("part", "before"), "part").select("read_name", "species", (F.col("before") + F.col("rn")).alias("place"))
 
 
