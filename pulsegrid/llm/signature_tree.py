@@ -10,8 +10,10 @@ Nodes of the join are distinct texts.  Two texts link when
    the smallest text of that group.  This is linear in the group, finds nearly
    all links of groups of copies, and yields provisional components.
 3. *Prefix groups*: a text's ``n - ceil(n * num / den) + 1`` least common shingles;
-   linked texts share at least one, whatever order ranks "common".  Groups that
-   lie within one component are settled and go.
+   linked texts share at least one, whatever order ranks "common".  At the first
+   that a pair shares, what follows bounds the overlap, and so the partner's size
+   (``cap``).  Groups that lie within one component are settled and go, as do
+   texts that no other of the group suits in size.
 4. *Signature trees*: the texts of each other group, ordered by size, form a tree
    whose nodes hold OR-ed and AND-ed bitmaps and the range of sizes.  A dual
    traversal drops node pairs whose largest possible overlap is too small, and
@@ -61,6 +63,11 @@ def need(n: np.ndarray | int, num: int, den: int):
     return (num * n + den - 1) // den
 
 
+def cap(n: np.ndarray | int, rank: np.ndarray | int, num: int, den: int):
+    """Largest set that a set of n links to, if the first element that both have is number ``rank`` (from 0) of the n: they share n - rank at most."""
+    return (n - rank) * (num + den) // num - n
+
+
 def signature(hashes: np.ndarray) -> bytes:
     """Bitmap with a power of two of bits, about twice as many as shingles (64 to 8192)."""
     bits = min(8192, max(64, 1 << int(2 * len(hashes) - 1).bit_length()))
@@ -114,24 +121,25 @@ def _apart(x: Node, y: Node, num: int, den: int) -> bool:
     return x.most - int(np.bitwise_count(fold(x.all, words) & ~ya).sum()) < least or y.most - int(np.bitwise_count(fold(y.all, words) & ~xa).sum()) < least
 
 
-def leaf_pairs(x: Node, y: Node, sizes, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs of two leaves whose largest possible overlap, by sizes and bitmaps, suffices, and how alike their bitmaps are."""
+def leaf_pairs(x: Node, y: Node, sizes, caps, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of two leaves whose largest possible overlap, by sizes, caps and bitmaps, suffices, and how alike their bitmaps are."""
     words = min(x.rows.shape[1], y.rows.shape[1])
     s, t = fold(x.rows, words)[:, None, :], fold(y.rows, words)[None, :, :]
     a, b = sizes[x.lo : x.hi, None], sizes[None, y.lo : y.hi]
     both, own_s, own_t = (np.bitwise_count(v).sum(-1, dtype=np.int64) for v in (s & t, s & ~t, t & ~s))
     least = -(-num * (a + b) // (num + den))
     ok = (den * np.minimum(a, b) >= num * np.maximum(a, b)) & (a - own_s >= least) & (b - own_t >= least)
+    ok &= (a <= caps[None, y.lo : y.hi]) & (b <= caps[x.lo : x.hi, None])
     i, j = np.nonzero(ok)
     if x is y:
         i, j = i[i < j], j[i < j]
     return i + x.lo, j + y.lo, both[i, j] / np.maximum(1, both[i, j] + own_s[i, j] + own_t[i, j])
 
 
-def candidates(sizes: np.ndarray, sigs: list[np.ndarray], comps: np.ndarray, left: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def candidates(sizes: np.ndarray, caps: np.ndarray, sigs: list[np.ndarray], comps: np.ndarray, left: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Index pairs of one group (sorted by size) that may link and lie in different components, with their likeness.
 
-    ``left`` marks members of the left block: where both blocks differ, only pairs across them are wanted.
+    ``caps`` are the largest sizes of partners.  ``left`` marks members of the left block: where both blocks differ, only pairs across them are wanted.
     """
     across = left.any() and not left.all()
     root = Node(0, len(sizes), sizes, sigs, comps)
@@ -143,7 +151,7 @@ def candidates(sizes: np.ndarray, sigs: list[np.ndarray], comps: np.ndarray, lef
         if x is not y and _apart(x, y, num, den):
             continue
         if not x.kids and not y.kids:
-            i, j, like = leaf_pairs(x, y, sizes, num, den)
+            i, j, like = leaf_pairs(x, y, sizes, caps, num, den)
             keep = comps[i] != comps[j]
             if across:
                 keep &= left[i] != left[j]
@@ -264,7 +272,7 @@ def _stars(nodes: DataFrame) -> DataFrame:
 
 
 def _prefix_groups(nodes: DataFrame, comps: DataFrame, n_comps: int, heat: np.ndarray, size: int, num: int, den: int) -> DataFrame:
-    """(key, nid, n) of the prefix groups that hold two components or more, less those texts that no other suits in size."""
+    """(key, nid, n, cap) of the prefix groups that hold two components or more, less those texts that no other suits in size."""
 
     def run(batches):
         for part, buf, off in slices(batches, "text"):
@@ -277,36 +285,40 @@ def _prefix_groups(nodes: DataFrame, comps: DataFrame, n_comps: int, heat: np.nd
             keep = rank < (counts - need(counts, num, den) + 1)[rows]
             at = order[keep]  # rows are contiguous in the order, so ranks hold for it
             own = rows[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(vals[at].astype(np.int64)), pa.array(nid[own], pa.int64()), pa.array(counts[own], pa.int64())], names=["key", "nid", "n"])
+            caps = np.minimum(cap(counts[own], rank[keep], num, den), (1 << 32) - 1)  # no text has as many
+            yield pa.RecordBatch.from_arrays([pa.array(vals[at].astype(np.int64)), pa.array(nid[own], pa.int64()), pa.array(counts[own] << 32 | caps, pa.int64())], names=["key", "nid", "both"])
 
-    keys = nodes.where("n > 0").select("nid", "text").mapInArrow(run, "key bigint, nid bigint, n bigint")
-    tagged = keys.join(lookup(comps, n_comps), F.col("nid") == F.col("node"), "left").select("key", "nid", "n", F.coalesce("component", "nid").alias("component"))
+    keys = nodes.where("n > 0").select("nid", "text").mapInArrow(run, "key bigint, nid bigint, both bigint")
+    tagged = keys.join(lookup(comps, n_comps), F.col("nid") == F.col("node"), "left").select("key", "nid", "both", F.coalesce("component", "nid").alias("component"))
+    # dealt by key here and not by the window, so that n and cap travel as one column
+    tagged = tagged.repartition("key").select("key", "nid", F.shiftright("both", 32).alias("n"), F.col("both").bitwiseAND((1 << 32) - 1).alias("cap"), "component")
     by_size = Window.partitionBy("key").orderBy("n", "nid")
     whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    mixed = tagged.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size)).where("lo <> hi")
-    # of all sizes in the group, the next ones are the nearest: where neither suits, none does
-    return mixed.where(f"coalesce({den} * less >= {num} * n, false) or coalesce({den} * n >= {num} * more, false)").select("key", "nid", "n")
+    before = by_size.rowsBetween(Window.unboundedPreceding, -1)
+    mixed = tagged.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).withColumn("reach", F.max("cap").over(before)).withColumn("more", F.lead("n").over(by_size)).where("lo <> hi")
+    # a partner is an earlier text whose cap reaches this size, or a later one below this cap, of which the next is the smallest
+    return mixed.where("coalesce(reach >= n, false) or coalesce(more <= cap, false)").select("key", "nid", "n", "cap")
 
 
 def _tree_pairs(groups: DataFrame, comps: DataFrame, n_comps: int, nodes: DataFrame, num: int, den: int, limit: int) -> DataFrame:
     """(a, b) of the likeliest pairs between components, written; rows with a null name the groups (b: key) where pairs were put off."""
     by_size = Window.partitionBy("key").orderBy("n", "nid")
     whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tagged = groups.join(lookup(comps, n_comps), F.col("nid") == F.col("node"), "left").select("key", "nid", "n", F.coalesce("component", "nid").alias("component"))
+    tagged = groups.join(lookup(comps, n_comps), F.col("nid") == F.col("node"), "left").select("key", "nid", "n", "cap", F.coalesce("component", "nid").alias("component"))
     mixed = tagged.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).where("lo <> hi")
     placed = mixed.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK)).withColumn("last", F.max("block").over(whole))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    paired = paired.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nid", "component", "n", (F.col("block") <= F.col("other")).alias("left"))
+    paired = paired.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nid", "component", "n", "cap", (F.col("block") <= F.col("other")).alias("left"))
     paired = paired.join(nodes.where("n > 0").select("nid", "sig"), "nid")
     dealt = paired.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "nid")
 
     def solve(key, rows):
-        nid, comp, n, sig, left = rows
+        nid, comp, n, cap, sig, left = rows
         if (comp == comp[0]).all():
             return
         order = np.argsort(n, kind="stable")
-        nid, comp, n, left = nid[order], comp[order], n[order], left[order]
-        found = list(candidates(n, [np.frombuffer(sig[k], U64) for k in order], comp, left, num, den))
+        nid, comp, n, cap, left = nid[order], comp[order], n[order], cap[order], left[order]
+        found = list(candidates(n, cap, [np.frombuffer(sig[k], U64) for k in order], comp, left, num, den))
         if found:
             i, j, like = (np.concatenate(x) for x in zip(*found, strict=True))
             keep = likeliest(i, j, like, limit)
@@ -327,7 +339,7 @@ def _tree_pairs(groups: DataFrame, comps: DataFrame, n_comps: int, nodes: DataFr
             if not b.num_rows:
                 continue
             k = np.stack([b.column(c).to_numpy() for c in ("key", "i", "j")])
-            cols = [b.column(c).to_numpy() for c in ("nid", "component", "n")] + [np.array(b.column("sig").to_pylist(), object), b.column("left").to_numpy(zero_copy_only=False)]
+            cols = [b.column(c).to_numpy() for c in ("nid", "component", "n", "cap")] + [np.array(b.column("sig").to_pylist(), object), b.column("left").to_numpy(zero_copy_only=False)]
             cut = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1
             found = []
             for lo, hi in zip([0, *cut], [*cut, b.num_rows], strict=True):

@@ -70,12 +70,29 @@ def test_tree_loses_no_pair():
     n = np.array([len(s) for s in sets])
     sigs = [np.frombuffer(S.signature(s), np.uint64) for s in sets]
     found = set()
-    for i, j, _ in S.candidates(n, sigs, np.arange(len(n)), np.ones(len(n), bool), 85, 100):
+    for i, j, _ in S.candidates(n, n * 100 // 85, sigs, np.arange(len(n)), np.ones(len(n), bool), 85, 100):
         found |= set(zip(i.tolist(), j.tolist(), strict=True))
     want = {(i, j) for i in range(len(n)) for j in range(i + 1, len(n)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
     assert want <= found and len(found) < len(n) * (len(n) - 1) // 4
 
 
+def test_caps_admit_every_link_at_its_first_shared_shingle():
+    r = np.random.default_rng(2)
+    linked = 0
+    for num, den in [(85, 100), (4, 5)]:
+        for _ in range(400):
+            x = np.sort(r.choice(200, r.integers(1, 60), replace=False))
+            y = np.unique(np.concatenate((x[r.random(len(x)) > 0.07], r.choice(200, r.integers(0, 4)))))
+            both = np.intersect1d(x, y)
+            if len(y) and den * len(both) >= num * len(np.union1d(x, y)):
+                linked += 1
+                for own, other in ((x, y), (y, x)):
+                    rank = int(np.searchsorted(own, both[0]))
+                    assert rank <= len(own) - S.need(len(own), num, den)
+                    assert len(other) <= S.cap(len(own), rank, num, den)
+    assert linked > 100
+
+
 def test_blocks_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 8)
     monkeypatch.setattr(S, "FIRST", 1)
