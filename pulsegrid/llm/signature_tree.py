@@ -265,10 +265,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
     return out
 
 
-def _stars(nodes: DataFrame) -> DataFrame:
-    keys = nodes.where("n > 0").select("nid", F.explode("mins").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("nid").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
-    return keys.join(heads, "key").where("nid <> a").select("a", F.col("nid").alias("b"))
+def _stars(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of the smallest text that has a smallest shingle and each other text that has it, where the sizes allow a link."""
+    keys = nodes.where("n > 0").select("nid", "n", F.explode("mins").alias("key"))
+    heads = keys.groupBy("key").agg(F.min(F.struct("nid", "n")).alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head")
+    sized = keys.join(heads, "key").where(den * F.least("n", "head.n") >= num * F.greatest("n", "head.n"))
+    return sized.where("nid <> head.nid").select(F.col("head.nid").alias("a"), F.col("nid").alias("b"))
 
 
 def _prefix_groups(nodes: DataFrame, comps: DataFrame, n_comps: int, heat: np.ndarray, size: int, num: int, den: int) -> DataFrame:
@@ -395,7 +397,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, num: int = 4, den: int =
     heat = _heat(nodes)
     texts = nodes.where("n > 0")
 
-    links = _verified(_stars(nodes), texts, shingle, num, den)
+    links = _verified(_stars(nodes, num, den), texts, shingle, num, den)
     comps = written(components(links), "comps")
     n_comps = comps.count()
     comps, n_comps = _between(links, comps, n_comps, nodes, heat, shingle, num, den)
