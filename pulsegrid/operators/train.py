@@ -25,10 +25,10 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy()))))
 
 
-def _slices(batches):
+def _slices(batches, seq: str = "seq"):
     """Batches cut to a bounded number of bases, so that kernels' temporaries stay small."""
     for b in batches:
-        size = np.cumsum([len(s) for s in b.column("seq").to_pylist()]) if b.num_rows else []
+        size = np.cumsum([len(s) for s in b.column(seq).to_pylist()]) if b.num_rows else []
         i = 0
         while i < b.num_rows:
             j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + SLICE)))
@@ -92,6 +92,25 @@ def merge(tables: DataFrame, by: list[str] | None = None) -> DataFrame:
     return tables.groupBy(*(by or []), "kmer", "meth_id").agg(*[F.sum(m).alias(m) for m in MOMENTS])
 
 
+def kmers(reads: DataFrame) -> DataFrame:
+    """(kmer, n): the windows of all sequences, whatever their signals; letters other than ACGT count as A."""
+
+    def run(batches):
+        for b in _slices(batches):
+            seqs = [s.encode("ascii", "replace") for s in b.column("seq").to_pylist()]
+            codes = kmer_codes(np.frombuffer(b"N".join(seqs), np.uint8))
+            ends = np.cumsum([len(s) + 1 for s in seqs])
+            inside = np.ones(len(codes), bool)  # windows that hold no separator
+            for j in range(K):
+                at = ends - 1 - j
+                inside[at[(at >= 0) & (at < len(inside))]] = False
+            found, n = np.unique(codes[inside], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], names=["kmer", "n"])
+
+    part = reads.where(F.length("seq") >= K).select("seq").mapInArrow(run, "kmer int, n bigint")
+    return part.groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
 def samples(reads: DataFrame, motifs: list[Motif], keep: list[str] | None = None) -> DataFrame:
     """(keep, pos, kmer, meth_id, ipd, pw): one row per window; ``pos`` is the window's start."""
     keep = keep or []
@@ -116,7 +135,7 @@ def marks(sequences: DataFrame, motifs: list[Motif], keep: list[str], seq: str =
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema if f.name in keep)
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches, "_seq"):
             seqs = [s.encode() for s in b.column("_seq").to_pylist()]
             off = np.concatenate(([0], np.cumsum([len(s) for s in seqs]))).astype(np.int64)
             meth = scan(np.frombuffer(b"".join(seqs), np.uint8), off[:-1], off[1:], motifs)

@@ -55,7 +55,7 @@ def kmer_decode(spark, sf):
 
 @query(f"WITH {X.READS_SQL}, w AS (SELECT substring(seq, CAST(i AS INTEGER), 11) AS s FROM (SELECT seq, unnest(range(1, length(seq) - 9)) AS i FROM reads WHERE length(seq) >= 11)) SELECT {X.encode_sql('s')} AS kmer, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY s")
 def kmer_sliding(spark, sf):
-    return X.reads(spark, sf).select(F.explode(kmer.sliding(F.col("seq"))).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return train.kmers(X.reads(spark, sf))
 
 
 @query(f"WITH {X.READS_SQL} SELECT doc_id, reverse(translate(seq, 'ACGTYRKMBVDH', 'TGCARYMKVBHD')) AS rc FROM reads")
