@@ -430,8 +430,9 @@ def edge_noise_frame(spark, sf):
 
 @query(f"WITH {X.READS_SQL} SELECT read_name, seq, '[' || array_to_string(fi, ', ') || ']' AS fi, 'None' AS fx FROM reads WHERE doc_id < 50")
 def bam_dump(spark, sf):
+    """Every read with a sequence and its four tags, as the reference prints them."""
     text = lambda c: F.coalesce(F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]")), F.lit("None"))
-    return X.reads(spark, sf).where("doc_id < 50").select("read_name", "seq", text(F.col("fi")).alias("fi"), text(F.lit(None).cast("array<int>")).alias("fx"))
+    return X.reads(spark, sf).where("length(seq) > 0").select("read_name", "seq", *[text(F.col(t)).alias(t) for t in ("fi", "ri", "fp", "rp")])
 
 
 @query(f"WITH {X.READS_SQL}, v AS (SELECT doc_id, least(length(seq), len(fi), len(fp)) AS n FROM reads WHERE length(seq) >= 11) SELECT doc_id, CAST(n - 10 AS BIGINT) AS windows FROM v WHERE n >= 11 ORDER BY doc_id LIMIT 50")

@@ -60,3 +60,14 @@ def test_contigs_hold_all_rows_and_bases_follow_them(spark, folder):
         at = al[x.read_name].ref_start + x.pos
         window = "".join(s[(at + j) % len(s)] for j in range(-5, 6))
         assert x.kmer == int(window.translate(str.maketrans("ACGT", "0123")), 4) and x.meth_id == brute_marks(s, COMPILED)[at % len(s)] if x.pos % 97 == 0 else True
+
+
+def test_dump_lists_every_read_and_all_tags(spark, folder, tmp_path):
+    got = {r.read_name: tuple(r)[1:] for r in QUERIES["bam_dump"](spark, folder).collect()}
+    want = {}
+    for d, t, _, _ in TEXTS:
+        if s := bases(t):
+            want[f"r{d}"] = (s, *[str(fired(d, len(s), *x)) for x in [(31, 17, 7, 3), (7, 5, 1, 4), (13, 29, 3, 2), (11, 3, 2, 5)]])
+    assert got == want
+    spark.createDataFrame([(i, "some text", "en", "s") for i in range(120)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["bam_dump"](spark, str(tmp_path)).count() == 120
