@@ -3,7 +3,8 @@
 Texts are read as templates: numbers, names and units become typed placeholders,
 all other words their lower-cased cores.  Windows of template tokens are joined by
 hash with those of the benchmark items; where windows meet, the values in their
-slots are compared.  An item leaks into a document if windows cover enough of it
+slots are compared; windows of few literal words meet only with equal values.  An item
+leaks into a document if windows cover enough of it, or a long run in one piece,
 and each slot value of the item meets one value throughout, the same (a plain copy)
 or another (a question with new parameters).
 """
@@ -25,9 +26,10 @@ from .textkernel import EXACT, U64, Words, bytes_of, fold_latin, slices, span_ha
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ml cl l liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years eur euro euros usd dollar dollars cent cents percent degree degrees mph kmh kb mb gb tb hz khz mhz ghz w kw v a j kj pa".split()
 
 WINDOW = 8  # template tokens
-LITERALS = 4  # words of a window that must not be placeholders
+LITERALS = 4  # words of a window that must not be placeholders, or else the slot values must be the same
 SHORTEST = 4  # items of fewer tokens are too common to be told from chance and never leak
 COVER = 0.6  # least share of an item's tokens in matched windows
+RUN = 40  # tokens matched in one piece that count as a leak whatever their share
 CONSISTENT = 0.75  # least share of an item's slot values that meet one value throughout
 BLOCK_BYTES = 16 << 20  # benchmark text held at once
 
@@ -101,6 +103,8 @@ class Index:
         self.t = canonical(*bytes_of(pa.array([x or "" for _, x in items], pa.string())))
         self.sizes: dict[int, np.ndarray] = {}
         self.places: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        self.exact: dict[int, np.ndarray] = {}
+        self.copies: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for k in range(len(items)):
             a, b = int(self.t.first[k]), int(self.t.first[k + 1])
             size = min(WINDOW, b - a)
@@ -108,24 +112,31 @@ class Index:
                 continue
             own = window_hashes(self.t.token[a:b], size)
             words = np.convolve(self.t.kind[a:b] == 0, np.ones(size, int), "valid")
-            for p in np.flatnonzero(words >= min(LITERALS, size)):
-                self.places[size, int(own[p])].append((k, int(p)))
+            same = window_hashes(self.t.value[a:b], size)
+            for p, enough in enumerate(words >= min(LITERALS, size)):
+                if enough:
+                    self.places[size, int(own[p])].append((k, p))
+                else:  # few literals: only with equal slot values
+                    self.copies[size, int(same[p])].append((k, p))
         for size in {s for s, _ in self.places}:
             self.sizes[size] = np.sort(np.array([h for s, h in self.places if s == size], U64))
+        for size in {s for s, _ in self.copies}:
+            self.exact[size] = np.sort(np.array([h for s, h in self.copies if s == size], U64))
 
     def leaks(self, buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, float, bool]]:
         """(row, item, matched windows, share of the item covered, whether slot values differ) of every leak in a slice."""
         t = canonical(buf, off)
         hits: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        for size, keys in self.sizes.items():
-            h = window_hashes(t.token, size)
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            found = np.flatnonzero(keys[at] == h)
-            rows = np.searchsorted(t.first, found, "right") - 1
-            inside = found + size <= t.first[rows + 1]
-            for p, r in zip(found[inside].tolist(), rows[inside].tolist(), strict=True):
-                for k, q in self.places[size, int(h[p])]:
-                    hits[r, k].append((p, q, size))
+        for sizes, places, seen in ((self.sizes, self.places, t.token), (self.exact, self.copies, t.value)):
+            for size, keys in sizes.items():
+                h = window_hashes(seen, size)
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                found = np.flatnonzero(keys[at] == h)
+                rows = np.searchsorted(t.first, found, "right") - 1
+                inside = found + size <= t.first[rows + 1]
+                for p, r in zip(found[inside].tolist(), rows[inside].tolist(), strict=True):
+                    for k, q in places[size, int(h[p])]:
+                        hits[r, k].append((p, q, size))
         for (r, k), places in hits.items():
             a = int(self.t.first[k])
             length = int(self.t.first[k + 1]) - a
@@ -136,7 +147,7 @@ class Index:
                 for j in np.flatnonzero(self.t.kind[a + q : a + q + size]).tolist():
                     meets[int(self.t.kind[a + q + j]), int(self.t.value[a + q + j])][int(t.value[p + j])] += 1
             share = covered.mean()
-            if share < COVER:
+            if share < COVER and _longest_run(places) < RUN:
                 continue
             # a slot value must meet one value; where a text holds the item twice, its commonest partner may share half
             steady = sum(c.most_common(1)[0][1] * 2 > sum(c.values()) or value in c for (_, value), c in meets.items())
@@ -145,6 +156,17 @@ class Index:
             yield r, k, len({q for _, q, _ in places}), float(share), any(value not in c for (_, value), c in meets.items())
 
 
+def _longest_run(places: list[tuple[int, int, int]]) -> int:
+    """Tokens of the longest piece whose windows (place in the document, place in the item, size) overlap or touch in both texts."""
+    best, last, start, end = 0, None, 0, 0
+    for shift, q, size in sorted((p - q, q, size) for p, q, size in places):
+        if shift != last or q > end:
+            last, start = shift, q
+        end = q + size
+        best = max(best, end - start)
+    return best
+
+
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list]:
     """The items in blocks of bounded size, whatever the benchmark's."""
     block, held = [], 0
