@@ -12,7 +12,7 @@ or another (a question with new parameters).
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,12 +49,17 @@ _UNITS = _unit_keys()
 
 @dataclass
 class Templates:
-    """Template tokens of a slice: ``kind`` (0 word, 1 number, 2 name, 3 unit), ``value`` (hash of the core), ``token`` (what windows see), ``first`` per row."""
+    """Template tokens of a slice: ``kind`` (0 word, 1 number, 2 name, 3 unit), ``value`` (hash of the core), ``token`` (what windows see), ``first`` per row.
+
+    ``kinds`` and ``tokens`` are the other reading, in which every capitalised word is a name, wherever it stands.
+    """
 
     kind: np.ndarray
     value: np.ndarray
     token: np.ndarray
     first: np.ndarray
+    kinds: np.ndarray
+    tokens: np.ndarray
 
 
 def canonical(buf: np.ndarray, off: np.ndarray) -> Templates:
@@ -62,6 +67,8 @@ def canonical(buf: np.ndarray, off: np.ndarray) -> Templates:
 
     Number: holds a digit.  Unit: a known unit right after a number.  Name: starts with
     a capital, has small letters, and neither starts a text or line nor follows [.!?:].
+    As a word may stand so in one text and not in the other, windows are also compared
+    with all capitalised words as names, and with all tokens as they are.
     """
     words = Words(buf, off)
     lo, hi = words.cores()
@@ -71,7 +78,7 @@ def canonical(buf: np.ndarray, off: np.ndarray) -> Templates:
     starts, ends, lo, hi = words.starts[keep], words.ends[keep], lo[keep], hi[keep]
     if not len(lo):
         none = np.zeros(0, np.int8)
-        return Templates(none, np.zeros(0, U64), np.zeros(0, U64), first)
+        return Templates(none, np.zeros(0, U64), np.zeros(0, U64), first, none, np.zeros(0, U64))
     sums = lambda flags: np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
     digits, small = sums((buf >= 48) & (buf <= 57)), sums(((buf >= 97) & (buf <= 122)) | (buf >= 128))
     value = span_hashes(fold_latin(buf), lo, hi, EXACT)
@@ -89,10 +96,11 @@ def canonical(buf: np.ndarray, off: np.ndarray) -> Templates:
         after[1:] = number[:-1] & (row[1:] == row[:-1])
         at = np.minimum(np.searchsorted(_UNITS, value), len(_UNITS) - 1)
         kind[after & (_UNITS[at] == value)] = 3
+    kinds = np.where(named, 2, kind).astype(np.int8)
     kind[named & ~opens] = 2
-    kind[number] = 1
-    token = np.where(kind == 0, value, np.choose(kind, [U64(0), NUM, NAME, UNIT]))
-    return Templates(kind, value, token, first)
+    kind[number] = kinds[number] = 1
+    seen = lambda k: np.where(k == 0, value, np.choose(k, [U64(0), NUM, NAME, UNIT]))
+    return Templates(kind, value, seen(kind), first, kinds, seen(kinds))
 
 
 class Index:
@@ -101,51 +109,47 @@ class Index:
     def __init__(self, items: list[tuple[object, str | None]]):
         self.ids = [i for i, _ in items]
         self.t = canonical(*bytes_of(pa.array([x or "" for _, x in items], pa.string())))
-        self.sizes: dict[int, np.ndarray] = {}
-        self.places: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        self.exact: dict[int, np.ndarray] = {}
-        self.copies: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        # what windows see, the kinds that are slots then, the hashes by size and the windows' places, for each reading
+        t = self.t
+        self.readings = [[see, kind, {}, defaultdict(list)] for see, kind in (("token", t.kind), ("tokens", t.kinds), ("value", t.kind))]
         for k in range(len(items)):
-            a, b = int(self.t.first[k]), int(self.t.first[k + 1])
+            a, b = int(t.first[k]), int(t.first[k + 1])
             size = min(WINDOW, b - a)
             if size < SHORTEST:
                 continue
-            own = window_hashes(self.t.token[a:b], size)
-            words = np.convolve(self.t.kind[a:b] == 0, np.ones(size, int), "valid")
-            same = window_hashes(self.t.value[a:b], size)
-            for p, enough in enumerate(words >= min(LITERALS, size)):
-                if enough:
-                    self.places[size, int(own[p])].append((k, p))
-                else:  # few literals: only with equal slot values
-                    self.copies[size, int(same[p])].append((k, p))
-        for size in {s for s, _ in self.places}:
-            self.sizes[size] = np.sort(np.array([h for s, h in self.places if s == size], U64))
-        for size in {s for s, _ in self.copies}:
-            self.exact[size] = np.sort(np.array([h for s, h in self.copies if s == size], U64))
+            for see, kind, _, places in self.readings:
+                own = window_hashes(getattr(t, see)[a:b], size)
+                words = np.convolve(kind[a:b] == 0, np.ones(size, int), "valid")
+                for p, n in enumerate(words):  # few literals: only with equal values
+                    if see == "value" or n >= min(LITERALS, size):
+                        places[size, int(own[p])].append((k, p))
+        for _, _, sizes, places in self.readings:
+            for size in {s for s, _ in places}:
+                sizes[size] = np.sort(np.array([h for s, h in places if s == size], U64))
 
     def leaks(self, buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, float, bool]]:
         """(row, item, matched windows, share of the item covered, whether slot values differ) of every leak in a slice."""
         t = canonical(buf, off)
-        hits: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        for sizes, places, seen in ((self.sizes, self.places, t.token), (self.exact, self.copies, t.value)):
+        hits: dict[tuple[int, int], dict[tuple[int, int, int], np.ndarray]] = defaultdict(dict)
+        for see, kind, sizes, window in self.readings:
             for size, keys in sizes.items():
-                h = window_hashes(seen, size)
+                h = window_hashes(getattr(t, see), size)
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 found = np.flatnonzero(keys[at] == h)
                 rows = np.searchsorted(t.first, found, "right") - 1
                 inside = found + size <= t.first[rows + 1]
                 for p, r in zip(found[inside].tolist(), rows[inside].tolist(), strict=True):
-                    for k, q in places[size, int(h[p])]:
-                        hits[r, k].append((p, q, size))
+                    for k, q in window[size, int(h[p])]:
+                        hits[r, k].setdefault((p, q, size), kind)  # the first reading under which they meet
         for (r, k), places in hits.items():
             a = int(self.t.first[k])
             length = int(self.t.first[k + 1]) - a
             covered = np.zeros(length, bool)
             meets: dict[tuple[int, int], Counter] = defaultdict(Counter)
-            for p, q, size in places:
+            for (p, q, size), kind in places.items():
                 covered[q : q + size] = True
-                for j in np.flatnonzero(self.t.kind[a + q : a + q + size]).tolist():
-                    meets[int(self.t.kind[a + q + j]), int(self.t.value[a + q + j])][int(t.value[p + j])] += 1
+                for j in np.flatnonzero(kind[a + q : a + q + size]).tolist():
+                    meets[int(kind[a + q + j]), int(self.t.value[a + q + j])][int(t.value[p + j])] += 1
             share = covered.mean()
             if share < COVER and _longest_run(places) < RUN:
                 continue
@@ -156,7 +160,7 @@ class Index:
             yield r, k, len({q for _, q, _ in places}), float(share), any(value not in c for (_, value), c in meets.items())
 
 
-def _longest_run(places: list[tuple[int, int, int]]) -> int:
+def _longest_run(places: Iterable[tuple[int, int, int]]) -> int:
     """Tokens of the longest piece whose windows (place in the document, place in the item, size) overlap or touch in both texts."""
     best, last, start, end = 0, None, 0, 0
     for shift, q, size in sorted((p - q, q, size) for p, q, size in places):

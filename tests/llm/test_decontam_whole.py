@@ -27,3 +27,18 @@ def test_a_long_copied_run_leaks_whatever_its_share():
     assert not leaks(" ".join(words), AROUND + " ".join(words[30:60]) + " end")
     pieces = " so ".join(" ".join(words[i : i + 10]) for i in range(0, 100, 20))
     assert not leaks(" ".join(words), pieces)
+
+
+@pytest.mark.parametrize("before", ["Q1) ", AROUND + "asked, ", "", "First. "])
+@pytest.mark.parametrize("item", ["What is the capital of France?", "Anna has 5 apples and buys 3 more", "Who wrote the book. The Old Man knows"])
+def test_short_capitalised_items_inside_a_line(item, before):
+    found = leaks(item, before + item + " and more")
+    assert len(found) == 1 and found[0][3] == 1.0 and not found[0][4]
+
+
+@pytest.mark.parametrize("before", ["", AROUND, "Q1) "])
+def test_short_questions_that_begin_with_a_name_and_have_new_parameters(before):
+    found = leaks("Anna has 5 apples and buys 3 more", before + "Maria has 7 apples and buys 2 more")
+    assert len(found) == 1 and found[0][4]
+    assert leaks("What is the capital of France?", before + "What is the capital of Spain?")[0][4]
+    assert not leaks("Anna has 5 apples and buys 3 more", before + "Maria has 7 pears and buys 2 more")
