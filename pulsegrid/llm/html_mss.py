@@ -6,8 +6,8 @@ come from labelled pages: those whose authors marked their content with
 ``<article>`` or ``<main>``.  A word's weight follows the odds that words of its
 container (innermost block or classed element) stand inside the marked content; a
 tag's cost follows the odds that it stands outside.  The stretch is then widened to
-the marked element that holds it, if any, and cleaned of what is boilerplate by
-name: menus, headers, footers, sidebars, notices, adverts, forms, comments.
+whole blocks and to every marked element it touches, and cleaned of what is
+boilerplate by name: menus, headers, footers, sidebars, notices, adverts, forms, comments.
 """
 
 from __future__ import annotations
@@ -214,20 +214,15 @@ def extract(page: str | None, weights: Weights) -> tuple[str, tuple[int, int]]:
     """The main text (blocks joined by newlines) and the stretch of tokens it came from."""
     tokens = tokenize(page or "")
     lo, hi = best_stretch([weights.of(t) for t in tokens])
-    held = Counter()
-    for t in tokens[lo:hi]:
-        if t.kind == "w" and not t.dropped:
-            held[t.content] += t.n
-    if held:
-        inside = max(held, key=lambda k: (held[k], -k))
-        if inside >= 0:
-            at = [i for i, t in enumerate(tokens) if t.content == inside]
-            lo, hi = at[0], at[-1] + 1
-        else:  # whole blocks
-            while lo > 0 and not tokens[lo - 1].block and tokens[lo - 1].content < 0:
-                lo -= 1
-            while hi < len(tokens) and not tokens[hi].block and tokens[hi].content < 0:
-                hi += 1
+    touched = {t.content for t in tokens[lo:hi] if t.kind == "w" and t.n and not t.dropped and t.content >= 0}
+    if touched:
+        at = [i for i, t in enumerate(tokens) if t.content in touched]
+        lo, hi = min(lo, at[0]), max(hi, at[-1] + 1)
+    if hi > lo:  # whole blocks
+        while lo > 0 and not tokens[lo].block and not tokens[lo - 1].block and tokens[lo - 1].content < 0:
+            lo -= 1
+        while hi < len(tokens) and not tokens[hi - 1].block and not tokens[hi].block and tokens[hi].content < 0:
+            hi += 1
     blocks, parts = [], []
     for t in tokens[lo:hi]:
         if t.kind == "w":
