@@ -242,7 +242,8 @@ def global_unmeth_mean(spark, sf):
     return _table(spark, sf).where("meth_id = 0").agg(F.round(F.avg(F.col("sum_ipd") / F.col("n")), 6).alias("mean_ipd"), F.round(F.avg(F.col("sum_pw") / F.col("n")), 6).alias("mean_pw"))
 
 
-_CAP, _CAP2 = 10, 15
+_CAP, _CAP2 = 10, 15  # of the SQL only
+_EXTRACT, _MERGE = 10_000, 50_000
 _ORDER_SQL = "md5(CAST(doc_id AS VARCHAR) || ':' || CAST({} AS VARCHAR))"
 
 
@@ -259,13 +260,13 @@ _S = "s AS (SELECT doc_id, CAST(i AS INTEGER) AS pos, kmer, meth_id, CAST(ipd AS
 
 @query(f"WITH {_W}, {_S} {_capped(_CAP, 's')}")
 def sample_cap_extract(spark, sf):
-    return train.cap(_windows(spark, sf), _CAP, _order())
+    return train.cap(_windows(spark, sf), _EXTRACT, _order())
 
 
 @query(f"WITH {_W}, {_S}, parts AS ({_capped(_CAP, 's', ', strain')}) {_capped(_CAP2, 'parts')}")
 def sample_cap_merge(spark, sf):
     per = train.samples(X.reads(spark, sf), COMPILED, ["doc_id", "strain"])
-    return train.cap(train.cap(per, _CAP, _order(), ("kmer", "meth_id", "strain")).drop("strain"), _CAP2, _order())
+    return train.cap(train.cap(per, _EXTRACT, _order(), ("kmer", "meth_id", "strain")).drop("strain"), _MERGE, _order())
 
 
 @query(f"WITH {_W}, {_S}, c AS ({_capped(_CAP, 's')}) SELECT CAST(count(*) AS BIGINT) AS contexts, CAST(sum(n) AS BIGINT) AS samples FROM (SELECT kmer, meth_id, count(*) AS n FROM c GROUP BY kmer, meth_id)")
@@ -387,11 +388,7 @@ def pool_species_sorted(spark, sf):
     """Pooled reads in natural name order: r2 before r10."""
     from pyspark.sql.window import Window
 
-    r = X.reads(spark, sf).select("read_name", "species")
-    parts = [r.where(F.col("species") == s) for s in ("de", "en", "es", "fr")]
-    pooled = parts[0]
-    for p in parts[1:]:
-        pooled = pooled.unionByName(p)
+    pooled = X.reads(spark, sf).select("read_name", "species")
     key = inject.natural_key("read_name")
     # a place in the whole order without one task for all reads: the sizes of the key prefixes before, then the place under the prefix
     part = pooled.withColumn("k", key).withColumn("part", F.substring("k", 1, 19))

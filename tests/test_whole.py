@@ -1,12 +1,14 @@
 """Queries over reads take whole texts and all rows: against plain Python on texts longer than any prefix."""
 
+import hashlib
 import random
 from collections import Counter
 
 import pytest
-from pulsegrid.operators import inject
+from pulsegrid.operators import inject, train
 from pulsegrid.plans import fixtures as X
 from pulsegrid.plans.queries import COMPILED, QUERIES
+from pyspark.sql import functions as F
 from test_core import brute_marks, brute_moments
 
 TEXTS = [(i, "".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz .,N", k=n)), lang, f"s{i % 2}") for i, (n, lang) in enumerate([(3000, "en"), (900, "en"), (5, "de"), (2000, "de"), (401, "xx"), (13, "en"), (1500, "en")], 1)]
@@ -71,3 +73,28 @@ def test_dump_lists_every_read_and_all_tags(spark, folder, tmp_path):
     assert got == want
     spark.createDataFrame([(i, "some text", "en", "s") for i in range(120)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert QUERIES["bam_dump"](spark, str(tmp_path)).count() == 120
+
+
+def test_registered_caps_keep_what_the_reference_keeps(spark, tmp_path):
+    text = "a" * 12_020  # doc 3: 12,020 bases, 12,010 windows of one key
+    spark.createDataFrame([(3, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["sample_cap_extract"](spark, str(tmp_path)).count() == 10_000
+    assert QUERIES["sample_totals"](spark, str(tmp_path)).first()[:] == (1, 10_000)
+    rows = [(3 * i, "a" * 12_020, "en", f"s{i}") for i in range(1, 7)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/six/documents.parquet")
+    assert QUERIES["sample_cap_merge"](spark, f"{tmp_path}/six").count() == 50_000
+
+
+def test_pool_holds_every_species(spark, tmp_path):
+    rows = [(10, "it"), (2, "xx"), (3, None), (1, "en")]
+    spark.createDataFrame([(d, "text", s, "s") for d, s in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.place, r.read_name, r.species) for r in QUERIES["pool_species_sorted"](spark, str(tmp_path)).collect())
+    assert got == [(1, "r1", "en"), (2, "r2", "xx"), (3, "r3", None), (4, "r10", "it")]
+
+
+def test_small_caps(spark):
+    rows = [(d, p, 1, 0, 1.0, 1.0) for d in range(4) for p in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, kmer int, meth_id int, ipd float, pw float")
+    order = lambda r: hashlib.md5(f"{r[0]}:{r[1]}".encode()).hexdigest()
+    got = train.cap(df, 15, F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string"))))
+    assert {tuple(r) for r in got.collect()} == set(sorted(rows, key=order)[:15])
