@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,9 @@ from pulsegrid.functions.kmer import METH_IDS, iupac_to_regex, revcomp, reverse_
 
 MIN_FRACTION, MIN_DETECTED = 0.40, 20
 MODIFIED = {"A": "m6A", "C": "m4C"}
-#: Modification codes of the enzyme database.
-CODES = {6: "m6A", 5: "m4C", 4: "m5C"}
-TYPE_NAMES = {"6mA": "m6A", "N4mC": "m4C", "5mC": "m5C"}
+#: Modification codes of the enzyme database (two-column form, record form).
+CODES = {6: "m6A", 5: "m5C", 4: "m4C"}
+TYPE_NAMES = {"6mA": "m6A", "5mC": "m5C", "N4mC": "m4C"}
 
 
 @dataclass(frozen=True)
@@ -87,9 +88,10 @@ def read_csv(spark: SparkSession, path: str, fraction: float = MIN_FRACTION, det
 
 
 def rebase_positions(rows: DataFrame) -> DataFrame:
-    """recognition_seq, annotation -> ord, mod_type, motif, pos; X > 0 counts from the front, X < 0 from the end; X = 0, unknown codes and places outside go."""
-    each = rows.select("*", F.posexplode(F.regexp_extract_all("annotation", F.lit(r"(-?\d+)\(\d+\)"), F.lit(1))).alias("k", "x"))
-    each = each.withColumn("code", F.element_at(F.regexp_extract_all("annotation", F.lit(r"-?\d+\((\d+)\)"), F.lit(1)), F.col("k") + 1).cast("int")).withColumn("x", F.col("x").cast("int"))
+    """recognition_seq, annotation -> ord, mod_type, motif, pos; X > 0 counts from the front, X < 0 from the end; X = 0, unknown codes (one digit each) and places outside go."""
+    site = r"(-?\d+)\((\d)\)"
+    each = rows.select("*", F.posexplode(F.regexp_extract_all("annotation", F.lit(site), F.lit(1))).alias("k", "x"))
+    each = each.withColumn("code", F.element_at(F.regexp_extract_all("annotation", F.lit(site), F.lit(2)), F.col("k") + 1).cast("int")).withColumn("x", F.col("x").cast("int"))
     kind = F.lit(None).cast("string")
     for c, name in CODES.items():
         kind = F.when(F.col("code") == c, name).otherwise(kind)
@@ -99,35 +101,42 @@ def rebase_positions(rows: DataFrame) -> DataFrame:
     return out.where(F.col("mod_type").isNotNull() & (F.col("pos") >= 0) & (F.col("pos") < F.length("motif")))
 
 
-def parse_rebase(lines: list[str]) -> str:
-    """The motif string of an enzyme database, in its record format if any line starts with ID, RS or MS and three spaces, else in two columns."""
-    tagged = any(re.match(r"(ID|RS|MS)   ", x) for x in lines)
-    out: list[str] = []
-
-    def add(seq: str, x: int, kind: str | None) -> None:
-        pos = x - 1 if x > 0 else len(seq) + x if x < 0 else -1
+def _sites(seq: str, annotation: str, pattern: str, kinds: dict[str, str]) -> Iterator[str]:
+    """Motif entries of an annotation's sites, in order."""
+    for x, code in re.findall(pattern, annotation):
+        kind, pos = kinds.get(code), int(x) - 1 if int(x) > 0 else len(seq) - abs(int(x))
         if kind and 0 <= pos < len(seq):
-            out.append(f"{kind},{seq},{pos}")
+            yield f"{kind},{seq},{pos}"
 
-    if not tagged:
+
+def parse_rebase(lines: list[str]) -> str:
+    """The motif string of an enzyme database.
+
+    Its record form if any line starts with ID, RS or MS and three spaces; a tag there
+    ends at a tab or at three spaces, the last RS and MS of a record count, and a record
+    whose RS or MS is missing or ``?`` goes, as does one that no ``//`` ends.  Types are
+    names then, numbers are unknown.  Else two columns, where types are one digit.
+    """
+    out: list[str] = []
+    if not any(x.startswith(("ID   ", "RS   ", "MS   ")) for x in lines):
+        digits = {str(c): name for c, name in CODES.items()}
         for line in lines:
             f = line.split()
-            if len(f) >= 2 and not line.lstrip().startswith("#"):
-                for x, c in re.findall(r"(-?\d+)\((\d+)\)", f[1]):
-                    add(f[0].upper(), int(x), CODES.get(int(c)))
+            if len(f) >= 2 and not f[0].startswith("#"):
+                out += _sites(f[0].upper(), f[1], r"(-?\d+)\((\d)\)", digits)
         return ";".join(out)
-    rs = ms = ""
+    record: dict[str, str] = {}
     for line in lines:
         if line.startswith("//"):
+            rs, ms = record.get("RS", ""), record.get("MS", "")
             seq = re.sub("[^ACGTRYMKSWHBVDN]", "", rs.upper())
-            if seq and "?" not in rs and "?" not in ms:
-                for x, c in re.findall(r"(-?\d+)\(([^)]+)\)", ms):
-                    add(seq, int(x), CODES.get(int(c)) if c.isdigit() else TYPE_NAMES.get(c))
-            rs = ms = ""
-        elif line.startswith("RS   "):
-            rs = line[5:].strip()
-        elif line.startswith("MS   "):
-            ms = line[5:].strip()
+            if rs != "?" and ms != "?" and seq:
+                out += _sites(seq, ms, r"(-?\d+)\((\w+)\)", TYPE_NAMES)
+            record = {}
+            continue
+        tag, mark, value = line.partition("\t" if "\t" in line else "   ")
+        if mark:
+            record[tag.strip()] = value.strip()
     return ";".join(out)
 
 
@@ -169,14 +178,46 @@ def decode_name(name) -> tuple:
     return F.when(ok, meth).otherwise(0), F.when(ok, pos).otherwise(0)
 
 
+def read_gff(spark: SparkSession, path: str) -> DataFrame:
+    """contig, start, stop, strand, attributes, ord of a fuzzy search's hits; comments, blank lines and lines of fewer than seven columns go.
+
+    ``ord`` follows file and line order: of two hits at one place the later one counts.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.struct(F.input_file_name(), F.monotonically_increasing_id()).alias("ord"))
+    f = F.split("line", "\t")
+    lines = lines.where(~F.col("line").startswith("#") & (F.trim("line") != "") & (F.size(f) >= 7))
+    attributes = F.when(F.size(f) > 8, F.trim(F.element_at(f, 9))).otherwise("")
+    return lines.select(f[0].alias("contig"), f[3].cast("int").alias("start"), f[4].cast("int").alias("stop"), f[6].alias("strand"), attributes.alias("attributes"), "ord")
+
+
 def gff_positions(hits: DataFrame, known: DataFrame) -> DataFrame:
-    """contig, pos, meth_id of fuzzy-search hits; names that the patterns lack are decoded, places outside the contig go.
+    """contig, pos, meth_id of fuzzy-search hits, with ``ord`` if they have one; names that the patterns lack are decoded, places outside the contig go.
 
+    The name is what follows the first ``Pattern_name=``, ``Name=`` or ``pattern=`` (in any
+    case) up to a semicolon; without one the hit marks 0 at its first base.
     hits: contig, start (1-based), stop, strand, attributes, contig_len; known: name, meth_id, pos (a few per motif).
     """
-    named = hits.withColumn("name", F.regexp_extract("attributes", r"(?i)pat(?:tern)?_?name[=\s]+\"?([^;\"\s]+)", 1))
+    named = hits.withColumn("name", F.trim(F.regexp_extract("attributes", r"(?i)(?:Pattern_name|Name|pattern)=([^;]+)", 1)))
     meth, pos = decode_name(F.col("name"))
     joined = named.withColumn("d_meth", meth).withColumn("d_pos", pos).join(known.withColumnRenamed("pos", "k_pos").withColumnRenamed("meth_id", "k_meth"), "name", "left")
     offset, kind = F.coalesce("k_pos", "d_pos"), F.coalesce("k_meth", "d_meth")
-    at = F.when(F.col("strand") == "-", F.col("stop") - 1 - offset).otherwise(F.col("start") - 1 + offset)
-    return joined.withColumn("pos", at).withColumn("meth_id", kind).where((F.col("pos") >= 0) & (F.col("pos") < F.col("contig_len"))).select("contig", "pos", "meth_id")
+    at = F.when(F.col("strand") == "+", F.col("start") - 1 + offset).otherwise(F.col("stop") - 1 - offset)
+    placed = joined.withColumn("pos", at).withColumn("meth_id", kind).where((F.col("pos") >= 0) & (F.col("pos") < F.col("contig_len")))
+    return placed.select("contig", "pos", "meth_id", *[c for c in hits.columns if c == "ord"])
+
+
+def gff_marks(hits: DataFrame, contigs: DataFrame, known: DataFrame) -> DataFrame:
+    """contig, pos, meth_id of every base that hits (with ``ord``) mark, the last hit of a base first; a last hit of no known type erases. Hits on contigs that are not there go."""
+    sized = hits.join(contigs.select("contig", F.length("seq").alias("contig_len")), "contig")
+    placed = gff_positions(sized, known)
+    return placed.groupBy("contig", "pos").agg(F.max_by("meth_id", "ord").alias("meth_id")).where("meth_id <> 0")
+
+
+def known_patterns(text: str) -> list[tuple[str, int, int]]:
+    """(name, meth_id, pos) of each pattern name of a motif string; the first entry of a name counts."""
+    out: dict[str, tuple[str, int, int]] = {}
+    for entry in text.split(";"):
+        f = entry.split(",")
+        if len(f) >= 3:
+            out.setdefault(f"{f[0]}_{f[1]}_{int(f[2])}", (f"{f[0]}_{f[1]}_{int(f[2])}", METH_IDS.get(f[0], 0), int(f[2])))
+    return list(out.values())

@@ -23,8 +23,8 @@ def prepared(spark: SparkSession, lines: list[str], fraction: float = MIN_FRACTI
     """(path, motif string) of the pairs whose motif source exists and yields motifs, in order."""
     out = []
     for path, source in pairs(lines):
-        is_path = os.sep in source or source.lower().endswith((".csv", ".txt"))
-        if is_path and not os.path.exists(source):
+        is_path = os.sep in source or source.endswith((".csv", ".txt"))
+        if is_path and not os.path.isfile(source):
             print(f"skipped {path}: no {source}")
             continue
         found = load(spark, source, fraction, detected)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LETTERS, _BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
-READ = 400  # of READS_SQL only: the queries read whole texts
+STEP, TAIL = 64, 32  # of the SQL only: texts are cut into pieces of STEP letters and the TAIL letters behind them, as substring counts from the start of its text
 MOTIFS = "m6A,GATC,1;m4C,CCWGG,1;m6A,CACAGGNC,4,1539,0.998054;m5C,RCCGGY,2;odd,GANTC,1;m6A,GTCANNNNNGTCG,4,925,1;nonsense"
 
 # Rows of small inputs. Motif tables: motifString, centerPos, modificationType, fraction, nDetected.
@@ -14,10 +14,16 @@ MOTIF_ROWS = [
     ("GATC", 1, "m6A", 0.99, 2000), ("CCWGG", 1, "m4C", 0.40, 20), ("GANTC", 1, "m6A", 0.39, 500), ("RCCGGY", 2, "m5C", 0.8, 19), ("GCCGGCY", 1, "modified_base", 0.406229, 7161),
     ("CTAG", 3, "modified_base", 0.7, 50), ("CTAG", 2, "modified_base", 0.7, 50), ("TTAA", 9, "modified_base", 0.9, 90), ("ACGT", -1, "modified_base", 0.9, 90), ("AGCT", 0, "weird", 0.9, 90), ("CAGT", 0, "none", 0.9, 90),
 ]
-REBASE_ROWS = [("GCWGC", "2(6),-1(6)"), ("gatc", "2(6)"), ("CCWGG", "0(5)"), ("RCCGGY", "3(4),9(4)"), ("ACGT", "1(7)"), ("TGCA", "?"), ("CCNGG", "-4(5)")]
-REBASE_RECORDS = ["ID   A|RS   GA^TC|MS   2(6mA)", "ID   B|RS   CCWGG|MS   2(N4mC),-2(5mC)", "ID   C|RS   ?|MS   1(6)", "ID   D|RS   gcngc|MS   2(xyz),3(4)"]
-GFF_ROWS = [("c1", 11, 14, "+", "pattern_name=m6A_GATC_1", 100), ("c1", 11, 14, "-", "pattern_name=m6A_GATC_1", 100), ("c2", 1, 5, "-", "pattern_name=m4C_CCWGG_9", 20), ("c2", 18, 20, "+", "pattern_name=m5C_RCC_3", 20), ("c3", 7, 9, "+", "pattern_name=broken", 30)]
-PAIRS = [("/data/s1.bam", "m6A,GATC,1"), ("/data/s2.bam", ""), ("/data/s3.bam", "m4C,CCWGG,1;m6A,GANTC,1"), ("/data/s4.bam", "/gone/motifs.csv")]
+REBASE_ROWS = [("GCWGC", "2(6),-1(6)"), ("gatc", "2(6)"), ("CCWGG", "0(5)"), ("RCCGGY", "3(4),9(4)"), ("ACGT", "1(7)"), ("TGCA", "?"), ("CCNGG", "-4(5)"), ("CCWGG", "2(5),-1(4)"), ("GGCC", "3(66),4(5)"), ("AGCT", "-9(6)")]
+REBASE_RECORDS = [
+    "ID   A|RS   GA^TC|MS   2(6mA)", "ID   B|RS   CCWGG|MS   2(N4mC),-2(5mC)", "ID   C|RS   ?|MS   1(6mA)", "ID   D|RS   gcngc|MS   2(xyz),3(4),2(5mC)", "ID   E|RS   TCGA, ?;|MS   4(6mA)", "ID   F|RS   GATC|MS   2(6)",
+    "ID\tG|RS\tGTAC, 2;|MS\t3(6mA),4(N4mC)", "ID   H|RS   CCGG|RS   GGCC|MS   1(5mC)|MS   3(5mC)", "ID   I|RS   GATC", "ID   J|RS   GATC|MS   ?",
+]
+GFF_ROWS = [
+    ("c1", 11, 14, "+", "pattern_name=m6A_GATC_1", 100), ("c1", 11, 14, "-", "Pattern_name=m6A_GATC_1;score=4", 100), ("c2", 1, 5, "-", "pattern_name=m4C_CCWGG_9", 20), ("c2", 18, 20, "+", "pattern_name=m5C_RCC_3", 20), ("c3", 7, 9, "+", "pattern_name=broken", 30),
+    ("c3", 11, 14, "+", "ID=x.1;Name=m4C_CCWGG_1;note=y", 30), ("c3", 15, 18, "-", "pattern=m5C_RCCGGY_2", 30), ("c3", 20, 24, "+", "NAME= m6A_GATC_1 ;pattern=m4C_CCWGG_1", 30), ("c3", 25, 28, "+", "", 30), ("c3", 26, 29, ".", "Name=zzz_GATC_0", 30),
+]
+PAIRS = [("/data/s1.bam", "m6A,GATC,1"), ("/data/s2.bam", ""), ("/data/s3.bam", "m4C,CCWGG,1;m6A,GANTC,1"), ("/data/s4.bam", "/gone/motifs.csv"), ("/data/s5.bam", "motifs.csv"), ("/data/s6.bam", "sites.txt"), ("/data/s7.bam", "m6A,GATC,1,200,0.99;m5C,CC,0")]
 EXCLUDED = ["src3", "src7", "src11"]
 SPECIES_MOTIFS = [("en", "m6A,GATC,1"), ("de", "m4C,CCWGG,1;m6A,GANTC,1"), ("xx", "m5C,RCCGGY,2")]
 
@@ -51,32 +57,39 @@ def _values(rows: list[tuple], cols: str) -> str:
 
 
 _SIG = "list_transform(range(0, greatest(length(seq) - doc_id % {m}, 0)), lambda i: CAST((doc_id * {a} + i * {b} + {c}) % 256 AS INTEGER))"
-READS_SQL = f"""reads0 AS (SELECT doc_id, 'r' || CAST(doc_id AS VARCHAR) AS read_name,
-  substring(regexp_replace(translate(lower(coalesce(text, '')), '{_LETTERS}', '{_BASES}'), '[^ACGT]', '', 'g'), 1, {READ}) AS seq, lang AS species, source AS strain FROM documents),
+READS_SQL = f"""reads0 AS (SELECT doc_id, 'r' || CAST(doc_id AS VARCHAR) AS read_name, regexp_replace(translate(lower(coalesce(text, '')), '{_LETTERS}', '{_BASES}'), '[^ACGT]', '', 'g') AS seq, lang AS species, source AS strain FROM documents),
 reads AS (SELECT *, {_SIG.format(a=31, b=17, c=7, m=3)} AS fi, {_SIG.format(a=13, b=29, c=3, m=2)} AS fp, {_SIG.format(a=7, b=5, c=1, m=4)} AS ri, {_SIG.format(a=11, b=3, c=2, m=5)} AS rp FROM reads0)"""
 
 
 def encode_sql(s: str) -> str:
-    return f"CAST(list_reduce(list_prepend(0, list_transform(string_split(translate({s}, 'ACGT', '0123'), ''), lambda c: CAST(c AS INTEGER))), lambda a, b: a * 4 + b) AS INTEGER)"
+    """The number of an 11-letter string."""
+    return "CAST(" + " + ".join(f"(instr('ACGT', {s}[{j + 1}]) - 1) * {4 ** (10 - j)}" for j in range(11)) + " AS INTEGER)"
+
+
+def places_sql(src: str, keys: str, seq: str = "seq") -> str:
+    """keys, n, p and w: the letters from place p on (TAIL at least, or all), for every place of the texts of ``src``."""
+    cut = f"SELECT {keys}, length({seq}) AS n, unnest(range(0, length({seq}), {STEP})) AS base, {seq} AS s FROM {src}"
+    return f"SELECT {keys}, n, base + j AS p, substring(w, CAST(j + 1 AS INTEGER), {TAIL}) AS w FROM (SELECT {keys}, n, base, w, unnest(range(0, least({STEP}, n - base))) AS j FROM (SELECT {keys}, n, base, substring(s, CAST(base + 1 AS INTEGER), {STEP + TAIL}) AS w FROM ({cut})))"
 
 
-def motifs_sql(motifs: list) -> str:
-    return _values([(m.ord, "^" + m.regex + "$", len(m.motif), m.offset, m.meth_id) for m in motifs], "ord, re, len, off, meth_id")
+def marks_sql(places: str, keys: str, motifs: list) -> str:
+    """keys, p, meth_id of every place that a motif targets (the last motif counts), from ``places_sql``'s rows."""
+    one = lambda m: f"SELECT {keys}, p + {m.offset} AS p, n, {m.ord} AS ord, {m.meth_id} AS meth_id FROM {places} WHERE regexp_matches(w, '^{m.regex}')"
+    return f"SELECT {keys}, p, arg_max(meth_id, ord) AS meth_id FROM ({' UNION ALL '.join(map(one, motifs))}) WHERE p >= 0 AND p < n GROUP BY {keys}, p"
 
 
-def windows_sql(motifs: list, strands: str = "") -> str:
+def windows_sql(motifs: list) -> str:
     """reads, motif marks by position (last motif wins), and all windows with their centre's signals."""
     return f"""{READS_SQL},
-eff AS (SELECT doc_id, read_name, species, strain, seq, fi, fp, least(length(seq), len(fi), len(fp)) AS n FROM reads WHERE length(seq) >= 11),
-pos AS (SELECT doc_id, n, substring(seq, 1, n) AS s, unnest(range(0, n)) AS p FROM eff),
-hits AS (SELECT doc_id, p + off AS p, meth_id, ord FROM pos JOIN {motifs_sql(motifs)} m ON p + len <= n AND regexp_full_match(substring(s, p + 1, len), re) WHERE p + off >= 0 AND p + off < n),
-marked AS (SELECT doc_id, p, arg_max(meth_id, ord) AS meth_id FROM hits GROUP BY doc_id, p),
-win0 AS (SELECT doc_id, read_name, species, strain, i, substring(seq, CAST(i + 1 AS INTEGER), 11) AS s, fi[i + 6] AS ipd, fp[i + 6] AS pw FROM (SELECT *, unnest(range(0, greatest(n - 10, 0))) AS i FROM eff)),
-win AS (SELECT w.*, {encode_sql("w.s")} AS kmer, CAST(coalesce(m.meth_id, 0) AS INTEGER) AS meth_id FROM win0 w LEFT JOIN marked m ON m.doc_id = w.doc_id AND m.p = w.i + 5)"""
+eff AS (SELECT doc_id, read_name, species, strain, substring(seq, 1, least(length(seq), len(fi), len(fp))) AS seq FROM reads WHERE length(seq) >= 11),
+pos AS ({places_sql('eff', 'doc_id, strain')}),
+marked AS ({marks_sql('pos', 'doc_id', motifs)}),
+win AS (SELECT w.doc_id, w.strain, w.p AS i, (w.doc_id * 31 + (w.p + 5) * 17 + 7) % 256 AS ipd, (w.doc_id * 13 + (w.p + 5) * 29 + 3) % 256 AS pw, {encode_sql("w.w")} AS kmer, CAST(coalesce(m.meth_id, 0) AS INTEGER) AS meth_id
+  FROM pos w LEFT JOIN marked m ON m.doc_id = w.doc_id AND m.p = w.p + 5 WHERE w.p + 11 <= w.n)"""
 
 
 MOMENTS_SQL = "CAST(count(*) AS BIGINT) AS n, CAST(sum(ipd) AS DOUBLE) AS sum_ipd, CAST(sum(ipd * ipd) AS DOUBLE) AS sum_ipd2, CAST(sum(pw) AS DOUBLE) AS sum_pw, CAST(sum(pw * pw) AS DOUBLE) AS sum_pw2"
-REF_SQL = """contigs AS (SELECT species, 'chr_' || species AS contig, string_agg(seq, '' ORDER BY doc_id) AS seq FROM reads WHERE doc_id % 10 = 0 GROUP BY species),
+REF_SQL = """contigs AS (SELECT species, 'chr_' || species AS contig, string_agg(seq, '' ORDER BY doc_id) AS seq FROM reads GROUP BY species),
 aln0 AS (SELECT r.species, r.read_name, CASE WHEN r.doc_id % 11 = 5 THEN 'missing' ELSE 'chr_' || r.species END AS ref_name, (r.doc_id * 7919) % length(c.seq) AS ref_start,
   CASE WHEN r.doc_id % 2 = 0 THEN '+' ELSE '-' END AS ref_strand, CAST(length(c.seq) AS BIGINT) AS ref_src_size FROM reads r JOIN contigs c USING (species) WHERE r.doc_id % 7 <> 3),
 mapped AS (SELECT r.doc_id, r.read_name, r.species, r.seq, a.ref_name, a.ref_start, a.ref_strand, a.ref_src_size, c.seq AS contig_seq FROM reads r LEFT JOIN aln0 a ON a.species = r.species AND a.read_name = r.read_name

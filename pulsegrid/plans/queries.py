@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +52,7 @@ def kmer_decode(spark, sf):
     return kmer_encode(spark, sf).select("doc_id", kmer.decode(F.col("kmer")).alias("kmer_seq"))
 
 
-@query(f"WITH {X.READS_SQL}, w AS (SELECT substring(seq, CAST(i AS INTEGER), 11) AS s FROM (SELECT seq, unnest(range(1, length(seq) - 9)) AS i FROM reads WHERE length(seq) >= 11)) SELECT {X.encode_sql('s')} AS kmer, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY s")
+@query(f"WITH {X.READS_SQL}, w AS ({X.places_sql('reads', 'doc_id')}) SELECT {X.encode_sql('w')} AS kmer, CAST(count(*) AS BIGINT) AS n FROM w WHERE p + 11 <= n GROUP BY 1")
 def kmer_sliding(spark, sf):
     return train.kmers(X.reads(spark, sf))
 
@@ -97,24 +96,28 @@ def modified_base_resolve(spark, sf):
     return motifs.resolve(_rows(spark)).select("motifString", "centerPos", "mod_type")
 
 
-_REBASE = """SELECT mod_type, motif, CAST(pos AS INTEGER) AS pos FROM (SELECT CASE code WHEN 6 THEN 'm6A' WHEN 5 THEN 'm4C' WHEN 4 THEN 'm5C' END AS mod_type, motif,
-CASE WHEN x > 0 THEN x - 1 WHEN x < 0 THEN length(motif) + x END AS pos FROM (SELECT upper(s) AS motif, CAST(unnest(regexp_extract_all(a, '(-?\\d+)\\(\\d+\\)', 1)) AS INTEGER) AS x, CAST(unnest(regexp_extract_all(a, '-?\\d+\\((\\d+)\\)', 1)) AS INTEGER) AS code FROM {src}))
+_CODE = "CASE code WHEN '6' THEN 'm6A' WHEN '5' THEN 'm5C' WHEN '4' THEN 'm4C' WHEN '6mA' THEN 'm6A' WHEN '5mC' THEN 'm5C' WHEN 'N4mC' THEN 'm4C' END"
+# {code} matches one code: a digit in the two-column form, a name in the record form
+_REBASE = """SELECT mod_type, motif, CAST(pos AS INTEGER) AS pos FROM (SELECT {kind} AS mod_type, motif,
+CASE WHEN x > 0 THEN x - 1 WHEN x < 0 THEN length(motif) + x END AS pos FROM (SELECT upper(s) AS motif, CAST(unnest(regexp_extract_all(a, '(-?\\d+)\\({code}\\)', 1)) AS INTEGER) AS x, unnest(regexp_extract_all(a, '-?\\d+\\(({code})\\)', 1)) AS code FROM {src}))
 WHERE mod_type IS NOT NULL AND pos >= 0 AND pos < length(motif)"""
 
 
-@query(_REBASE.format(src=X._values(X.REBASE_ROWS, "s, a")))
+@query(_REBASE.format(src=X._values(X.REBASE_ROWS, "s, a"), code="\\d", kind=_CODE))
 def rebase_simple_parse(spark, sf):
     return motifs.rebase_positions(spark.createDataFrame(X.REBASE_ROWS, "recognition_seq string, annotation string")).select("mod_type", "motif", "pos")
 
 
-_NAMES = "replace(replace(replace({}, '6mA', '6'), 'N4mC', '5'), '5mC', '4')"
+# tag and value of a record's lines: cut at a tab, else at three spaces; the last RS and the last MS count
+_FIELD = "list_filter(list_transform(string_split(r, '|'), lambda x: CASE WHEN contains(x, chr(9)) THEN [trim(string_split(x, chr(9))[1]), trim(string_split(x, chr(9))[2])] ELSE [trim(string_split(x, '   ')[1]), trim(string_split(x, '   ')[2])] END), lambda f: f[1] = '{}')[-1][2]"
 
 
 @query(
     _REBASE.format(
-        src=f"(SELECT regexp_replace(upper(rs), '[^ACGTRYMKSWHBVDN]', '', 'g') AS s, {_NAMES.format('ms')} AS a FROM (SELECT substring(string_split(r, '|')[2], 6) AS rs, substring(string_split(r, '|')[3], 6) AS ms FROM {X._values([(r,) for r in X.REBASE_RECORDS], 'r')}) WHERE rs <> '?')"
+        src=f"(SELECT regexp_replace(upper(rs), '[^ACGTRYMKSWHBVDN]', '', 'g') AS s, ms AS a FROM (SELECT {_FIELD.format('RS')} AS rs, {_FIELD.format('MS')} AS ms FROM {X._values([(r,) for r in X.REBASE_RECORDS], 'r')}) WHERE rs <> '?' AND ms <> '?')",
+        code="\\w+", kind=_CODE.replace("WHEN '6' THEN 'm6A' WHEN '5' THEN 'm5C' WHEN '4' THEN 'm4C' ", ""),
     )
-)
+)
 def rebase_withrefm_parse(spark, sf):
     text = "\n".join(r.replace("|", "\n") + "\n//" for r in X.REBASE_RECORDS)
     got = motifs.parse_rebase(text.split("\n"))
@@ -142,11 +145,11 @@ def pattern_name_decode(spark, sf):
 
 
 @query(
-    f"""WITH h AS (SELECT *, regexp_extract(attributes, 'pattern_name=(\\S+)', 1) AS name FROM {X._values(X.GFF_ROWS, 'contig, start, stop, strand, attributes, contig_len')}),
-    d AS (SELECT *, CASE WHEN name = 'm6A_GATC_1' THEN 1 WHEN len(string_split(name, '_')) >= 3 THEN {_METH.format("string_split(name, '_')[1]")} ELSE 0 END AS meth_id,
-      CASE WHEN len(string_split(name, '_')) >= 3 THEN coalesce(try_cast(string_split(name, '_')[-1] AS INTEGER), 0) ELSE 0 END AS o FROM h),
-    p AS (SELECT contig, CASE WHEN strand = '-' THEN stop - 1 - o ELSE start - 1 + o END AS pos, meth_id, contig_len FROM d)
-    SELECT contig, CAST(pos AS INTEGER) AS pos, meth_id FROM p WHERE pos >= 0 AND pos < contig_len"""
+    f"""WITH h AS (SELECT *, trim(regexp_extract(attributes, '(?:pattern_name|name|pattern)=([^;]+)', 1, 'i')) AS name FROM {X._values(X.GFF_ROWS, 'contig, start, stop, strand, attributes, contig_len')}),
+    d AS (SELECT *, len(string_split(name, '_')) >= 3 AND try_cast(string_split(name, '_')[-1] AS INTEGER) IS NOT NULL AS ok FROM h),
+    p AS (SELECT *, CASE WHEN ok THEN {_METH.format("string_split(name, '_')[1]")} ELSE 0 END AS meth_id, CASE WHEN ok THEN try_cast(string_split(name, '_')[-1] AS INTEGER) ELSE 0 END AS o FROM d),
+    q AS (SELECT contig, CASE WHEN strand = '+' THEN start - 1 + o ELSE stop - 1 - o END AS pos, meth_id, contig_len FROM p)
+    SELECT contig, CAST(pos AS INTEGER) AS pos, meth_id FROM q WHERE pos >= 0 AND pos < contig_len"""
 )
 def gff_hit_positions(spark, sf):
     hits = spark.createDataFrame(X.GFF_ROWS, "contig string, start int, stop int, strand string, attributes string, contig_len int")
@@ -157,9 +160,8 @@ def gff_hit_positions(spark, sf):
 
 
 def _scan_sql(compiled):
-    return f"""WITH {X.READS_SQL}, pos AS (SELECT doc_id, seq, unnest(range(0, length(seq))) AS p FROM reads),
-    hits AS (SELECT doc_id, p + off AS p, meth_id, ord FROM pos JOIN {X.motifs_sql(compiled)} m ON p + len <= length(seq) AND regexp_full_match(substring(seq, CAST(p + 1 AS INTEGER), len), re) WHERE p + off >= 0 AND p + off < length(seq))
-    SELECT doc_id, CAST(p AS BIGINT) AS pos, CAST(arg_max(meth_id, ord) AS INTEGER) AS meth_id FROM hits GROUP BY doc_id, p HAVING arg_max(meth_id, ord) <> 0"""
+    return f"""WITH {X.READS_SQL}, pos AS ({X.places_sql('reads', 'doc_id')}), marked AS ({X.marks_sql('pos', 'doc_id', compiled)})
+    SELECT doc_id, CAST(p AS BIGINT) AS pos, CAST(meth_id AS INTEGER) AS meth_id FROM marked WHERE meth_id <> 0"""
 
 
 @query(_scan_sql(FORWARD))
@@ -242,7 +244,6 @@ def global_unmeth_mean(spark, sf):
     return _table(spark, sf).where("meth_id = 0").agg(F.round(F.avg(F.col("sum_ipd") / F.col("n")), 6).alias("mean_ipd"), F.round(F.avg(F.col("sum_pw") / F.col("n")), 6).alias("mean_pw"))
 
 
-_CAP, _CAP2 = 10, 15  # of the SQL only
 _EXTRACT, _MERGE = 10_000, 50_000
 _ORDER_SQL = "md5(CAST(doc_id AS VARCHAR) || ':' || CAST({} AS VARCHAR))"
 
@@ -258,18 +259,18 @@ def _capped(limit, src, by=""):
 _S = "s AS (SELECT doc_id, CAST(i AS INTEGER) AS pos, kmer, meth_id, CAST(ipd AS FLOAT) AS ipd, CAST(pw AS FLOAT) AS pw, strain FROM win)"
 
 
-@query(f"WITH {_W}, {_S} {_capped(_CAP, 's')}")
+@query(f"WITH {_W}, {_S} {_capped(_EXTRACT, 's')}")
 def sample_cap_extract(spark, sf):
     return train.cap(_windows(spark, sf), _EXTRACT, _order())
 
 
-@query(f"WITH {_W}, {_S}, parts AS ({_capped(_CAP, 's', ', strain')}) {_capped(_CAP2, 'parts')}")
+@query(f"WITH {_W}, {_S}, parts AS ({_capped(_EXTRACT, 's', ', strain')}) {_capped(_MERGE, 'parts')}")
 def sample_cap_merge(spark, sf):
     per = train.samples(X.reads(spark, sf), COMPILED, ["doc_id", "strain"])
     return train.cap(train.cap(per, _EXTRACT, _order(), ("kmer", "meth_id", "strain")).drop("strain"), _MERGE, _order())
 
 
-@query(f"WITH {_W}, {_S}, c AS ({_capped(_CAP, 's')}) SELECT CAST(count(*) AS BIGINT) AS contexts, CAST(sum(n) AS BIGINT) AS samples FROM (SELECT kmer, meth_id, count(*) AS n FROM c GROUP BY kmer, meth_id)")
+@query(f"WITH {_W}, {_S}, c AS ({_capped(_EXTRACT, 's')}) SELECT CAST(count(*) AS BIGINT) AS contexts, CAST(sum(n) AS BIGINT) AS samples FROM (SELECT kmer, meth_id, count(*) AS n FROM c GROUP BY kmer, meth_id)")
 def sample_totals(spark, sf):
     g = sample_cap_extract(spark, sf).groupBy("kmer", "meth_id").agg(F.count("*").alias("n"))
     return g.agg(F.count("*").alias("contexts"), F.sum("n").alias("samples"))
@@ -316,8 +317,8 @@ def context_linear(spark, sf):
 
 
 @query(
-    f"""WITH {_J}, l AS (SELECT species, read_name, {_LINEAR} AS ctx, length(seq) AS n FROM mapped WHERE contig_seq IS NOT NULL),
-    b AS (SELECT species, read_name, ctx, unnest(range(0, n)) AS pos FROM l) SELECT species, read_name, CAST(count(*) AS BIGINT) AS bases, CAST(count(*) FILTER (WHERE contains(substring(ctx, CAST(pos + 1 AS INTEGER), 11), 'N')) AS BIGINT) AS defaults FROM b GROUP BY species, read_name"""
+    f"""WITH {_J}, l AS (SELECT species, read_name, {_LINEAR} AS ctx FROM mapped WHERE contig_seq IS NOT NULL), b AS ({X.places_sql('l', 'species, read_name', 'ctx')})
+    SELECT species, read_name, CAST(count(*) AS BIGINT) AS bases, CAST(count(*) FILTER (WHERE contains(left(w, 11), 'N')) AS BIGINT) AS defaults FROM b WHERE p + 11 <= n GROUP BY species, read_name"""
 )
 def n_window_default(spark, sf):
     j, c = _joined(spark, sf)
@@ -329,13 +330,11 @@ def _contig_marks(c):
     return train.marks(c, COMPILED, ["species", "contig"])
 
 
-_CMARK = f"""cpos AS (SELECT species, seq, unnest(range(0, length(seq))) AS p FROM contigs),
-chits AS (SELECT species, p + off AS p, meth_id, ord FROM cpos JOIN {X.motifs_sql(COMPILED)} m ON p + len <= length(seq) AND regexp_full_match(substring(seq, CAST(p + 1 AS INTEGER), len), re) WHERE p + off >= 0 AND p + off < length(seq)),
-cmark AS (SELECT species, p, arg_max(meth_id, ord) AS meth_id FROM chits GROUP BY species, p)"""
-_MBASE = f"""mb0 AS (SELECT species, read_name, {_CTX.replace("repeat(contig_seq, 3)", "repeat(contig_seq, 3 + CAST(length(seq) // length(contig_seq) AS INTEGER))")} AS ctx, ref_start, length(contig_seq) AS clen, length(seq) AS n FROM mapped WHERE contig_seq IS NOT NULL),
-mb1 AS (SELECT *, unnest(range(0, n)) AS pos FROM mb0),
-mb AS (SELECT b.species, b.read_name, CAST(pos AS INTEGER) AS pos, {X.encode_sql("substring(ctx, CAST(pos + 1 AS INTEGER), 11)")} AS kmer, CAST(coalesce(c.meth_id, 0) AS INTEGER) AS meth_id, false AS is_n
-  FROM mb1 b LEFT JOIN cmark c ON c.species = b.species AND c.p = (b.ref_start + b.pos) % b.clen)"""
+_CMARK = f"cpos AS ({X.places_sql('contigs', 'species')}), cmark AS ({X.marks_sql('cpos', 'species', COMPILED)})"
+_MBASE = f"""mb0 AS (SELECT species, read_name, {_CTX.replace("repeat(contig_seq, 3)", "repeat(contig_seq, 3 + CAST(length(seq) // length(contig_seq) AS INTEGER))")} AS ctx, ref_start, length(contig_seq) AS clen FROM mapped WHERE contig_seq IS NOT NULL),
+mb1 AS ({X.places_sql('mb0', 'species, read_name, ref_start, clen', 'ctx')}),
+mb AS (SELECT b.species, b.read_name, CAST(b.p AS INTEGER) AS pos, {X.encode_sql("b.w")} AS kmer, CAST(coalesce(c.meth_id, 0) AS INTEGER) AS meth_id, false AS is_n
+  FROM mb1 b LEFT JOIN cmark c ON c.species = b.species AND c.p = (b.ref_start + b.p) % b.clen WHERE b.p + 11 <= b.n)"""
 _FULL = f"{_DICT}, {X.REF_SQL}, {_CMARK}, {_MBASE}"
 
 
@@ -345,11 +344,9 @@ def inject_params_mapped(spark, sf):
     return inject.parameters(inject.mapped_bases(j, _contig_marks(c)), _table(spark, sf))
 
 
-_UBASE = f"""um AS (SELECT doc_id, species, read_name, seq FROM mapped WHERE contig_seq IS NULL), upos AS (SELECT doc_id, seq, unnest(range(0, length(seq))) AS p FROM um),
-uhits AS (SELECT doc_id, p + off AS p, meth_id, ord FROM upos JOIN {X.motifs_sql(COMPILED)} m ON p + len <= length(seq) AND regexp_full_match(substring(seq, CAST(p + 1 AS INTEGER), len), re) WHERE p + off >= 0 AND p + off < length(seq)),
-umark AS (SELECT doc_id, p, arg_max(meth_id, ord) AS meth_id FROM uhits GROUP BY doc_id, p),
-ub AS (SELECT u.species, u.read_name, CAST(x.p AS INTEGER) AS pos, CASE WHEN x.p >= 10 THEN {X.encode_sql("substring(x.seq, CAST(greatest(x.p - 9, 1) AS INTEGER), 11)")} END AS kmer,
-  CAST(CASE WHEN x.p < 10 THEN 0 ELSE coalesce(m.meth_id, 0) END AS INTEGER) AS meth_id, x.p < 10 AS is_n FROM upos x JOIN um u USING (doc_id) LEFT JOIN umark m ON m.doc_id = x.doc_id AND m.p = x.p - 5)"""
+_UBASE = f"""um AS (SELECT doc_id, species, read_name, seq FROM mapped WHERE contig_seq IS NULL), upos AS ({X.places_sql('um', 'doc_id, species, read_name')}), umark AS ({X.marks_sql('upos', 'doc_id', COMPILED)}),
+ub AS (SELECT x.species, x.read_name, CAST(x.p AS INTEGER) AS pos, CASE WHEN x.p >= 10 THEN {X.encode_sql("e.w")} END AS kmer, CAST(CASE WHEN x.p < 10 THEN 0 ELSE coalesce(m.meth_id, 0) END AS INTEGER) AS meth_id, x.p < 10 AS is_n
+  FROM upos x LEFT JOIN upos e ON e.doc_id = x.doc_id AND e.p = x.p - 10 LEFT JOIN umark m ON m.doc_id = x.doc_id AND m.p = x.p - 5)"""
 
 
 @query(f"WITH {_DICT}, {X.REF_SQL}, {_UBASE} SELECT ub.species, read_name, pos, ub.kmer, ub.meth_id, is_n, {_params_sql('d.')} FROM ub LEFT JOIN dict d ON d.kmer = ub.kmer AND d.meth_id = ub.meth_id AND NOT is_n")
@@ -411,7 +408,7 @@ def species_motif_join(spark, sf):
     return X.reads(spark, sf).select("species").join(m, "species", "left").groupBy("species", "motifs").agg(F.count("*").alias("n_reads"))
 
 
-@query(f"SELECT path, motifs FROM {X._values(X.PAIRS, 'path, motifs')} WHERE motifs <> '' AND motifs NOT LIKE '%/%'")
+@query(f"SELECT path, motifs FROM {X._values(X.PAIRS, 'path, motifs')} WHERE motifs <> '' AND NOT contains(motifs, '/') AND NOT ends_with(motifs, '.csv') AND NOT ends_with(motifs, '.txt')")
 def prepare_pairs(spark, sf):
     from pulsegrid.operators.prepare import prepared
 
@@ -419,13 +416,31 @@ def prepare_pairs(spark, sf):
     return spark.createDataFrame(prepared(spark, lines), "path string, motifs string")
 
 
-@query(f"WITH {X.READS_SQL}, e AS (SELECT strain, seq, unnest(range(0, length(seq))) AS p FROM reads WHERE length(seq) >= 11) SELECT strain, CAST(count(*) AS BIGINT) AS bases, CAST(count(*) FILTER (WHERE p < 5 OR p > length(seq) - 6) AS BIGINT) AS edge_bases FROM e GROUP BY strain")
+_WF_MARK = f"{_DICT}, all_pos AS ({X.places_sql('reads', 'doc_id')}), all_mark AS ({X.marks_sql('all_pos', 'doc_id', FORWARD)}), plain AS (SELECT avg(sum_ipd / n) AS mi, avg(sum_pw / n) AS mp FROM dict WHERE meth_id = 0)"
+
+
+def _edge_sql(name: str, mean: str) -> str:
+    key = f"concat_ws('|', '0', CAST(b.doc_id AS VARCHAR), CAST(b.p AS VARCHAR), '{name}')"
+    mu = f"CASE WHEN edge THEN {mean} WHEN d.n IS NULL THEN 1.0 ELSE d.sum_{name} / d.n END"
+    sd = f"CASE WHEN edge THEN 0.2 WHEN d.n IS NULL THEN 0.1 ELSE sqrt(greatest(0.0, d.sum_{name}2 / d.n - (d.sum_{name} / d.n) * (d.sum_{name} / d.n))) END"
+    normal = f"sqrt(-2.0::DOUBLE * ln({_uniform_sql(key, 0)})) * cos(6.283185307179586::DOUBLE * {_uniform_sql(key, 1)})"
+    return f"floor(greatest(0.0::DOUBLE, CAST({mu} AS DOUBLE) + CAST({sd} AS DOUBLE) * ({normal})) * 255)"
+
+
+@query(
+    f"""WITH {_WF_MARK}, b AS (SELECT x.doc_id, x.p, x.p < 5 OR x.p > x.n - 6 AS edge, c.w AS around, coalesce(m.meth_id, 0) AS meth_id
+      FROM all_pos x LEFT JOIN all_pos c ON c.doc_id = x.doc_id AND c.p = x.p - 5 LEFT JOIN all_mark m ON m.doc_id = x.doc_id AND m.p = x.p),
+    k AS (SELECT doc_id, p, edge, CASE WHEN NOT edge THEN {X.encode_sql('around')} END AS kmer, meth_id FROM b)
+    SELECT doc_id, count(*) AS bases, count(*) FILTER (WHERE edge) AS edge_bases, CAST(sum({_edge_sql('ipd', 'mi')}) AS BIGINT) AS sum_ipd, CAST(sum({_edge_sql('pw', 'mp')}) AS BIGINT) AS sum_pw
+    FROM k b CROSS JOIN plain LEFT JOIN dict d ON d.kmer = b.kmer AND d.meth_id = b.meth_id GROUP BY doc_id"""
+)
 def edge_noise_frame(spark, sf):
-    r = X.reads(spark, sf).where("length(seq) >= 11").select("strain", F.length("seq").cast("long").alias("n"))
-    return r.groupBy("strain").agg(F.sum("n").alias("bases"), F.sum(F.least(F.col("n"), F.lit(10))).alias("edge_bases"))
+    """Signals of every base with noise at the edges of reads; forward motifs only. Summed per read."""
+    bases = inject.edge_noise(X.reads(spark, sf), FORWARD, _table(spark, sf), ["doc_id"])
+    return bases.groupBy("doc_id").agg(F.count("*").alias("bases"), F.count_if("is_edge").alias("edge_bases"), F.sum("ipd").alias("sum_ipd"), F.sum("pw").alias("sum_pw"))
 
 
-@query(f"WITH {X.READS_SQL} SELECT read_name, seq, '[' || array_to_string(fi, ', ') || ']' AS fi, 'None' AS fx FROM reads WHERE doc_id < 50")
+@query(f"""WITH {X.READS_SQL} SELECT read_name, seq, {', '.join(f"coalesce('[' || array_to_string({t}, ', ') || ']', 'None') AS {t}" for t in ('fi', 'ri', 'fp', 'rp'))} FROM reads WHERE length(seq) > 0""")
 def bam_dump(spark, sf):
     """Every read with a sequence and its four tags, as the reference prints them."""
     text = lambda c: F.coalesce(F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]")), F.lit("None"))
@@ -454,4 +469,4 @@ def gan_generate(spark, sf):
     return infer.generate(train.samples(X.reads(spark, sf), COMPILED, ["doc_id"]).select("doc_id", "pos", "kmer", "meth_id"), model.new_generator(seed=1))
 
 
-__all__ = ["QUERIES", "SQL", "math"]
+__all__ = ["QUERIES", "SQL"]

@@ -97,7 +97,7 @@ def test_motif_sources(spark, tmp_path):
     assert motifs.load(spark, str(p)) == "m6A,GATC,1,20,1;m4C,GCCGGCY,1,7161,0.406229;m6A,CTGCAG,4,3638,0.955357"
     q = tmp_path / "r.txt"
     q.write_text("# enzymes\nGATC\t2(6)\nshort\nGCWGC 2(4),-1(6),0(6),9(6),1(8)\n")
-    assert motifs.load(spark, str(q)) == "m6A,GATC,1;m5C,GCWGC,1;m6A,GCWGC,4"
+    assert motifs.load(spark, str(q)) == "m6A,GATC,1;m4C,GCWGC,1;m6A,GCWGC,4"
     q.write_text("ID   x\nRS   GA^TC;\nMS   2(6mA)\n//\nID   y\nRS   ?\nMS   1(6)\n//\nID   z\nRS   CC\nMS   1(5)\n")
     assert motifs.load(spark, str(q)) == "m6A,GATC,1"
     assert motifs.load(spark, "m6A,A,0") == "m6A,A,0"
@@ -108,6 +108,60 @@ def test_motif_sources(spark, tmp_path):
         prepare.pairs(["one"])
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("CCWGG 2(5),-1(4)\nGATC 2(6)", "m5C,CCWGG,1;m4C,CCWGG,4;m6A,GATC,1"),  # 6: m6A, 5: m5C, 4: m4C
+        ("GATC 2(66),0(6),-4(6),-5(6)", "m6A,GATC,0"),
+        ("ID   a\nRS   TCGA, ?;\nMS   4(6mA)\n//", "m6A,TCGA,3"),
+        ("ID   a\nRS   GATC\nMS   2(6),2(6mA)\n//", "m6A,GATC,1"),  # numbers are unknown in records
+        ("ID   a\n//\nRS\tGTAC, 2;\nMS\t3(6mA),4(N4mC)\n//", "m6A,GTAC,2;m4C,GTAC,3"),
+        ("ID   a\nRS   CC\nRS   GGCC\nMS   1(5mC)\nMS   3(5mC),-1(N4mC)\n//", "m5C,GGCC,2;m4C,GGCC,3"),
+        ("ID   a\nRS   GATC\nMS   ?\n//\nID   b\nRS   GATC\nMS   2(6mA)", ""),
+    ],
+)
+def test_enzyme_databases(text, want):
+    assert motifs.parse_rebase(text.split("\n")) == want
+
+
+def test_fuzzy_hits(spark, tmp_path):
+    row = lambda contig, start, stop, strand, attrs: "\t".join([contig, "tool", "match", str(start), str(stop), "0", strand, ".", attrs])
+    lines = [
+        "##gff-version 3", "", row("c", 1, 4, "+", "Pattern_name=m6A_GATC_1"), row("c", 5, 8, "-", "ID=x.1;Name=m4C_CCWGG_1;Note=y"), row("c", 9, 12, "+", "pattern=m5C_RCCGGY_2"), "c\ttool\tmatch\t1\t2",
+        row("c", 1, 4, "+", "note=none"), row("c", 2, 5, "+", "name=zzz_A_0"), row("c", 5, 8, "-", "NAME=m5C_CC_1"), row("c", 15, 18, "+", "Name=m6A_GATC_3"), row("gone", 1, 4, "+", "Name=m6A_GATC_1"), row("c", 12, 12, "+", "Name=own_name"), row("c", 1, 1, "-", "Name=m6A_GATC_3"),
+    ]
+    (tmp_path / "hits.gff").write_text("\n".join(lines) + "\n")
+    hits = motifs.read_gff(spark, str(tmp_path / "hits.gff"))
+    assert hits.count() == 10
+    known = spark.createDataFrame([("own_name", 2, 0), ("m6A_GATC_1", 1, 1)], "name string, meth_id int, pos int")
+    got = motifs.gff_marks(hits, spark.createDataFrame([("c", "A" * 16)], "contig string, seq string"), known).collect()
+    # place 1: m6A, erased by zzz; place 6: m4C, then m5C; place 0: no name; 17 lies outside, as does -3
+    assert sorted((r.contig, r.pos, r.meth_id) for r in got) == [("c", 6, 3), ("c", 10, 3), ("c", 11, 2)]
+    assert motifs.known_patterns("m6A,GATC,1;m6A,GATC,1,5;x;odd,CC,0") == [("m6A_GATC_1", 1, 1), ("odd_CC_0", 0, 0)]
+
+
+def test_edge_noise(spark):
+    r = random.Random(8)
+    seqs = ["".join(r.choice("ACGTACGTACGTN") for _ in range(n)) for n in (40, 11, 10, 3, 0, 200)] + [None]
+    reads = spark.createDataFrame(list(enumerate(seqs)), "doc_id int, seq string")
+    forward = motifs.compile_motifs("m6A,GATC,1;m4C,CNA,1", both_strands=False)
+    code = lambda w: int("".join(c if c in "ACGT" else "A" for c in w).translate(str.maketrans("ACGT", "0123")), 4)
+    keys = {(code(s[i - 5 : i + 6]), brute_marks(s, forward)[i]) for s in seqs if s for i in range(5, len(s) - 5)}
+    table = spark.createDataFrame([(k, m, 4, 4.0 * (k % 7), 4.0 * (k % 7) ** 2, 8.0, 16.0) for k, m in sorted(keys) if k % 3], "kmer int, meth_id int, n long, sum_ipd double, sum_ipd2 double, sum_pw double, sum_pw2 double")
+    plain = [k % 7 for k, m in keys if k % 3 and m == 0]
+    got = {(x.doc_id, x.pos): x for x in inject.edge_noise(reads, forward, table, ["doc_id"]).collect()}
+    assert len(got) == sum(len(s or "") for s in seqs)
+    for d, s in enumerate(seqs):
+        for i in range(len(s or "")):
+            x, edge = got[d, i], i < 5 or i > len(s) - 6
+            assert x.is_edge == edge and x.meth_id == brute_marks(s, forward)[i] and x.kmer == (None if edge else code(s[i - 5 : i + 6]))
+            mean, dev = (sum(plain) / len(plain), 0.2) if edge else (x.kmer % 7, 0.0) if x.kmer % 3 else (1.0, 0.1)
+            assert abs(x.ipd / 255 - max(0, mean)) <= 5 * dev + 1 / 255
+            if not edge and x.kmer % 3:
+                assert x.ipd == 255 * (x.kmer % 7) and x.pw == 510
+    assert inject.edge_noise(reads, forward, table.limit(0), ["doc_id"]).count() == len(got)
+
+
 def test_files_round_trip(spark, tmp_path):
     files.register(spark)
     (tmp_path / "a.fq").write_text("@r1 extra\nACGT\n+\nIIII\n@r2\nGG\n+\n!!\n")
