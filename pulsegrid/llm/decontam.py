@@ -1,37 +1,47 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts are read as templates: numbers, names and units become typed placeholders,
-all other words their lower-cased cores.  Windows of template tokens are joined by
-hash with those of the benchmark items; where windows meet, the values in their
-slots are compared; windows of few literal words meet only with equal values.  An item
-leaks into a document if windows cover enough of it, or a long run in one piece,
-and each slot value of the item meets one value throughout, the same (a plain copy)
-or another (a question with new parameters).
+all other words their lower-cased cores.  The windows of template tokens of all
+benchmark items form one table, (key, item, place), those of the documents another,
+and both are joined by key.  Where windows meet, the values in their slots are
+compared; windows of few literal words meet only with equal values.  An item leaks
+into a text if windows cover enough of it, or a long run in one piece, and each slot
+value of the item meets one value throughout, the same (a plain copy) or another (a
+question with new parameters).
+
+1. *Items*: their windows, written.  A bitmap of fixed size holds their keys.
+2. *Texts*: one pass over the documents keeps the windows whose keys are in the
+   bitmap; copies of a text are merged before anything else moves.
+3. *Join* by key, by broadcast only where the items' windows are few by count.
+4. *Decision*: the matches of a text and an item are streamed in order past a state
+   as large as the item.  Nothing of a text but its matched windows is shuffled.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import EXACT, U64, Words, bytes_of, fold_latin, slices, span_hashes, window_hashes
+from .scratch import drop, unused, written
+from .textkernel import EXACT, U64, Words, bytes_of, fold_latin, mix, slices, span_hashes, window_hashes
 
 # Words that are units when they follow a number.
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ml cl l liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years eur euro euros usd dollar dollars cent cents percent degree degrees mph kmh kb mb gb tb hz khz mhz ghz w kw v a j kj pa".split()
 
 WINDOW = 8  # template tokens
 LITERALS = 4  # words of a window that must not be placeholders, or else the slot values must be the same
-SHORTEST = 4  # items of fewer tokens are too common to be told from chance and never leak
+SHORTEST = 4  # items of fewer tokens leak by the same words only
 COVER = 0.6  # least share of an item's tokens in matched windows
 RUN = 40  # tokens matched in one piece that count as a leak whatever their share
 CONSISTENT = 0.75  # least share of an item's slot values that meet one value throughout
-BLOCK_BYTES = 16 << 20  # benchmark text held at once
+LOOKUP_ROWS = 200_000  # rows up to which a table is broadcast; beyond, joins shuffle
+FILTER_BITS = 28  # the filter of window keys has 2 ** this many bits at most
 
 NUM, NAME, UNIT = U64(0x1111111111111111), U64(0x2222222222222222), U64(0x3333333333333333)
 
@@ -67,7 +77,7 @@ def canonical(buf: np.ndarray, off: np.ndarray) -> Templates:
 
     Number: holds a digit.  Unit: a known unit right after a number.  Name: starts with
     a capital, has small letters, and neither starts a text or line nor follows [.!?:].
-    As a word may stand so in one text and not in the other, windows are also compared
+    As a word may stand so in one text and not in the other, windows are also read
     with all capitalised words as names, and with all tokens as they are.
     """
     words = Words(buf, off)
@@ -86,7 +96,7 @@ def canonical(buf: np.ndarray, off: np.ndarray) -> Templates:
     number = digits[hi] > digits[lo]
     head, nxt = buf[lo], buf[np.minimum(lo + 1, len(buf) - 1)]
     capital = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (nxt >= 0x80) & (nxt <= 0x9E))
-    named = capital & (small[hi] - small[np.minimum(lo + 1, hi)] > 0)
+    named = capital & (small[hi] - small[np.minimum(lo + 1 + (head == 0xC3), hi)] > 0)
     opens = np.ones(len(lo), bool)
     if len(lo) > 1:
         lines = sums(buf == 10)
@@ -103,129 +113,270 @@ def canonical(buf: np.ndarray, off: np.ndarray) -> Templates:
     return Templates(kind, value, seen(kind), first, kinds, seen(kinds))
 
 
-class Index:
-    """Windows of a block of benchmark items."""
+def template_windows(t: Templates, size: int, item: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, first tokens, kinds) of all windows of ``size`` tokens within one row, for each reading.
 
-    def __init__(self, items: list[tuple[object, str | None]]):
-        self.ids = [i for i, _ in items]
-        self.t = canonical(*bytes_of(pa.array([x or "" for _, x in items], pa.string())))
-        # what windows see, the kinds that are slots then, the hashes by size and the windows' places, for each reading
-        t = self.t
-        self.readings = [[see, kind, {}, defaultdict(list)] for see, kind in (("token", t.kind), ("tokens", t.kinds), ("value", t.kind))]
-        for k in range(len(items)):
-            a, b = int(t.first[k]), int(t.first[k + 1])
-            size = min(WINDOW, b - a)
-            if size < SHORTEST:
-                continue
-            for see, kind, _, places in self.readings:
-                own = window_hashes(getattr(t, see)[a:b], size)
-                words = np.convolve(kind[a:b] == 0, np.ones(size, int), "valid")
-                for p, n in enumerate(words):  # few literals: only with equal values
-                    if see == "value" or n >= min(LITERALS, size):
-                        places[size, int(own[p])].append((k, p))
-        for _, _, sizes, places in self.readings:
-            for size in {s for s, _ in places}:
-                sizes[size] = np.sort(np.array([h for s, h in places if s == size], U64))
+    Both template readings share their keys, so that a window meets another under either
+    reading of both; a window that is the same in both comes once.  Windows with their
+    values have keys of their own.  Of an item, template windows of few literals are left out.
+    """
+    n = np.maximum(0, np.diff(t.first) - size + 1)
+    at = np.arange(int(n.sum())) + np.repeat(t.first[:-1] - (np.cumsum(n) - n), n)
+    if not len(at):
+        return
+    span = at[:, None] + np.arange(size)
+    seen: list[np.ndarray] = []
+    for reading, (tokens, kind) in enumerate(((t.token, t.kind), (t.tokens, t.kinds), (t.value, t.kind))):
+        exact = reading == 2
+        keys = mix(window_hashes(tokens, size)[at] + U64(2 * size + exact))
+        own = kind[span]
+        use = np.ones(len(at), bool)
+        if reading == 1:
+            use = keys != seen[0]
+        if item and not exact:
+            use &= ((own == 0).sum(1) >= min(LITERALS, size)) & (size >= SHORTEST)
+        seen.append(keys)
+        yield keys[use], at[use], own[use]
 
-    def leaks(self, buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, float, bool]]:
-        """(row, item, matched windows, share of the item covered, whether slot values differ) of every leak in a slice."""
-        t = canonical(buf, off)
-        hits: dict[tuple[int, int], dict[tuple[int, int, int], np.ndarray]] = defaultdict(dict)
-        for see, kind, sizes, window in self.readings:
-            for size, keys in sizes.items():
-                h = window_hashes(getattr(t, see), size)
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                found = np.flatnonzero(keys[at] == h)
-                rows = np.searchsorted(t.first, found, "right") - 1
-                inside = found + size <= t.first[rows + 1]
-                for p, r in zip(found[inside].tolist(), rows[inside].tolist(), strict=True):
-                    for k, q in window[size, int(h[p])]:
-                        hits[r, k].setdefault((p, q, size), kind)  # the first reading under which they meet
-        for (r, k), places in hits.items():
-            a = int(self.t.first[k])
-            length = int(self.t.first[k + 1]) - a
-            covered = np.zeros(length, bool)
-            meets: dict[tuple[int, int], Counter] = defaultdict(Counter)
-            for (p, q, size), kind in places.items():
-                covered[q : q + size] = True
-                for j in np.flatnonzero(kind[a + q : a + q + size]).tolist():
-                    meets[int(kind[a + q + j]), int(self.t.value[a + q + j])][int(t.value[p + j])] += 1
-            share = covered.mean()
-            if share < COVER and _longest_run(places) < RUN:
-                continue
-            # a slot value must meet one value; where a text holds the item twice, its commonest partner may share half
-            steady = sum(c.most_common(1)[0][1] * 2 > sum(c.values()) or value in c for (_, value), c in meets.items())
-            if meets and steady < CONSISTENT * len(meets):
-                continue
-            yield r, k, len({q for _, q, _ in places}), float(share), any(value not in c for (_, value), c in meets.items())
-
-
-def _longest_run(places: Iterable[tuple[int, int, int]]) -> int:
-    """Tokens of the longest piece whose windows (place in the document, place in the item, size) overlap or touch in both texts."""
-    best, last, start, end = 0, None, 0, 0
-    for shift, q, size in sorted((p - q, q, size) for p, q, size in places):
-        if shift != last or q > end:
-            last, start = shift, q
-        end = q + size
-        best = max(best, end - start)
-    return best
-
-
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list]:
-    """The items in blocks of bounded size, whatever the benchmark's."""
-    block, held = [], 0
-    for r in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).toLocalIterator():
-        block.append((r["i"], r["t"]))
-        held += len(r["t"] or "") + 64
-        if held >= BLOCK_BYTES:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+
+@dataclass
+class Match:
+    """What the matched windows of one item in one text add up to; they come ordered by shift, place in the item, and slots."""
+
+    length: int
+    covered: np.ndarray = field(init=False)
+    places: set = field(default_factory=set)
+    meets: dict = field(default_factory=lambda: defaultdict(Counter))
+    last: tuple = (None, None)
+    run: tuple = (0, 0)  # the present piece of the item
+    longest: int = 0
+
+    def __post_init__(self):
+        self.covered = np.zeros(self.length, bool)
+
+    def add(self, p: int, q: int, kinds: bytes, item: np.ndarray, text: np.ndarray) -> None:
+        """A window at ``p`` of the text and ``q`` of the item, with its kinds and both sides' values."""
+        if (p - q, q) == self.last:
+            return  # the same place under another reading, with more slots
+        size = len(kinds)
+        self.run = (self.run[0], q + size) if self.last[0] == p - q and q <= self.run[1] else (q, q + size)
+        self.last = (p - q, q)
+        self.longest = max(self.longest, self.run[1] - self.run[0])
+        self.covered[q : q + size] = True
+        self.places.add(q)
+        for k, kind in enumerate(kinds):
+            if kind:
+                self.meets[kind, int(item[k])][int(text[k])] += 1
+
+    def leak(self) -> tuple[int, float, bool] | None:
+        """(matched windows, share of the item covered, whether slot values differ), or None."""
+        share = float(self.covered.mean())
+        if share < COVER and self.longest < RUN:
+            return None
+        # a slot value must meet one value; where a text holds the item twice, its commonest partner may share half
+        steady = sum(c.most_common(1)[0][1] * 2 > sum(c.values()) or value in c for (_, value), c in self.meets.items())
+        if self.meets and steady < CONSISTENT * len(self.meets):
+            return None
+        return len(self.places), share, any(value not in c for (_, value), c in self.meets.items())
+
+
+def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """Written (iid, item_id, text): a number for each row, so that repeated rows stay apart."""
+    return written(benchmark.select(F.monotonically_increasing_id().alias("iid"), F.col(item_id).alias("item_id"), F.col(text).alias("text")), "items")
+
+
+def _rows(parts: list[tuple], t: Templates, size_of: list[int]) -> tuple[np.ndarray, ...]:
+    """Rows, places and fixed-width bytes (values of WINDOW tokens, the spare ones 0) of windows found."""
+    at = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+    row = np.searchsorted(t.first, at, "right") - 1
+    values = np.zeros((len(at), WINDOW), U64)
+    lo = 0
+    for (_, own, _), size in zip(parts, size_of, strict=True):
+        values[lo : lo + len(own), :size] = t.value[own[:, None] + np.arange(size)]
+        lo += len(own)
+    return row, at - t.first[row], values
+
+
+def _windows(items: DataFrame) -> DataFrame:
+    """Written (key, iid, length, q, kinds, own) of the items' windows, and their sizes."""
+
+    def run(batches):
+        for part, buf, off in slices(batches, "text"):
+            t = canonical(buf, off)
+            lengths = np.diff(t.first)
+            parts, sizes = [], []
+            for size in range(1, WINDOW + 1):
+                fits = lengths == size if size < WINDOW else lengths >= WINDOW
+                for keys, at, kinds in template_windows(t, size, True):
+                    keep = fits[np.searchsorted(t.first, at, "right") - 1]
+                    parts.append((keys[keep], at[keep], kinds[keep]))
+                    sizes.append(size)
+            row, q, values = _rows(parts, t, sizes)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([p[0] for p in parts] or [np.zeros(0, U64)]).view(np.int64)), part.column("iid").take(pa.array(row)), pa.array(lengths[row], pa.int64()), pa.array(q, pa.int64()),
+                    pa.array([k.astype(np.uint8).tobytes() for p in parts for k in p[2]], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary()),
+                ],
+                names=["key", "iid", "length", "q", "kinds", "own"],
+            )
+
+    return written(items.select("iid", "text").mapInArrow(run, "key bigint, iid bigint, length bigint, q bigint, kinds binary, own binary"), "windows")
+
+
+_CHUNK = 1 << 13  # bytes of the filter in a row
+
+
+def _probes(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Four places of each key in a filter of 2 ** bits bits."""
+    return [(keys >> U64(s)) & U64((1 << bits) - 1) for s in (0, 11, 23, 64 - bits)]
+
+
+def _filter(windows: DataFrame, rows: int) -> tuple[int, np.ndarray]:
+    """(bits, bitmap): about 32 bits a key, 2 ** FILTER_BITS at most, so its size is bounded whatever the benchmark's. It only spares the join keys that no item has."""
+    bits = min(FILTER_BITS, max(17, (32 * rows).bit_length()))
+
+    def fill(batches):
+        out = np.zeros(1 << (bits - 3), np.uint8)
+        for b in batches:
+            for at in _probes(b.column("key").to_numpy().view(U64), bits):
+                np.bitwise_or.at(out, (at >> U64(3)).astype(np.int64), np.left_shift(1, (at & U64(7)).astype(np.uint8)).astype(np.uint8))
+        chunks = [k for k in range(0, len(out), _CHUNK) if out[k : k + _CHUNK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k // _CHUNK for k in chunks], pa.int64()), pa.array([out[k : k + _CHUNK].tobytes() for k in chunks], pa.binary())], names=["chunk", "bits"])
+
+    def merge(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column("chunk").to_pylist(), b.column("bits").to_pylist(), strict=True):
+                held[k] = held.get(k, 0) | np.frombuffer(x, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.astype(np.uint8).tobytes() for x in held.values()], pa.binary())], names=["chunk", "bits"])
+
+    made = windows.select("key").mapInArrow(fill, "chunk bigint, bits binary").repartition("chunk").mapInArrow(merge, "chunk bigint, bits binary")
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in made.collect():  # 2 ** (FILTER_BITS - 3) bytes at most
+        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return bits, out
+
+
+def _text_windows(texts: DataFrame, known: tuple[int, np.ndarray], sizes: list[int]) -> DataFrame:
+    """(tk, key, p, met): windows of the texts whose keys the filter holds; copies of a text give the same rows, which merge here."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        bits, bitmap = shared.value
+        for part, buf, off in slices(batches, "text"):
+            t = canonical(buf, off)
+            parts, of = [], []
+            for size in sizes:
+                for keys, at, kinds in template_windows(t, size, False):
+                    hit = np.arange(len(keys))
+                    for k in range(4):
+                        place = _probes(keys[hit], bits)[k]
+                        hit = hit[(bitmap[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8)) & 1 == 1]
+                    parts.append((keys[hit], at[hit], kinds[hit]))
+                    of.append(size)
+            row, p, values = _rows(parts, t, of)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("tk").take(pa.array(row)), pa.array(np.concatenate([x[0] for x in parts] or [np.zeros(0, U64)]).view(np.int64)), pa.array(p, pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())],
+                names=["tk", "key", "p", "met"],
+            )
+
+    return texts.mapInArrow(run, "tk binary, key bigint, p bigint, met binary").distinct()
+
+
+def _key(text: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+def _found(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """Written tables: (tk, iid, n_windows, coverage, reparameterised) of every text into which an item leaks, and the items."""
+    items = _items(benchmark, item_id, item_text)
+    windows = _windows(items)
+    stats = windows.groupBy(F.length("kinds").alias("size")).count().collect()  # WINDOW rows at most
+    rows = sum(r["count"] for r in stats)
+    hits = _text_windows(docs.select(_key(text).alias("tk"), F.col(text).alias("text")), _filter(windows, rows), sorted(r["size"] for r in stats))
+    few = F.broadcast(windows) if rows <= LOOKUP_ROWS else windows
+    met = hits.join(few, "key").select("tk", "iid", (F.col("p") - F.col("q")).alias("shift"), "q", F.length(F.translate(F.hex("kinds"), "0", "")).alias("slots"), "length", "kinds", "own", "met")
+    dealt = met.repartition("tk", "iid").sortWithinPartitions("tk", "iid", "shift", "q", "slots", "kinds")
+
+    def decide(batches):
+        key, match = None, None
+        names = ["tk", "iid", "n_windows", "coverage", "reparameterised"]
+
+        def rows(found):
+            cols = list(zip(*found, strict=True)) if found else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], names=names)
+
+        for b in batches:
+            found = []
+            cols = [b.column(c).to_pylist() for c in ("tk", "iid", "shift", "q", "length", "kinds", "own", "met")]
+            for tk, iid, shift, q, length, kinds, own, text_values in zip(*cols, strict=True):
+                if key != (tk, iid):
+                    if match and (got := match.leak()):
+                        found.append((*key, *got))
+                    key, match = (tk, iid), Match(length)
+                match.add(shift + q, q, kinds, np.frombuffer(own, U64), np.frombuffer(text_values, U64))
+            yield rows(found)
+        if match and (got := match.leak()):
+            yield rows([(*key, *got)])
+
+    out = written(dealt.mapInArrow(decide, "tk binary, iid bigint, n_windows bigint, coverage double, reparameterised boolean"), "leaks")
+    drop(windows)
+    return out, items
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and leaked item: doc_id, item_id, n_windows, coverage, reparameterised.
 
-    Null and empty texts and items leak nothing, nor do items of fewer than four
-    tokens.  Repeated rows of either table each get their rows.  The benchmark is read
-    in blocks of bounded size, one pass over the documents each.
+    Null and empty texts and items leak nothing.  Items of fewer than four tokens, one
+    word even, leak wherever their words stand in this order.  Repeated rows of either
+    table each get their rows.  Ids may be of any type; other columns play no part.
     """
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    ids = {"doc_id": src.schema["doc_id"].dataType.simpleString(), "item_id": benchmark.schema[item_id].dataType.simpleString()}
-    schema = f"doc_id {ids['doc_id']}, item_id {ids['item_id']}, n_windows bigint, coverage double, reparameterised boolean"
-    spark, out = docs.sparkSession, docs.sparkSession.createDataFrame([], schema)
-    for block in _blocks(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            index = Index(shared.value)
-            kind = None
-            for part, buf, off in slices(batches, "text"):
-                kind = part.column("doc_id").type
-                found = list(index.leaks(buf, off))
-                rows = part.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.cast(kind), pa.array([index.ids[f[1]] for f in found]), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.float64()), pa.array([f[4] for f in found], pa.bool_())],
-                    names=["doc_id", "item_id", "n_windows", "coverage", "reparameterised"],
-                ).cast(pa.schema([("doc_id", kind), ("item_id", item_type), ("n_windows", pa.int64()), ("coverage", pa.float64()), ("reparameterised", pa.bool_())]))
-
-        item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(ids["item_id"], pa.string())
-        out = out.unionByName(src.mapInArrow(run, schema))
-    return out
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents into which no item leaks, with all their columns. Rows without an id are judged by their own texts."""
-    cols = docs.columns
-    for block in _blocks(benchmark, "item_id", "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            index = Index(shared.value)
-            for part, buf, off in slices(batches, text):
-                bad = {f[0] for f in index.leaks(buf, off)}
-                yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs.select(*cols)
+    found, items = _found(docs, text, benchmark, item_id, item_text)
+    few = lambda df: F.broadcast(df) if df.count() <= LOOKUP_ROWS else df
+    src = docs.select(F.col(doc_id).alias("doc_id"), _key(text).alias("tk"))
+    return src.join(few(found), "tk").join(few(items.select("iid", "item_id")), "iid").select("doc_id", "item_id", "n_windows", "coverage", "reparameterised")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents into which no item leaks, with all their columns. A row is judged by its own text; null and empty texts stay."""
+    found, items = _found(docs, text, benchmark, item_id, item_text)
+    bad = written(found.select("tk").distinct(), "leaked")
+    drop(found, items)
+    key = unused("tk", docs.columns)
+    bad = bad.withColumnRenamed("tk", key)
+    return docs.withColumn(key, _key(text)).join(F.broadcast(bad) if bad.count() <= LOOKUP_ROWS else bad, key, "left_anti").select(*docs.columns)
+
+
+class Index:
+    """The same decision for texts at hand, without Spark."""
+
+    def __init__(self, items: list[tuple[object, str | None]]):
+        self.ids = [i for i, _ in items]
+        self.t = canonical(*bytes_of(pa.array([x or "" for _, x in items], pa.string())))
+        self.windows: dict[int, list[tuple[int, int, bytes]]] = defaultdict(list)
+        lengths, self.sizes = np.diff(self.t.first), set()
+        for size in range(1, WINDOW + 1):
+            for keys, at, kinds in template_windows(self.t, size, True):
+                row = np.searchsorted(self.t.first, at, "right") - 1
+                for key, a, k, kind in zip(keys.tolist(), at.tolist(), row.tolist(), kinds, strict=True):
+                    if lengths[k] == size or size == WINDOW:
+                        self.sizes.add(size)
+                        self.windows[key].append((k, a, kind.astype(np.uint8).tobytes()))
+
+    def leaks(self, buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, float, bool]]:
+        """(row, item, matched windows, share of the item covered, whether slot values differ) of every leak in a slice."""
+        t, met = canonical(buf, off), []
+        for size in sorted(self.sizes):
+            for keys, at, _ in template_windows(t, size, False):
+                row = np.searchsorted(t.first, at, "right") - 1
+                for key, p, r in zip(keys.tolist(), at.tolist(), row.tolist(), strict=True):
+                    for k, a, kinds in self.windows.get(key, ()):
+                        p0, q = p - int(t.first[r]), a - int(self.t.first[k])
+                        met.append((r, k, p0 - q, q, sum(x > 0 for x in kinds), p, a, kinds))
+        found: dict[tuple[int, int], Match] = {}
+        for r, k, shift, q, _, p, a, kinds in sorted(met):
+            m = found.setdefault((r, k), Match(int(self.t.first[k + 1] - self.t.first[k])))
+            m.add(shift + q, q, kinds, self.t.value[a : a + len(kinds)], t.value[p : p + len(kinds)])
+        for (r, k), m in found.items():
+            if got := m.leak():
+                yield r, k, *got
