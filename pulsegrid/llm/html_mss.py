@@ -6,13 +6,16 @@ come from labelled pages: those whose authors marked their content with
 ``<article>`` or ``<main>``.  A word's weight follows the odds that words of its
 container (innermost block or classed element) stand inside the marked content; a
 tag's cost follows the odds that it stands outside.  The stretch is then widened to
-whole blocks and to every marked element it touches, and cleaned of what is
-boilerplate by name: menus, headers, footers, sidebars, notices, adverts, forms, comments.
+whole blocks and, if it touches a marked element, joined with all marked elements, and
+cleaned of what is boilerplate by name: menus, headers, footers, sidebars, notices,
+adverts, forms, comments.  Names are whole class or id tokens; an element that is
+named so, but without which next to nothing would be left, is no boilerplate.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 from collections import Counter
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import lowest
+from .scratch import unused
 
 # Names of elements and of the classes, ids and roles that mark boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,9 +36,14 @@ BLOCK = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset(("article", "main"))
-DROPPED = frozenset("head script style title textarea noscript template iframe svg xmp nav header footer aside form button select dialog menu search object canvas audio video".split())
+DROPPED = frozenset("head script style title textarea noscript template iframe svg xmp nav header footer aside button select dialog menu search object canvas audio video".split())
+CONTROLS = frozenset("input select textarea button label option fieldset legend".split())
 DROPPED_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer masthead notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond pagination pager toolbar widget widgets skip".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs header footer masthead notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond pagination pager toolbar widget widgets skip".split()
+)
+# words that may stand beside such a name in one hyphenated token
+COMPANIONS = frozenset(
+    "site page main global top bottom left right upper lower inner outer primary secondary mobile desktop sticky fixed bar box block area wrap wrapper container section panel region zone list items item link links slot unit text label title heading button buttons icon icons group row col column posts post articles stories content form field thread body id js".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -43,22 +52,32 @@ SCOPE = frozenset("html body article main section div nav header footer aside fo
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|[^<]++|<", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[a-zA-Z0-9]+")
-_WORD = re.compile(r"\S+")
+_DIGITS = re.compile(r"[0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+FORM_WORDS = 20  # words a control from which a form is text
+DEEP = 32  # such elements within each other, after which all of them are lifted at once
+LEAST_WORDS = 20  # of an element that is kept though its name is one of boilerplate
 
 
 @dataclass
 class Element:
     tag: str
-    key: str  # tag and classes, as weights know it
-    dropped: bool
-    content: int  # number of the innermost marked element it lies in, or -1
-    container: str
+    parent: int  # place in the list of elements, or -1
+    container: str  # tag and classes of the innermost block or classed element, as weights know it
+    suspect: bool  # boilerplate by tag, name or role
+    firm: bool  # by tag: stays boilerplate whatever it holds
+    head: bool  # a header, whose heading may be an article's title
+    words: int = 0  # of the whole element, links not counted
+    controls: int = 0
+    dropped: bool = False
+    content: int = -1  # the outermost marked element it lies in
 
 
 @dataclass
 class Token:
     kind: str  # "w": text, "<": start or end tag
     key: str  # the container's key, or the tag's name
+    element: int = -1
     text: str = ""
     n: int = 0  # words
     dropped: bool = False
@@ -66,78 +85,94 @@ class Token:
     content: int = -1
 
 
-def _classes(attrs: str) -> tuple[list[str], bool]:
-    """Names in class, id and role, and whether they mark boilerplate."""
-    names, bad = [], False
+def _boilerplate(token: str) -> bool:
+    """Whether a class or id token names boilerplate: alone, or together with nothing but companions and numbers."""
+    if token.lower() in DROPPED_NAMES:
+        return True
+    pieces = [_DIGITS.sub("", p).lower() for p in _NAME.findall(_CAMEL.sub("-", token))]
+    return len(pieces) > 1 and any(p in DROPPED_NAMES for p in pieces) and all(not p or p in DROPPED_NAMES or p in COMPANIONS for p in pieces)
+
+
+def _classes(attrs: str) -> tuple[list[str], bool, bool]:
+    """Names in class and id, whether they or the role mark boilerplate, and whether only as a header."""
+    names, bad, head = [], False, False
     if "=" not in attrs:
-        return names, bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attrs))
+        return names, bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attrs)), False
     for k, a, b, c in _ATTR.findall(attrs):
-        k, v = k.lower(), (a or b or c).lower()
+        k, v = k.lower(), a or b or c
         if k in ("class", "id"):
-            names += sorted(v.split())
-            bad |= any(p in DROPPED_NAMES for p in _NAME.findall(v))
+            own = v.split()
+            names += sorted(x.lower() for x in own)
+            marks = [x for x in own if _boilerplate(x)]
+            bad |= bool(marks)
+            head |= any("header" in x.lower() for x in marks)
         elif k == "role":
-            bad |= v in DROPPED_ROLES
+            bad |= v.lower() in DROPPED_ROLES
         elif k == "aria-hidden":
-            bad |= v == "true"
+            bad |= v.lower() == "true"
         elif k == "hidden":
             bad = True
-    return names, bad
+    return names, bad, head
 
 
-def tokenize(page: str) -> list[Token]:
-    """Text and tag tokens in page order. Unclosed and stray tags are taken as browsers mostly do; raw elements' text is dropped."""
+def parse(page: str) -> tuple[list[Token], list[Element]]:
+    """Text and tag tokens in page order, and the elements. Unclosed and stray tags are taken as browsers mostly do; raw elements' text is dropped."""
     out: list[Token] = []
-    stack: list[Element] = []
-    marked = 0
+    elements: list[Element] = []
+    stack: list[int] = []
     pos, end = 0, len(page)
     low = None
     match, last = _TOKEN.match, page.rfind(">")
+
+    def word(text):
+        top = stack[-1] if stack else -1
+        out.append(Token("w", elements[top].container if stack else "", top, text, len(text.split())))
+
+    def mark(tag, text="", block=False):
+        out.append(Token("<", tag, stack[-1] if stack else -1, text, block=block))
+
     while pos < end:
         if pos > last and not page.startswith("<!--", pos):  # no tag ends here any more
-            top = stack[-1] if stack else None
-            text = page[pos:]
-            out.append(Token("w", top.container if top else "", text, len(text.split()), bool(top and top.dropped), False, top.content if top else -1))
+            word(page[pos:])
             break
         m = match(page, pos)
         pos = m.end()
         tag = m[2]
-        top = stack[-1] if stack else None
         if tag is None:
-            text = m[0]
-            if text[0] == "<" and len(text) > 1:
-                continue  # comment, doctype or processing instruction
-            n = len(text.split())
-            out.append(Token("w", top.container if top else "", text, n, bool(top and top.dropped), False, top.content if top else -1))
+            if m[0][0] != "<" or len(m[0]) == 1:  # else a comment, doctype or processing instruction
+                word(m[0])
             continue
         tag = tag.lower()
         if m[1]:
-            if tag in ("br", "p") and not any(e.tag == tag for e in stack):
+            if tag in ("br", "p") and not any(elements[e].tag == tag for e in stack):
                 continue
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
+                own = elements[stack[i]].tag
+                if own == tag:
                     del stack[i:]
-                    top = stack[-1] if stack else None
-                    out.append(Token("<", tag, block=tag in BLOCK, dropped=bool(top and top.dropped), content=top.content if top else -1))
+                    mark(tag, block=tag in BLOCK)
                     break
-                if tag not in BLOCK and stack[i].tag in SCOPE:
+                if tag not in BLOCK and own in SCOPE:
                     break
             continue
+        if tag in CONTROLS and stack:
+            elements[stack[-1]].controls += 1
         if tag in VOID:
-            out.append(Token("<", tag, " " if tag == "br" else "", block=tag == "hr", dropped=bool(top and top.dropped), content=top.content if top else -1))
+            mark(tag, " " if tag == "br" else "", tag == "hr")
             continue
         closing = CLOSES.get(tag) or ({"p"} if tag in BLOCK else None)
         if closing:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in closing:
+                own = elements[stack[i]].tag
+                if own in closing:
                     del stack[i:]
                     break
-                if stack[i].tag in SCOPE:
+                if own in SCOPE:
                     break
         if tag in RAW:
             low = low if low is not None else page.lower()
             at = low.find("</" + tag, pos)
-            out.append(Token("<", tag, dropped=True, block=False, content=-1))
+            mark(tag)
             if at < 0:
                 if tag in ("script", "style", "xmp"):
                     pos = end
@@ -145,23 +180,80 @@ def tokenize(page: str) -> list[Token]:
             close = page.find(">", at)
             pos = end if close < 0 else close + 1
             continue
-        names, bad = _classes(m[3])
-        top = stack[-1] if stack else None
-        exempt = tag in ("html", "body", "article", "main")
-        dropped = bool(top and top.dropped) or tag in DROPPED or (bad and not exempt)
-        content = top.content if top else -1
-        if tag in CONTENT and not dropped and content < 0:
-            content, marked = marked, marked + 1
-        if dropped and tag in HEADINGS and content >= 0 and not bad and sum(e.dropped for e in stack) == 1 and any(e.dropped and e.tag == "header" for e in stack):
-            dropped = False  # the title in an article's own header
+        names, bad, head = _classes(m[3])
+        parent = stack[-1] if stack else -1
         key = tag + "".join("." + n for n in names)
-        container = key if tag in BLOCK or names else (top.container if top else "")
-        el = Element(tag, key, dropped, content, container)
-        stack.append(el)
-        out.append(Token("<", tag, block=tag in BLOCK, dropped=dropped, content=content))
+        container = key if tag in BLOCK or names else (elements[parent].container if stack else "")
+        bad &= tag not in ("html", "body", "main")
+        elements.append(Element(tag, parent, container, bad or tag in DROPPED, tag in DROPPED, tag == "header" or head))
+        stack.append(len(elements) - 1)
+        mark(tag, block=tag in BLOCK)
         if page[m.end() - 2 : m.end()] == "/>" and tag not in BLOCK:
             stack.pop()
-    return out
+    return out, elements
+
+
+def _count(tokens: list[Token], elements: list[Element]) -> int:
+    """Sums words outside links and form controls up the tree; returns the page's words outside links."""
+    linked = [False] * len(elements)
+    for i, e in enumerate(elements):
+        linked[i] = e.tag == "a" or (e.parent >= 0 and linked[e.parent])
+    total = 0
+    for t in tokens:
+        if t.n and not (t.element >= 0 and linked[t.element]):
+            total += t.n
+            if t.element >= 0:
+                elements[t.element].words += t.n
+    for e in reversed(elements):  # children come after their parents
+        if e.parent >= 0:
+            elements[e.parent].words += e.words
+            elements[e.parent].controls += e.controls
+    return total
+
+
+def _drop(elements: list[Element]) -> None:
+    """Boilerplate is what is suspect and all within, but for the heading in a marked element's own header; marked elements are numbered."""
+    marked = 0
+    for e in elements:
+        up = elements[e.parent] if e.parent >= 0 else None
+        e.dropped = e.suspect or bool(up and up.dropped)
+        e.content = up.content if up else -1
+        if e.tag in CONTENT and not e.dropped and e.content < 0:
+            e.content, marked = marked, marked + 1
+        if e.tag in HEADINGS and e.content >= 0 and e.dropped and not e.suspect:
+            above, suspects = up, []
+            while above:
+                suspects += [above] if above.suspect else []
+                above = elements[above.parent] if above.parent >= 0 else None
+            e.dropped = not (len(suspects) == 1 and suspects[0].head)
+
+
+def tokenize(page: str) -> list[Token]:
+    """The tokens of a page, with their boilerplate marks and marked elements.
+
+    A form is boilerplate where it holds few words for its controls.  Where what is named
+    boilerplate leaves less than a tenth of the page's words, links not counted, the
+    outermost such element that holds more than half of them is none; tags like nav or
+    footer always are.
+    """
+    tokens, elements = parse(page)
+    total = _count(tokens, elements)
+    for e in elements:
+        if e.tag == "form":
+            e.suspect |= e.words < FORM_WORDS * (e.controls + 1)
+    for rounds in itertools.count():
+        _drop(elements)
+        for t in tokens:
+            e = elements[t.element] if t.element >= 0 else None
+            t.dropped, t.content = bool(e and e.dropped) or (t.kind == "<" and t.key in RAW), e.content if e else -1
+        # words of the outermost boilerplate elements, and of the headings spared in them
+        outer = [e for e in elements if e.suspect and e.dropped and not (e.parent >= 0 and elements[e.parent].dropped)]
+        left = total - sum(e.words for e in outer) + sum(e.words for e in elements if not e.dropped and e.parent >= 0 and elements[e.parent].dropped)
+        lift = [e for e in outer if not e.firm and 2 * e.words > total and e.words >= LEAST_WORDS]
+        if 10 * left >= total or not lift:
+            return tokens
+        for e in elements if rounds > DEEP else lift[:1]:
+            e.suspect &= e.firm or 2 * e.words <= total
 
 
 @dataclass
@@ -210,32 +302,46 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
     return at
 
 
-def extract(page: str | None, weights: Weights) -> tuple[str, tuple[int, int]]:
-    """The main text (blocks joined by newlines) and the stretch of tokens it came from."""
-    tokens = tokenize(page or "")
+def chosen(tokens: list[Token], weights: Weights) -> list[bool]:
+    """Marks of the tokens of the main text: the best stretch, widened to whole blocks, and, if it touches a marked element, all marked elements."""
     lo, hi = best_stretch([weights.of(t) for t in tokens])
-    touched = {t.content for t in tokens[lo:hi] if t.kind == "w" and t.n and not t.dropped and t.content >= 0}
-    if touched:
-        at = [i for i, t in enumerate(tokens) if t.content in touched]
-        lo, hi = min(lo, at[0]), max(hi, at[-1] + 1)
+    marked = any(t.kind == "w" and t.n and not t.dropped and t.content >= 0 for t in tokens[lo:hi])
     if hi > lo:  # whole blocks
         while lo > 0 and not tokens[lo].block and not tokens[lo - 1].block and tokens[lo - 1].content < 0:
             lo -= 1
         while hi < len(tokens) and not tokens[hi - 1].block and not tokens[hi].block and tokens[hi].content < 0:
             hi += 1
+    return [lo <= i < hi or (marked and t.content >= 0) for i, t in enumerate(tokens)]
+
+
+def extract(page: str | None, weights: Weights) -> tuple[str, tuple[int, int]]:
+    """The main text (blocks joined by newlines, white space in them as one space) and the span of the tokens it came from."""
+    tokens = tokenize(page or "")
+    use = chosen(tokens, weights)
     blocks, parts = [], []
-    for t in tokens[lo:hi]:
+
+    def close():
+        if parts:
+            blocks.append(" ".join("".join(parts).split()))
+            parts.clear()
+
+    gap = False
+    for t, own in zip(tokens, use, strict=True):
+        if not own:
+            gap = True
+            continue
+        if gap:  # what is left out between two pieces ends a block
+            close()
+            gap = False
         if t.kind == "w":
             if not t.dropped:
                 parts.append(html.unescape(t.text))
         elif t.block:
-            if parts:
-                blocks.append(" ".join("".join(parts).split()))
-                parts = []
+            close()
         elif t.text:
             parts.append(t.text)
-    blocks.append(" ".join("".join(parts).split()))
-    return "\n".join(b for b in blocks if b), (lo, hi)
+    close()
+    return "\n".join(b for b in blocks if b), (use.index(True), len(use) - use[::-1].index(True)) if any(use) else (0, 0)
 
 
 def fit(pages: DataFrame, page: str = "html", sample: int = 300, max_chars: int = 100_000) -> Weights:
@@ -255,14 +361,15 @@ def main_text(pages: DataFrame, weights: Weights | None = None, page: str = "htm
     """
     weights = weights or fit(pages, page)
     keep = [c for c in pages.columns if c not in (page, "text", "n_chars")]
-    src = pages.select(*keep, F.col(page).alias("_html"))
+    whole = unused("page", keep)
+    src = pages.select(*keep, F.col(page).alias(whole))
     shared = pages.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         w = shared.value
         for b in batches:
-            texts = [extract(p.as_py(), w)[0] for p in b.column("_html")]
+            texts = [extract(p.as_py(), w)[0] for p in b.column(whole)]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_html"] + ["text string", "n_chars bigint"])
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != whole] + ["text string", "n_chars bigint"])
     return src.mapInArrow(run, fields)
