@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import held_out, labelled_sample
-from .textkernel import bytes_of, slices
+from .scratch import unused
+from .textkernel import slices
 
 WIDTH, FILTERS, CHUNK, STRIDE, LAGS = 6, 16, 512, 2, 32
 HALF = CHUNK // 2
@@ -125,16 +126,17 @@ def train(sample: list[tuple[str, int]], epochs: int = 8, rate: float = 0.02, se
 def score(docs: DataFrame, net: Network, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all by default, but the text) and ``score``: the probability of good quality. A null or empty text is one chunk of zero bytes."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "score")]
-    src = docs.select(*keep, F.col(text).alias("_text"))
+    whole = unused("text", keep)
+    src = docs.select(*keep, F.col(text).alias(whole))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
         own = shared.value
-        for part, buf, off in slices(batches, "_text"):
+        for part, buf, off in slices(batches, whole):
             p = np.array([probability(own, buf[off[i] : off[i + 1]]) for i in range(part.num_rows)])
             yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(p, pa.float64())], names=[*keep, "score"])
 
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text"] + ["score double"])
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != whole] + ["score double"])
     return src.mapInArrow(run, fields)
 
 
@@ -162,4 +164,3 @@ def quality(docs: DataFrame, labels: DataFrame, mod: int = 3, remainder: int = 1
     return out.select("doc_id", held_out("doc_id", mod, remainder).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-__all__ = ["Network", "bytes_of", "fit", "lag_plane", "probability", "quality", "score", "train"]

@@ -18,6 +18,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import unused
+
 LEAF = 64
 MARGIN = 4  # the pattern looks no further than this beyond a pre-token, white space apart
 CACHE = 200_000
@@ -33,9 +35,12 @@ def default_vocabulary() -> tuple[str, str]:
 class Counter:
     """Tokens of single pre-tokens, remembered in a bounded cache."""
 
-    def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, vocabulary: str | bytes, pattern: str):
+        """``vocabulary``: a file of ranks, or what it holds."""
+        if isinstance(vocabulary, str):
+            with open(vocabulary, "rb") as f:
+                vocabulary = f.read()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
         self.ranks, self.cache = ranks, {}
@@ -192,19 +197,23 @@ def edited_counts(docs: DataFrame, edits: str, vocabulary: tuple[str, str] | Non
     """
     made = ["n_tokens", "n_tokens_after", "n_pretokens", "n_reencoded"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, edits, *made)]
-    src = docs.select(*keep, F.col(text).alias("_text"), F.col(edits).alias("_edits"))
+    whole = unused("text", keep)
+    changes = unused("edits", [*keep, whole])
+    src = docs.select(*keep, F.col(text).alias(whole), F.col(edits).alias(changes))
     path, pattern = vocabulary or default_vocabulary()
+    with open(path, "rb") as f:  # read once here: executors need no file of their own
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        counter = Counter(path, pattern)
+        counter = Counter(shared.value, pattern)
         for b in batches:
             rows = []
-            for t, es in zip(b.column("_text"), b.column("_edits"), strict=True):
+            for t, es in zip(b.column(whole), b.column(changes), strict=True):
                 tree = Tree(t.as_py() or "", counter)
                 n, first = tree.n_tokens, tree.encoded
                 again = sum(tree.edit(e["start"] or 0, e["stop"] or 0, e["new"] or "") for e in es.as_py() or [] if e)
                 rows.append((n, tree.n_tokens, first, again))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=keep + made)
 
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name not in ("_text", "_edits")] + [f"{m} bigint" for m in made])
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name not in (whole, changes)] + [f"{m} bigint" for m in made])
     return src.mapInArrow(run, fields)

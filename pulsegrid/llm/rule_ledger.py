@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import unused
 from .textkernel import EXACT, IS_WS, Words, slices, span_hashes, whole_windows, window_hashes
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper_words"]
@@ -99,11 +100,12 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 def measurements(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all by default, without the text) and the measurements, in one pass over the texts."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != text and c not in MEASURES]
-    src = docs.select(*keep, F.col(text).alias("_text"))
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text"] + [f"{m} bigint" for m in MEASURES])
+    whole = unused("text", keep)
+    src = docs.select(*keep, F.col(text).alias(whole))
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != whole] + [f"{m} bigint" for m in MEASURES])
 
     def run(batches):
-        for part, buf, off in slices(batches, "_text"):
+        for part, buf, off in slices(batches, whole):
             got = measure(buf, off)
             yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(got[m], pa.int64()) for m in MEASURES], names=keep + MEASURES)
 

@@ -1,14 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become class symbols by a lexicon of words and stems (insults in four
-strengths, threat verbs, targets, negations, reporting verbs).  Each clause's
+strengths, threat verbs in two, targets, negations, reporting verbs).  Each clause's
 symbols then run through a composition of letter-to-letter transducers
 
     negation o reported speech o threat o target
 
 whose arc weights add up to the clause's score: an insult near a target counts
 more, a threat verb counts only when a target follows, a negated or reported one
-counts less.  A logistic link over the matched clauses of a text gives its
+counts less.  A clause ends at .!?;: or the line; after a colon and inside quotation
+marks only the report lives on, as what was said is still reported there.  A logistic link over the matched clauses of a text gives its
 probability.  Insult words and stems beyond the small fixed lexicon, and the
 link, are learned from labelled rows; the bounds of that sample are parameters.
 """
@@ -25,16 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import held_out, labelled_sample
+from .scratch import unused
 from .textkernel import EXACT, IS_CORE, U64, Words, bytes_of, fold_latin, slices, span_hashes
 
 # The seed lexicon, lower case.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns imbecile idiota imbécil estúpido basura abruti connard crétin ordure dummkopf abschaum arschloch trottel".split()
-THREATS = "kill hurt destroy murder stab shoot burn beat tuer frapper matar golpear töten umbringen schlagen".split()
+THREATS = "kill destroy murder stab tuer matar töten umbringen".split()
+WEAK_THREATS = "hurt shoot burn beat frapper golpear schlagen".split()  # also said of games, cameras and bread
 TARGETS = "you your u he she him her they them these those tu vous toi te usted ustedes tú du dich ihr euch sie".split()
 NEGATIONS = "not no never isn't aren't wasn't don't nobody nicht kein keine nie pas jamais nunca ningún".split()
 REPORTS = "said says say called calls quoted quote reported wrote claimed sagte dit dijo genannt appelé llamó".split()
 
-SYMBOLS = ["o", "1", "2", "3", "4", "T", "P", "N", "R"]  # other, insults by strength, threat verb, target, negation, report
+SYMBOLS = ["o", "1", "2", "3", "4", "T", "P", "N", "R", "W", "B"]  # other, insults by strength, threat verb, target, negation, report, weak threat verb, a boundary that a report crosses
 STRENGTH = {"1": 1.0, "2": 2.0, "3": 3.0, "4": 4.0}
 NEAR = 3
 
@@ -86,13 +89,13 @@ def _tags(symbol: str) -> tuple[str, str]:
     return symbol[0], symbol[1:]
 
 
-_HIT = ("1", "2", "3", "4", "T")
+_HIT = ("1", "2", "3", "4", "T", "W")
 
 
 def _negation() -> Transducer:
     def rule(left, a):
-        if a == "N":
-            return NEAR, a, 0.0
+        if a in "NB":
+            return NEAR if a == "N" else 0, a, 0.0
         return max(0, left - 1), a + "n" if left and a in _HIT else a, 0.0
 
     return build(0, SYMBOLS, rule)
@@ -106,16 +109,18 @@ def _reported(alphabet) -> Transducer:
 
 
 def _threat(alphabet) -> Transducer:
-    """A threat verb becomes a strong hit at the target that follows it within three words."""
+    """A threat verb becomes a hit, a strong one unless the verb is weak, at the target that follows it within three words."""
 
     def rule(state, a):
-        left, tags = state
-        kind, own = _tags(a)
-        if kind == "T":
-            return (NEAR, own), "o", 0.0
+        left, verb = state
+        kind, _ = _tags(a)
+        if kind in "TW":
+            return (NEAR, a), "o", 0.0
         if kind == "P" and left:
-            return (0, ""), "4" + tags + "t", 1.0
-        return (max(0, left - 1), tags if left > 1 else ""), a, 0.0
+            return (0, ""), ("4" if verb[0] == "T" else "2") + verb[1:] + "t", 1.0 if verb[0] == "T" else 0.0
+        if kind == "B":
+            return (0, ""), a, 0.0
+        return (max(0, left - 1), verb if left > 1 else ""), a, 0.0
 
     return build((0, ""), alphabet, rule)
 
@@ -125,8 +130,8 @@ def _target(alphabet) -> Transducer:
 
     def rule(left, a):
         kind, tags = _tags(a)
-        if kind == "P":
-            return NEAR, "P", 0.0
+        if kind in "PB":
+            return NEAR if kind == "P" else 0, kind, 0.0
         if kind in STRENGTH:
             w = STRENGTH[kind] * (0.25 if "n" in tags else 1.0) * (0.5 if "r" in tags else 1.0)
             return max(0, left - 1), "hit", w + (0.25 * w if left else 0.0)
@@ -179,6 +184,7 @@ class Lexicon:
         return out
 
 
+_STRONG = np.array([c in "1234TW" for c in SYMBOLS])
 _PUNCT = np.zeros(256, bool)
 _PUNCT[list(b".!?;:")] = True
 
@@ -194,36 +200,75 @@ def clause_features(buf: np.ndarray, off: np.ndarray, lexicon: Lexicon, fst: Tra
         return out
     lo, hi = words.cores()
     sym = lexicon.symbols(fold_latin(buf), lo, hi)
-    strong = (sym >= 1) & (sym <= 5)
+    strong = _STRONG[sym]
     if not strong.any():
         return out
     row = words.row()
-    lines = np.cumsum(buf == 10)
-    new = np.ones(len(row), bool)
-    new[1:] = _PUNCT[buf[words.ends[:-1] - 1]] | (lines[words.starts[1:]] != lines[words.starts[:-1]]) | (row[1:] != row[:-1])
-    clause = np.cumsum(new) - 1
+    hard, soft = boundaries(buf, words)
+    clause = np.cumsum(hard) - 1
     hot = np.zeros(clause[-1] + 1, bool)
     hot[clause[strong]] = True
     use = np.flatnonzero(hot[clause])
     use = use[_in_reach(use, clause, strong)]
     cut = np.flatnonzero(np.diff(clause[use], prepend=-1))
-    codes = sym[use]
+    codes, breaks = sym[use], soft[use]
     arcs, start = fst.arcs, fst.start
     total, most, n = np.zeros(len(words.n)), np.zeros(len(words.n)), np.zeros(len(words.n))
-    for a, b in zip(cut, [*cut[1:], len(use)], strict=True):
-        state, score = start, 0.0
-        for c in codes[a:b].tolist():
-            state, _, w = arcs[state, SYMBOLS[c]]
-            score += w
+
+    def add(r, score):
         if score > 0:
-            r = row[use[a]]
             total[r] += score
             most[r] = max(most[r], score)
             n[r] += 1
+
+    for a, b in zip(cut, [*cut[1:], len(use)], strict=True):
+        state, score, r = start, 0.0, row[use[a]]
+        for c, broken in zip(codes[a:b].tolist(), breaks[a:b].tolist(), strict=True):
+            if broken:
+                add(r, score)
+                state, score = arcs[state, "B"][0], 0.0
+            state, _, w = arcs[state, SYMBOLS[c]]
+            score += w
+        add(r, score)
     out[:, 0], out[:, 1], out[:, 2] = np.log1p(total), most, 10 * n / np.maximum(words.n, 1)
     return out
 
 
+def boundaries(buf: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a clause, and all that was told, ends before each word; and whether a clause ends there that a report crosses.
+
+    A clause ends at a new row or line and behind .!?;: with or without a closing quotation
+    mark.  It is crossed after a colon, and where a quotation of the line is still open.
+    """
+    row, starts, ends = words.row(), words.starts, words.ends
+    byte = lambda at: buf[np.maximum(at, 0)]
+    lines = np.concatenate(([0], np.cumsum(buf == 10)))
+    new = np.ones(len(row), bool)
+    new[1:] = (lines[starts[1:]] != lines[starts[:-1]]) | (row[1:] != row[:-1])
+    # open quotations before each word, since its line or row began
+    pair = lambda lead, b: np.flatnonzero((buf[:-1] == lead) & (buf[1:] == b)) if len(buf) > 1 else np.zeros(0, np.int64)
+    curly = pair(0x80, 0x9C), pair(0x80, 0x9D), pair(0x80, 0x9E)
+    own = np.searchsorted(words.off, curly[0], "right") - 1
+    low = np.zeros(len(words.n) + 1, bool)
+    low[np.searchsorted(words.off, curly[2], "right") - 1] = True  # rows with low opening marks, whose high ones close
+    # the last sign of the word before, a closing mark left aside
+    last = ends[:-1] - 1
+    shut = (buf[last] == 0x9D) | ((buf[last] == 0x9C) & low[row[:-1]])
+    at = np.where((buf[last] == 0x22) | (buf[last] == 0x29), last - 1, np.where(shut & (byte(last - 1) == 0x80) & (byte(last - 2) == 0xE2), last - 3, np.where((buf[last] == 0xBB) & (byte(last - 1) == 0xC2), last - 2, last)))
+    sign = np.where(at >= starts[:-1], byte(at), 0).astype(np.uint8)
+    step = np.zeros(len(buf) + 1, np.int64)
+    for places, value in ((curly[0], np.where(low[own], -1, 1)), (curly[1], -1), (curly[2], 1), (pair(0xC2, 0xAB), 1), (pair(0xC2, 0xBB), -1)):
+        step[places + 1] += value
+    depth, straight = np.cumsum(step), np.concatenate(([0], np.cumsum(buf == 0x22)))
+    first = starts[np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))]  # the first word of the line
+    inside = ((straight[starts] - straight[first]) % 2 == 1) | (depth[starts] - depth[first] > 0)
+    soft = np.zeros(len(row), bool)
+    soft[1:] = _PUNCT[sign] & ~new[1:] & ((sign == 58) | inside[1:])
+    hard = new.copy()
+    hard[1:] |= _PUNCT[sign] & ~soft[1:]
+    return hard, soft
+
+
 def _in_reach(use: np.ndarray, clause: np.ndarray, strong: np.ndarray) -> np.ndarray:
     """All words of a hot clause matter (a report may stand anywhere before the hit); those after its last hit and its reach do not."""
     last = np.zeros(clause[-1] + 1, np.int64)
@@ -315,7 +360,7 @@ def fit_link(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> np.ndarray:
 def train(sample: list[tuple[str, int]]) -> Model:
     """A model from labelled texts; with one label or none, the fixed lexicon and a cautious link."""
     words, stems = learn_lexicon(sample)
-    lexicon = {w: c for c, ws in (("R", REPORTS), ("N", NEGATIONS), ("P", TARGETS), ("T", THREATS), ("3", INSULTS)) for w in ws} | words
+    lexicon = {w: c for c, ws in (("R", REPORTS), ("N", NEGATIONS), ("P", TARGETS), ("T", THREATS), ("W", WEAK_THREATS), ("3", INSULTS)) for w in ws} | words
     lex, fst = Lexicon(lexicon, stems), grammar()
     if len({y for _, y in sample}) < 2:
         return Model(lex, fst, np.array([1.0, 1.0, 0.0, -4.0]))
@@ -329,16 +374,17 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     Null and empty texts get the link's value without any match. Repeated rows each get a row.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "score")]
-    src = docs.select(*keep, F.col(text).alias("_text"))
+    whole = unused("text", keep)
+    src = docs.select(*keep, F.col(text).alias(whole))
     shared = docs.sparkSession.sparkContext.broadcast((model.lexicon.words, model.lexicon.stems, model.weights))
 
     def run(batches):
         words, stems, weights = shared.value
         own = Model(Lexicon(words, stems), grammar(), weights)
-        for part, buf, off in slices(batches, "_text"):
+        for part, buf, off in slices(batches, whole):
             yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(own.probability(buf, off))], names=[*keep, "score"])
 
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text"] + ["score double"])
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != whole] + ["score double"])
     return src.mapInArrow(run, fields)
 
 

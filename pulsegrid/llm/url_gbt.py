@@ -1,7 +1,7 @@
 """URL filter: rules first, gradient-boosted trees on lexical features for the rest.
 
 Everything that touches rows is DataFrame expressions.  The trees learn from the
-URLs that a rule labels, on at most ``sample`` of them (chosen by hash); the driver
+URLs that a rule labels, on at most ``sample`` distinct ones (chosen by hash); the driver
 sees that sample only as counts per vector of binned features, and the fitted
 trees return to the rows as nested CASE expressions.
 """
@@ -185,9 +185,9 @@ class Model:
 
 
 def fit(labelled: DataFrame, sample: int = 20_000, bins: int = 16) -> Model:
-    """Trees from rows with lexical features and ``label`` (1: block)."""
+    """Trees from rows with lexical features and ``label`` (1: block), at most ``sample`` distinct URLs; repeated ones count once."""
     cols = FEATURES[: len(FEATURES) - len(SUFFIXES)]
-    some = lowest(labelled, F.col("url"), sample).select(*cols, *SUFFIXES.values(), "label")
+    some = lowest(labelled.select("url", *cols, *SUFFIXES.values(), "label"), F.col("url"), sample)
     rows = [tuple(r) for r in some.groupBy(*cols, *SUFFIXES.values(), "label").agg(F.count("*").cast("double").alias("n")).collect()]  # at most `sample` rows
     n, pos = sum(r[-1] for r in rows), sum(r[-1] for r in rows if r[-2])
     default = math.log((pos + 0.5) / (n - pos + 0.5))

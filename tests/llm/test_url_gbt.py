@@ -69,3 +69,32 @@ def test_boosting_separates():
         return out
 
     assert len(trees) == 30 and z((0, 0)) < 0.0001 + max(z((0, 0)), 0) and all(abs(v) < 50 for v in map(z, [(0, 0), (0, 1)]))
+
+
+def test_samples_do_not_depend_on_repeats(spark):
+    from pulsegrid.llm.labels import lowest
+    from pyspark.sql import functions as F
+
+    five = spark.range(200_000).select(F.concat(F.lit("http://a.net/"), F.element_at(F.array(*map(F.lit, ["es", "fr", "de/x", "en", "fr/2"])), (F.col("id") % 5 + 1).cast("int"))).alias("url"))
+    assert lowest(five, F.col("url"), 20_000).count() == 5 and lowest(five, F.col("url"), 3).count() == 3
+    many = spark.range(30_000).select((F.col("id") % 7000).alias("url"), F.lit("x").alias("hash"))
+    a, b = (sorted(r.url for r in lowest(d, F.col("url"), 500).collect()) for d in (many, many.union(many).repartition(3)))
+    assert a == b and len(set(a)) == 500
+    rows = [(i, f"http://{'bad' if i % 2 else 'good'}.{'net' if i % 2 else 'com'}/{'fr' if i % 2 else 'x'}/{i % 40}") for i in range(4000)] + [(-1, "http://other.org/"), (-2, "http://bad.org/fr/9")]
+    got = U.url_filter(spark.createDataFrame(rows * 20, "page_id long, url string"), sample=1000).collect()
+    assert all((x.p_block > 0.5) == (x.page_id % 2 == 1) for x in got if x.page_id >= 0)  # twenty URLs of each kind suffice
+
+
+def test_rules_equal_sql(spark):
+    import duckdb
+
+    at = "/root/testdata/sf0.01/pages.parquet"
+    rules = sorted(U.RULES, key=lambda r: -len(r.text))
+    fits = lambda r: f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
+    case = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{what(r)}'" for r in rules) + " END"
+    url = "substr(url, instr(url, '://') + 3)"
+    want = duckdb.sql(f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN {url} ELSE '' END AS rest FROM '{at}'),
+        p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
+        SELECT page_id, host, path, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS verdict FROM p""").fetchall()
+    got = {r.page_id: r for r in U.url_filter(spark.read.parquet(at)).collect()}
+    assert len(want) == len(got) and all((got[i].host, got[i].path, got[i].rule) == (h, p, rule) and v in (None, got[i].verdict) for i, h, p, rule, v in want)
