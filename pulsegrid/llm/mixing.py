@@ -6,6 +6,10 @@ by the highest quotients target / (2 k + 1), then within a source to its shards
 likewise (by their sizes), which gives integer quotas.  A shard repeats its whole
 stream as often as its quota holds it and takes the rest as single blocks, chosen by
 a seeded permutation that needs no sort.  All of it is DataFrame expressions.
+
+Nothing is sorted in one task but the streams of shards and a few contested quotients:
+the quotient of the last seat is found by narrowing, one aggregate a step, whatever the
+number of sources or shards.
 """
 
 from __future__ import annotations
@@ -14,58 +18,131 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import written
+from .scratch import drop, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3  # times that a source, shard or document may be taken
 SHARD_DOCS = 2000
 # Multipliers of the permutation; the first that does not divide the number of blocks serves.
 PRIMES = (1_000_003, 1_000_033, 1_000_037)
+WAYS = 32  # parts into which a step of the narrowing cuts an interval
+FEW = 4096  # contested quotients of a group that are ranked by a sort
+LOOKUP_ROWS = 100_000  # rows up to which a table is broadcast; beyond, joins shuffle
 
 
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _lookup(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast only if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= LOOKUP_ROWS else df
+
+
+def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """``df`` with its places from 0 in the whole order, written: ranges are sorted apart, and the sizes of those before are added."""
+    dealt = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
+    part = written(dealt, "numbered")
+    sizes = {r["p"]: r["n"] for r in part.groupBy(F.shiftright("_id", 33).alias("p")).agg(F.count("*").alias("n")).collect()}  # a row per partition
+    starts, total = [], 0
+    for p in sorted(sizes):
+        starts.append((p, total))
+        total += sizes[p]
+    before = df.sparkSession.createDataFrame(starts, "_part long, _before long")
+    placed = part.withColumn("_part", F.shiftright("_id", 33)).join(F.broadcast(before), "_part")
+    return placed.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_id")
+
+
 def cyclic_targets(sizes: DataFrame) -> DataFrame:
-    """(source, source_size, docs, weight, target) from (source, size) rows.
+    """Written (source, source_size, docs, weight, target) from (source, size) rows.
 
     Sources by code point, null last, weigh 1, 2, 3, repeating, and share all words;
-    targets stop at CAP times their source's size, the excess reshared by weight
-    until none is above.  There is one row per source, so its windows are small.
+    targets stop at CAP times their source's size, the excess reshared by weight until
+    none is above: a round caps all sources below the present level, which only rises.
+    """
+    per = numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), F.col("source").asc_nulls_last(), "place")
+    per = per.withColumn("weight", F.pmod("place", F.lit(3)) + 1).drop("place")
+    exact = lambda c: (c if isinstance(c, Column) else F.lit(c)).cast("decimal(38,0)")
+    capped, state = F.lit(False), None
+    while True:
+        got = per.agg(F.sum("source_size"), F.sum(F.when(capped, F.col("source_size")).otherwise(0)), F.sum(F.when(capped, 0).otherwise(F.col("weight")))).first()
+        rest, weight = (got[0] or 0) - CAP * (got[1] or 0), got[2] or 0
+        if (rest, weight) == state:
+            break
+        state = (rest, weight)
+        capped = exact(F.col("source_size") * CAP) * exact(weight) < exact(rest) * exact(F.col("weight"))
+    target = F.when(capped, CAP * F.col("source_size").cast("double")).otherwise(F.lit(float(rest)) * F.col("weight") / F.lit(float(max(weight, 1))))
+    return written(per.withColumn("target", target), "targets")
+
+
+def _narrowed(rows: DataFrame, state: DataFrame, count) -> DataFrame:
+    """``state`` with intervals that hold the entry number ``want`` from above and FEW others, or no number between their ends, written.
+
+    rows: ``group`` and values; ``count(cut)`` gives how many of a row's entries are at
+    least ``cut``.  state: group, want, lo, hi, at_lo, at_hi, with at_hi < want <= at_lo
+    entries at hi and lo.  A step cuts each open interval in WAYS parts by one aggregate.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    per = per.withColumn("weight", F.pmod(F.row_number().over(order) - 1, F.lit(3)) + 1)
-    # sources in the order in which they reach their caps as the common level rises
-    rising = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, every = rising.rowsBetween(Window.unboundedPreceding, -1), rising.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumn("all_size", F.sum("source_size").over(every)).withColumn("all_weight", F.sum("weight").over(every))
-    per = per.withColumn("b_size", F.coalesce(F.sum("source_size").over(before), F.lit(0))).withColumn("b_weight", F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    # capped: its cap lies below the level that remains when all before it stand at theirs
-    per = per.withColumn("capped", CAP * F.col("source_size") * (F.col("all_weight") - F.col("b_weight")) < (F.col("all_size") - CAP * F.col("b_size")) * F.col("weight"))
-    rest = F.col("all_size") - CAP * F.sum(F.when(F.col("capped"), F.col("source_size")).otherwise(0)).over(every)
-    open_weight = F.sum(F.when(F.col("capped"), 0).otherwise(F.col("weight"))).over(every)
-    target = F.when(F.col("capped"), CAP * F.col("source_size").cast("double")).otherwise(rest * F.col("weight") / open_weight)
-    return per.withColumn("target", target).select("source", "source_size", "docs", "weight", "target")
+    state, marks = written(state, "state"), [f"c{j}" for j in range(1, WAYS)]
+    cut = lambda j: F.col("lo") * F.pow(F.col("hi") / F.col("lo"), F.lit(j / WAYS))
+    inner = (F.col("lo") < cut(WAYS // 2)) & (cut(WAYS // 2) < F.col("hi"))
+    while True:
+        wide = (F.col("at_lo") - F.col("at_hi") > FEW) & inner
+        todo = state.where(wide)
+        if todo.isEmpty():
+            return state
+        counted = rows.join(_lookup(todo.select("group", "lo", "hi")), "group").groupBy("group").agg(*[F.sum(count(cut(j))).alias(f"c{j}") for j in range(1, WAYS)])
+        both = state.join(_lookup(counted), "group", "left")
+        cuts = F.array(F.col("lo"), *[cut(j) for j in range(1, WAYS)], F.col("hi"))
+        counts = F.array(F.col("at_lo"), *marks, F.col("at_hi"))
+        k = F.size(F.filter(counts, lambda c: c >= F.col("want")))  # counts fall, and the first one suffices
+        moved = F.struct(F.element_at(cuts, k).alias("lo"), F.element_at(cuts, k + 1).alias("hi"), F.element_at(counts, k).alias("at_lo"), F.element_at(counts, k + 1).alias("at_hi"))
+        kept = F.struct("lo", "hi", "at_lo", "at_hi")
+        new = written(both.select("group", "want", F.when(F.col("c1").isNotNull(), moved).otherwise(kept).alias("s")).select("group", "want", "s.*"), "state")
+        drop(state)
+        state = new
 
 
 def sainte_lague(parties: DataFrame, within: list[str], weight: str, seats: str, most: str) -> DataFrame:
     """Adds ``quota``: each party's seats by highest quotients weight / (2 k + 1), ``seats`` in each group, ``most`` at most for a party.
 
-    A party's seats differ from its exact share by little, so only the quotients about
-    that share compete; equal quotients go to the larger weight, then by hash of the party.
+    Equal quotients go by hash of the party.  Parties without weight get none; where
+    the seats exceed what all may take, each takes its most.
     """
-    own = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    share = F.when(F.col("_total") > 0, F.col(seats) * F.col(weight) / F.col("_total")).otherwise(0.0)
-    based = parties.withColumn("_total", F.sum(weight).over(own)).withColumn("_base", F.least(F.greatest(F.floor(share) - 2, F.lit(0)), F.col(most)).cast("long"))
-    based = based.withColumn("_left", F.col(seats) - F.sum("_base").over(own)).withColumn("_party", F.xxhash64(*[c for c in parties.columns]))
-    keys = [c for c in based.columns if c not in ("_total", "_left")]
-    tried = based.withColumn("_k", F.explode(F.sequence(F.col("_base"), F.col("_base") + 4)))
-    ok = (F.col("_k") < F.col(most)) & (F.col(weight) > 0)
-    ranked = tried.withColumn("_rank", F.row_number().over(own.orderBy(F.when(ok, F.col(weight) / (2 * F.col("_k") + 1)).desc_nulls_last(), F.col(weight).desc(), "_party", "_k")))
-    won = (ok & (F.col("_rank") <= F.col("_left"))).cast("long")
-    return ranked.groupBy(*keys).agg((F.first("_base") + F.sum(won)).alias("quota")).drop("_base", "_party")
+    id_ = F.xxhash64(*parties.columns)
+    rows = parties.select(
+        F.struct(*parties.columns).alias("party"), F.xxhash64(*[F.col(c) for c in within], F.lit(0)).alias("group"), id_.alias("id"), (id_ / 2.0**64 + 1.5).alias("u"), F.col(weight).cast("double").alias("w"),
+        F.when(F.col(weight) > 0, F.col(most)).otherwise(0).cast("long").alias("m"), F.col(seats).alias("seats"),
+    )
+    rows = written(rows, "parties")
+    live = rows.where("m > 0").select("group", "w", "m", "u")
+    q = lambda k: F.col("w") / (2 * k + 1)
+
+    def count(cut):
+        n = F.floor((F.col("w") / cut + 1) / 2)  # but for rounding, quotients from cut on
+        n = n + F.when(q(n) >= cut, 1).otherwise(0) - F.when((n > 0) & (q(n - 1) < cut), 1).otherwise(0)
+        return F.least(F.col("m"), n)
+
+    groups = rows.groupBy("group").agg(F.sum("m").alias("all"), F.max("seats").alias("seats"), F.max("w").alias("top"), F.min(F.when(F.col("m") > 0, q(F.col("m") - 1))).alias("least"))
+    first = groups.where("seats > 0 and all > 0").select("group", F.least("seats", "all").cast("long").alias("want"), F.col("least").alias("lo"), (F.col("top") * 2).alias("hi"), F.col("all").alias("at_lo"), F.lit(0).cast("long").alias("at_hi"))
+    state = _narrowed(live, first, count)
+    # seats from hi on are won; those between lo and hi are contested, a row each
+    near = rows.join(_lookup(state), "group").withColumn("sure", count(F.col("hi"))).withColumn("maybe", count(F.col("lo")))
+    contested = near.where("maybe > sure").select("group", "id", "u", "w", "want", "at_hi", F.explode(F.sequence("sure", F.col("maybe") - 1)).alias("k")).withColumn("q", q(F.col("k")))
+    ties = state.where(F.col("at_lo") - F.col("at_hi") > FEW)  # so many equal ones
+    if not ties.isEmpty():
+        flat = written(contested.join(_lookup(ties.select("group")), "group", "left_semi").select("group", "u"), "ties")
+        one = ties.select("group", (F.col("want") - F.col("at_hi")).alias("want"), F.lit(0.5).alias("lo"), F.lit(2.5).alias("hi"), (F.col("at_lo") - F.col("at_hi")).alias("at_lo"), F.lit(0).cast("long").alias("at_hi"))
+        cuts = _narrowed(flat, one, lambda cut: (F.col("u") >= cut).cast("long"))
+        contested = contested.join(_lookup(cuts.select("group", F.col("lo").alias("u_lo"), F.col("hi").alias("u_hi"), F.col("at_hi").alias("u_won"))), "group", "left")
+    else:
+        contested = contested.withColumn("u_lo", F.lit(0.0)).withColumn("u_hi", F.lit(3.0)).withColumn("u_won", F.lit(0).cast("long"))
+    by_hash = F.col("u_lo").isNotNull()
+    open_ = contested.where(~by_hash | ((F.col("u") >= F.col("u_lo")) & (F.col("u") < F.col("u_hi"))))
+    rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("q"), F.desc("u"), "k"))
+    won = open_.withColumn("rank", rank).where(F.col("rank") <= F.col("want") - F.col("at_hi") - F.coalesce("u_won", F.lit(0))).select("group", "id")
+    won = won.unionByName(contested.where(F.col("u") >= F.col("u_hi")).select("group", "id")).groupBy("group", "id").agg(F.count("*").alias("extra"))
+    sure = rows.join(_lookup(state.select("group", "hi")), "group", "left").withColumn("sure", F.when((F.col("m") > 0) & F.col("hi").isNotNull(), count(F.col("hi"))).otherwise(0))
+    return sure.join(won, ["group", "id"], "left").select("party.*", (F.col("sure") + F.coalesce("extra", F.lit(0))).cast("long").alias("quota"))
 
 
 def mix(docs: DataFrame, targets=cyclic_targets, block: int = 16, seed: int = 42, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -76,16 +153,16 @@ def mix(docs: DataFrame, targets=cyclic_targets, block: int = 16, seed: int = 42
     count each.  The same rows and seed give the same result, however they are dealt.
     """
     sizes = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")), "sizes")
-    by_source = written(targets(sizes), "targets")
+    by_source = targets(sizes)
 
-    seats = F.floor(F.sum("target").over(Window.partitionBy(F.lit(0))) / block + 0.5).cast("long")
+    total = by_source.agg(F.sum("target")).first()[0] or 0.0
     # no source may get more than CAP times its blocks, and shards round up, so this bound holds below
-    parties = by_source.select("source", "target", seats.alias("seats"), (CAP * F.ceil(F.col("source_size") / block)).cast("long").alias("most"))
+    parties = by_source.select("source", "target", F.lit(int(total / block + 0.5)).cast("long").alias("seats"), (CAP * F.ceil(F.col("source_size") / block)).cast("long").alias("most"))
     quotas = sainte_lague(parties, [], "target", "seats", "most").select(F.col("source").alias("q_source"), F.col("quota").alias("source_quota"))
     known = by_source.join(quotas, F.col("source").eqNullSafe(F.col("q_source"))).drop("q_source")
     known = written(known.withColumn("shards", F.ceil(F.col("docs") / SHARD_DOCS).cast("long")), "quotas")
-    n_sources = known.count()
-    few = F.broadcast(known) if n_sources <= 100_000 else known
+    drop(by_source)
+    few = _lookup(known)
 
     placed = sizes.join(few.withColumnRenamed("source", "k_source"), F.col("source").eqNullSafe(F.col("k_source"))).drop("k_source")
     placed = placed.withColumn("key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("key")), F.col("shards")))
@@ -101,8 +178,7 @@ def mix(docs: DataFrame, targets=cyclic_targets, block: int = 16, seed: int = 42
 
     stream = Window.partitionBy("source", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("hi", F.sum("size").over(stream)).withColumn("lo", F.col("hi") - F.col("size"))
-    small = per.count() <= 100_000
-    joined = placed.join(F.broadcast(per) if small else per, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")))
+    joined = placed.join(_lookup(per), F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")))
     first, last = F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block)
     chosen = F.expr(
         f"aggregate(sequence(cast(floor(lo / {block}) as bigint), cast(floor((hi - 1) / {block}) as bigint)), cast(0 as bigint), (t, k) -> t + if((k * step + start) % blocks < extra, least(hi, (k + 1) * {block}) - greatest(lo, k * {block}), cast(0 as bigint)))"

@@ -1,8 +1,11 @@
+import heapq
 import random
 import re
 from fractions import Fraction
 
+import duckdb
 from pulsegrid.llm import mixing as M
+from pyspark.sql import functions as F
 
 
 def level(sizes):
@@ -78,6 +81,62 @@ def test_apportionment_equals_seat_by_seat(spark):
         assert all(abs(got[p] - want[p]) <= 1 for p in w)
 
 
+def test_large_party_against_thousands_of_small_ones(spark):
+    rows = [("big", 1000.0, 1600, 10**6)] + [(f"p{i}", 0.3, 1600, 10**6) for i in range(2000)]
+    got = {x.p: x.quota for x in M.sainte_lague(spark.createDataFrame(rows, "p string, w double, s long, m long"), [], "w", "s", "m").collect()}
+    assert got.pop("big") == 1600 and not any(got.values())
+    r = random.Random(3)
+    w = {f"p{i}": r.choice([1, 2, 3, 7, 1000]) * r.random() for i in range(3000)} | {"big": 5000.0}
+    most = {p: r.choice([1, 5, 10**6]) for p in w}
+    rows = [(p, x, 7000, most[p]) for p, x in w.items()]
+    got = {x.p: x.quota for x in M.sainte_lague(spark.createDataFrame(rows, "p string, w double, s long, m long").repartition(5), [], "w", "s", "m").collect()}
+    want = dict.fromkeys(w, 0)
+    heap = [(-x, p) for p, x in w.items()]
+    heapq.heapify(heap)
+    for _ in range(7000):
+        while want[heap[0][1]] >= most[heap[0][1]]:
+            heapq.heappop(heap)
+        p = heap[0][1]
+        want[p] += 1
+        heapq.heapreplace(heap, (-w[p] / (2 * want[p] + 1), p))
+    assert got == want
+
+
+def test_groups_ties_and_narrowing(spark, monkeypatch):
+    monkeypatch.setattr(M, "FEW", 20)
+    monkeypatch.setattr(M, "LOOKUP_ROWS", 0)
+    r = random.Random(9)
+    rows = []
+    for g, n in (("a", 500), ("b", 3), (None, 200), ("zero", 4)):
+        seats = {"a": 1300, "b": 5000, None: 77, "zero": 9}[g]
+        rows += [(g, f"{g}{i}", 0.0 if g == "zero" else 2.0 if g == "a" else r.random(), seats, 10) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, p string, w double, s long, m long")
+    got = M.sainte_lague(df, ["g"], "w", "s", "m").collect()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, M.sainte_lague(df.repartition(9), ["g"], "w", "s", "m").collect()))
+    by = lambda g: {x.p: x.quota for x in got if x.g == g}
+    assert sorted(by("a").values()) == [2] * 200 + [3] * 300 and set(by("b").values()) == {10} and set(by("zero").values()) == {0}
+    assert by(None) == webster({x.p: Fraction(x.w) for x in got if x.g is None}, 77, {p: 10 for p in by(None)})
+
+
+def test_numbers_follow_the_order(spark):
+    rows = [(s,) for s in ["b", None, "a", "é", "Z", ""]] + [(f"s{i}",) for i in range(500)]
+    got = M.numbered(spark.createDataFrame(rows, "s string"), F.col("s").asc_nulls_last(), "place").collect()
+    order = sorted((s for (s,) in rows), key=lambda s: (s is None, (s or "").encode()))
+    assert {x.s: x.place for x in got} == {s: i for i, s in enumerate(order)}
+
+
+def test_sizes_and_targets_equal_sql(spark):
+    at = "/root/testdata/sf0.01/documents.parquet"
+    want = duckdb.sql(rf"""WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM '{at}'),
+        s AS (SELECT source, sum(size) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+        r(round, source, source_size, weight, capped) AS (SELECT 0, *, false FROM s UNION ALL
+          SELECT round + 1, source, source_size, weight, 3 * source_size * sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () < weight * (sum(source_size) OVER () - sum(CASE WHEN capped THEN 3 * source_size ELSE 0 END) OVER ()) FROM r WHERE round < 40),
+        t AS (SELECT source, source_size, CASE WHEN capped THEN 3.0 * source_size ELSE CAST(weight * (sum(source_size) OVER () - sum(CASE WHEN capped THEN 3 * source_size ELSE 0 END) OVER ()) AS DOUBLE) / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () END AS target FROM r WHERE round = 40)
+        SELECT doc_id, size, source_size, target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""").fetchall()
+    got = {x.doc_id: x for x in M.mix(spark.read.parquet(at)).collect()}
+    assert len(got) == len(want) and all((got[d].size, got[d].source_size) == (n, m) and abs(got[d].target - t) < 1e-6 for d, n, m, t in want)
+
+
 def test_empty(spark):
     assert M.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     none = M.mix(spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")).collect()
