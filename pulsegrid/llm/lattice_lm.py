@@ -17,10 +17,13 @@ marginal also runs over a document's class:
     P_k(end)    = (docs_k + 1) / (N_k + docs_k + 2)
     P_k(word)   = (1 - P_k(end)) * (max(c_k - D_k, 0) + D_k * T_k * P_lattice_k(word)) / N_k
 
-N_k: words, T_k: distinct words, D_k = n1 / (n1 + 2 n2).  Classes come from a
-multinomial mixture fitted without labels on at most ``CLASS_DOCS`` training texts;
-each training text then counts in its likeliest class.  The box holds no unigram
-vocabulary; a merge-ranked one has ranks for scores, which weigh as 1 / (rank + 10).
+N_k: words, T_k: distinct words, D_k = n1 / (n1 + 2 n2).  Classes come without labels:
+a multinomial mixture on at most ``CLASS_DOCS`` training texts only gives the start, then
+rounds over all training texts assign each to its likeliest class and count its words
+(in ``1 << BUCKET_BITS`` hashed buckets) anew.  Each training text counts in its class.
+The box holds no unigram vocabulary; a merge-ranked one has ranks for scores, which
+weigh as 1 / (rank + 10).  ``lattice_score`` is the marginal by the vocabulary's own
+scores alone, without counts, adaptation and classes.
 
 Counts are shuffled by word and grow with the corpus.  Words frequent enough to
 be among ``FREQUENT`` (fixed) are scored from a broadcast table, all others by a join.
@@ -41,9 +44,12 @@ from .textkernel import LOWER, U64, Words, bytes_of, slices
 
 FREQUENT = 1 << 17
 CLASSES = 8
-CLASS_DOCS, CLASS_WORDS, CLASS_CHARS = 3000, 3000, 20_000  # sample for the classes: texts, their commonest words, longest text
+CLASS_DOCS, CLASS_WORDS, CLASS_CHARS = 3000, 3000, 20_000  # sample that the classes start from: texts, their commonest words, longest text
+BUCKET_BITS = 15
+CLASS_ROUNDS = 2  # over all training texts
 PRIOR = 1000.0  # weight of the vocabulary's own scores, in pieces
 LONG = 48  # bytes from which a word is solved on its own
+STRETCH = 4096  # bytes of a long word whose arcs are held at once
 MARK = "▁".encode()
 
 
@@ -127,33 +133,63 @@ class Lattice:
             alpha[e][:, r] = np.logaddexp(alpha[e][:, r], alpha[s][:, r] + (logp[:, k] + go[:, None]))
         return alpha[n]
 
-    def _long(self, word: bytes, lp: np.ndarray, stop: float, counts: np.ndarray | None) -> float:
-        n, go = len(word), math.log1p(-math.exp(stop))
-        arcs = []
-        for s in range(n):
-            for size in self.by_len:
-                k = self.index.get(word[s : s + size]) if s + size <= n else None
-                if k is not None:
-                    arcs.append((s, s + size, k))
-            arcs.append((s, s + 1, len(self.pieces) + word[s]))
-
-        def add(x, y):
-            if x < y:
-                x, y = y, x
-            return x if y == -math.inf else x + math.log1p(math.exp(y - x))
-
-        alpha = [-math.inf] * (n + 1)
-        alpha[0] = 0.0
-        for s, e, k in arcs:
-            alpha[e] = add(alpha[e], alpha[s] + float(lp[k]) + go)
-        if counts is not None:
-            beta = [-math.inf] * (n + 1)
-            beta[n] = 0.0
-            for s, e, k in reversed(arcs):
-                beta[s] = add(beta[s], beta[e] + float(lp[k]) + go)
-            for s, e, k in arcs:
-                counts[k] += math.exp(alpha[s] + float(lp[k]) + go + beta[e] - alpha[n])
-        return alpha[n] + stop - go
+    def _ends(self, word: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, pieces, first): the arcs that end at each place of lo + 1..hi of a word, ordered by end; ``first`` counts them."""
+        base = max(0, lo - self.longest)
+        part, starts, ids, ends = word[base:hi], [], [], []
+        h = np.zeros(len(part), U64)
+        for n in range(1, min(self.longest, len(part)) + 1):  # h: hashes of the n bytes from each place on
+            h = (h[: len(part) - n + 1] + part[n - 1 :].astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)
+            if n in self.by_len:
+                keys, own = self.by_len[n]
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == h)
+                hit = hit[base + hit + n > lo]
+                starts.append(base + hit)
+                ends.append(base + hit + n)
+                ids.append(own[at[hit]])
+        single = np.arange(lo, hi)
+        starts, ends, ids = (np.concatenate(x) for x in ([*starts, single], [*ends, single + 1], [*ids, len(self.pieces) + word[lo:hi].astype(np.int64)]))
+        order = np.argsort(ends, kind="stable")
+        return starts[order], ids[order], np.searchsorted(ends[order], np.arange(lo + 1, hi + 2))
+
+    def _long(self, word: bytes, logp: np.ndarray, go: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+        """Log sums over all segmentations of a long word, one per weighting (rows of ``logp``); adds expected pieces to the rows of ``counts``.
+
+        Arcs are held for a stretch of the word at a time, and the forward sums of a place
+        only as long as arcs reach back to it, unless expectations are asked for.
+        """
+        b, step = np.frombuffer(word, np.uint8), (logp + go[:, None]).T
+        n, whole = len(b), counts is not None
+        held, base = np.zeros((1, len(logp))), 0  # forward sums from place ``base`` on
+        add = lambda x: (top := x.max(0)) + np.log(np.exp(x - top).sum(0))
+        for lo in range(0, n, STRETCH):
+            hi = min(n, lo + STRETCH)
+            starts, ids, first = self._ends(b, lo, hi)
+            arcs, bounds = step[ids], first.tolist()
+            own = np.concatenate((held, np.empty((hi - lo, len(logp)))))
+            back = starts - base
+            for e in range(hi - lo):
+                i, j = bounds[e], bounds[e + 1]
+                own[lo - base + 1 + e] = add(own[back[i:j]] + arcs[i:j])
+            held = own if whole else own[-(self.longest + 1) :]
+            base = hi + 1 - len(held)
+        if whole:
+            alpha, last = held, held[-1]
+            beta = np.full((n + 1, len(logp)), -np.inf)
+            beta[n] = 0
+            for lo in reversed(range(0, n, STRETCH)):
+                hi = min(n, lo + STRETCH)
+                starts, ids, first = self._ends(b, lo, hi)
+                arcs, bounds = step[ids], first.tolist()
+                for e in range(hi - lo - 1, -1, -1):  # beta of a place is final when the arcs that end there come
+                    i, j = bounds[e], bounds[e + 1]
+                    np.logaddexp.at(beta, starts[i:j], beta[lo + 1 + e] + arcs[i:j])  # two pieces may span the same bytes
+                ends = np.repeat(np.arange(lo + 1, hi + 1), np.diff(first))
+                weight = np.exp(alpha[starts] + arcs + beta[ends] - last)
+                for k in range(len(logp)):
+                    counts[k] += np.bincount(ids, weights=weight[:, k], minlength=counts.shape[1])
+        return held[-1]
 
     def _groups(self, words: list[bytes]):
         """Words of one length at a time, as (their numbers, bytes with the mark, arcs); long ones singly, without arcs."""
@@ -177,7 +213,7 @@ class Lattice:
         out = np.empty((len(weights), len(words)))
         for ids, rows, arcs in self._groups(words):
             if arcs is None:
-                out[:, ids[0]] = [self._long(rows, w, s, None) for w, s in weights]
+                out[:, ids[0]] = self._long(rows, logp, go) + stop - go
             else:
                 out[:, ids] = self._marginals(arcs, rows.shape[1], len(ids), logp, go) + (stop - go)[:, None]
         return out
@@ -185,13 +221,17 @@ class Lattice:
     def expected(self, words: list[bytes], weights: list[tuple[np.ndarray, float]], use: np.ndarray, counts: np.ndarray) -> None:
         """Adds to each weighting's row of ``counts`` the expected pieces of the words that its row of ``use`` marks."""
         for ids, rows, arcs in self._groups(words):
+            if arcs is None:
+                mine = np.flatnonzero(use[:, ids[0]])
+                if len(mine):
+                    own = np.zeros((len(mine), counts.shape[1]))
+                    self._long(rows, np.stack([weights[j][0] for j in mine]), np.log1p(-np.exp([weights[j][1] for j in mine])), own)
+                    counts[mine] += own
+                continue
             for j, (logp, stop) in enumerate(weights):
                 mine = use[j, ids]
                 if not mine.any():
                     continue
-                if arcs is None:
-                    self._long(rows, logp, stop, counts[j])
-                    continue
                 place = np.cumsum(mine) - 1
                 own = []
                 for s, e, r, k in arcs:
@@ -232,7 +272,8 @@ def fit_classes(docs: list[np.ndarray], k: int, restarts: int = 4, rounds: int =
     share = x.sum(0) / x.sum()
     for _ in range(restarts):
         # seeds far from each other: each next one is drawn where the present classes explain least
-        logw = np.log((x[[rng.integers(len(x))]] + 20 * share) / (x[[rng.integers(len(x))]].sum() + 20) + 1e-12).T
+        own = x[[rng.integers(len(x))]] + 20 * share
+        logw = np.log(own / own.sum() + 1e-12).T
         while logw.shape[1] < k:
             gap = (x * np.log(np.maximum(x / np.maximum(x.sum(1, keepdims=True), 1), 1e-12))).sum(1) - (x @ logw).max(1)
             gap = np.maximum(gap, 0) + 1e-9
@@ -249,26 +290,78 @@ def fit_classes(docs: list[np.ndarray], k: int, restarts: int = 4, rounds: int =
             w = post.T @ x + 0.1 * len(keys) * share
             logw = np.log(w / w.sum(1, keepdims=True)).T
         if like > best[0]:
-            best = (like, logw + np.log(pi) * 0)
+            best = (like, logw)
     return keys, best[1].astype(np.float64)
 
 
-def class_of(h: np.ndarray, words: Words, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The likeliest class of each row."""
-    keys, logw = model
-    n = len(words.n)
-    if not len(keys) or not len(h):
-        return np.zeros(n, np.int64)
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    hit = keys[at] == h
-    row = words.row()[hit]
-    return np.stack([np.bincount(row, weights=logw[at[hit], k], minlength=n) for k in range(logw.shape[1])]).argmax(0)
+def buckets(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def class_of(h: np.ndarray, words: Words, logw: np.ndarray) -> np.ndarray:
+    """The likeliest class of each row by the log weights of its words' buckets (a row per bucket); the first one of rows without words."""
+    if logw.shape[1] < 2:
+        return np.zeros(len(words.n), np.int64)
+    sums = np.zeros((len(words.n) + 1, logw.shape[1]))
+    filled = np.flatnonzero(words.n)
+    if len(filled):
+        sums[filled] = np.add.reduceat(logw[buckets(h)], words.first[filled], axis=0)
+    return sums[:-1].argmax(1)
+
+
+def log_weights(counts: np.ndarray) -> np.ndarray:
+    """Smoothed log weights, a row per bucket, from counts of classes (rows) and buckets."""
+    share = (counts.sum(0) + 0.5) / (counts.sum() + 0.5 * counts.shape[1])
+    w = counts + 0.1 * counts.shape[1] * share
+    return np.log(w / w.sum(1, keepdims=True)).T.copy()
+
+
+def class_model(train: DataFrame, classes: int, rounds: int = CLASS_ROUNDS) -> np.ndarray:
+    """Log weights of word buckets per class, of a fixed size: a start from a sample, then rounds over all texts of ``train`` (doc_id, text)."""
+    if classes < 2:
+        return np.zeros((1 << BUCKET_BITS, 1))
+    short = train.where(F.length("text") <= CLASS_CHARS)
+    ids = lowest(short.select("doc_id"), F.col("doc_id"), CLASS_DOCS)
+    picked = short.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # CLASS_DOCS rows at most
+    words = [Words(*bytes_of(pa.array([r["text"]], pa.string()))) for r in picked]
+    hashes = [w.hashes() for w in words]
+    keys, logw = fit_classes(hashes, classes)
+    counts = np.zeros((classes, 1 << BUCKET_BITS))
+    for h in hashes:
+        at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+        known = at[keys[at] == h] if len(keys) else at[:0]
+        counts[logw[known].sum(0).argmax()] += np.bincount(buckets(h), minlength=counts.shape[1])
+    size = 1 << (BUCKET_BITS - 3)  # buckets in a row
+    for _ in range(rounds):
+        shared = train.sparkSession.sparkContext.broadcast(log_weights(counts))
+
+        def count(batches, shared=shared):
+            out = np.zeros((classes, 1 << BUCKET_BITS), np.int64)
+            for _, buf, off in slices(batches, "text", 1 << 23):
+                words = Words(buf, off)
+                h = words.hashes()
+                kind = class_of(h, words, shared.value)
+                out += np.bincount((kind[words.row()] << BUCKET_BITS) + buckets(h), minlength=out.size).reshape(out.shape)
+            rows = out.reshape(-1, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array([x.tobytes() for x in rows], pa.binary())], names=["part", "n"])
+
+        def total(batches):
+            sums: dict[int, np.ndarray] = {}
+            for b in batches:
+                for k, x in zip(b.column("part").to_pylist(), b.column("n").to_pylist(), strict=True):
+                    sums[k] = sums.get(k, 0) + np.frombuffer(x, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "n"])
+
+        made = train.select("text").mapInArrow(count, "part bigint, n binary").repartition("part").mapInArrow(total, "part bigint, n binary").collect()
+        if made:  # a few rows of fixed size
+            counts = np.concatenate([np.frombuffer(bytes(x["n"]), np.int64) for x in sorted(made, key=lambda x: x["part"])]).reshape(counts.shape).astype(float)
+    return log_weights(counts)
 
 
 # ---------------------------------------------------------------- corpus
 
 
-def word_counts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], classes: int) -> DataFrame:
+def word_counts(docs: DataFrame, model: np.ndarray, classes: int) -> DataFrame:
     """(h, word, c): every distinct word of all texts (A-Z lower-cased), and its counts in the training rows by class.
 
     Rows with h null carry the numbers of training texts instead.
@@ -334,18 +427,17 @@ def adapt(first: Lattice, words: DataFrame, classes: int, rounds: int) -> list[L
 def lattice_scores(
     docs: DataFrame, mod: int = 5, remainder: int = 1, vocabulary: str | None = None, rounds: int = 2, classes: int = CLASSES, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score (log10 probabilities).
 
     Learns from rows whose crc32 of the id modulo ``mod`` is not ``remainder``; rows
     without an id are held out.  A null or empty text has one token, its end.
-    Repeated rows each count and each get a row.  Without any training text the base
+    Repeated rows each count and each get a row.  ``lattice_score`` knows the corpus only
+    by the share of ends among its tokens.  Without any training text the base
     is uniform and the model is the unadapted lattice.  Other columns play no part.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id, mod, remainder).alias("held_out"), F.col(text).alias("text")).withColumn("train", ~F.col("held_out"))
-    picked = src.where(F.col("train") & (F.length("text") <= CLASS_CHARS)).select("doc_id", "text")
-    picked = picked.join(F.broadcast(lowest(picked.select("doc_id"), F.col("doc_id"), CLASS_DOCS)), "doc_id", "left_semi").select("text").limit(2 * CLASS_DOCS).collect()
-    model = fit_classes([w.hashes() for w in (Words(*bytes_of(pa.array([r["text"]], pa.string()))) for r in picked)], classes)
+    model = class_model(src.where("train").select("doc_id", "text"), classes)
     cs = [f"c{k}" for k in range(classes)]
     vocab = written(word_counts(src, model, classes), "words")
     every = sum(F.col(c) for c in cs)
@@ -358,18 +450,20 @@ def lattice_scores(
     n_k, t_k, n1, n2 = stats[1:].T
     discount = np.where((n1 > 0) & (n2 > 0), np.clip(n1 / np.maximum(n1 + 2 * n2, 1), 0.1, 0.95), 0.75)
     first = Lattice(*read_pieces(vocabulary or default_vocabulary()))
+    stop = first.stop
     lattices = adapt(first, vocab.where(F.col("h").isNotNull() & (every > 0)).drop("h"), classes, rounds if v else 0)
-    shared = spark.sparkContext.broadcast((first.pieces, [(x.logp, x.stop) for x in lattices]))
+    shared = spark.sparkContext.broadcast((first.pieces, [(x.logp, x.stop) for x in lattices], first.logp))
     p_end = (docs_k + 1) / (n_k + docs_k + 2)
     log_pi = np.log((docs_k + 0.5) / (ends + 0.5 * classes))
     ls = [f"l{k}" for k in range(classes)]
+    p_stop = (ends + 1) / (n_all + 2)  # a document's end, for the lattice alone
 
     def score(batches):
-        pieces, weights = shared.value
+        pieces, weights, vocabulary_weights = shared.value
         lat = Lattice(pieces, *weights[0])
         for b in gathered(batches):
             own = [w.encode() for w in b.column("word").to_pylist()]
-            cols, total, lows = [], np.zeros(len(own)), lat.log_marginals(own, weights)
+            cols, total, lows = [], np.zeros(len(own)), lat.log_marginals(own, [*weights, (vocabulary_weights, stop)])
             for k in range(classes):
                 c = b.column(f"c{k}").to_numpy().astype(float)
                 total += c
@@ -378,10 +472,12 @@ def lattice_scores(
                     with np.errstate(divide="ignore"):
                         low = np.logaddexp(np.log(np.maximum(c - discount[k], 0)), math.log(discount[k] * t_k[k]) + low) - math.log(n_k[k])
                 cols.append(pa.array(low + math.log1p(-p_end[k])))
+            pure = (lows[classes] + math.log1p(-p_stop)) / math.log(10)
             base = np.log10((total + 0.5) / (n_all + 0.5 * (v + 1)))
-            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(total.astype(np.int64)), pa.array(base), *cols], names=["h", "c", "base", *ls])
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(total.astype(np.int64)), pa.array(base), pa.array(pure), *cols], names=["h", "c", "base", "pure", *ls])
 
-    scored = written(vocab.where("h is not null").mapInArrow(score, "h bigint, c bigint, base double, " + ", ".join(f"{x} double" for x in ls)), "scores")
+    scored = written(vocab.where("h is not null").mapInArrow(score, "h bigint, c bigint, base double, pure double, " + ", ".join(f"{x} double" for x in ls)), "scores")
+    sums = ["base", "pure", *ls]
     # the least count that leaves at most FREQUENT words, from a histogram of some hundred bars
     bars = scored.where("c > 0").groupBy(F.floor(F.log2("c") * 8).alias("bar")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("bar")).collect()
     least, room = None, FREQUENT
@@ -389,12 +485,12 @@ def lattice_scores(
         if (room := room - r["n"]) < 0:
             break
         least = r["c"]
-    rows = scored.where(F.col("c") >= least).select("h", "base", *ls).collect() if least is not None else []  # at most FREQUENT
+    rows = scored.where(F.col("c") >= least).select("h", *sums).collect() if least is not None else []  # at most FREQUENT
     keys = np.array([r["h"] % (1 << 64) for r in rows], U64)
     order = np.argsort(keys)
-    frequent = spark.sparkContext.broadcast((keys[order], np.array([r[1:] for r in rows], float).reshape(len(rows), classes + 1)[order]))
+    frequent = spark.sparkContext.broadcast((keys[order], np.array([r[1:] for r in rows], float).reshape(len(rows), len(sums))[order]))
     del rows
-    end = np.concatenate(([math.log10((ends + 0.5) / (n_all + 0.5 * (v + 1)))], np.log(p_end)))
+    end = np.concatenate(([math.log10((ends + 0.5) / (n_all + 0.5 * (v + 1))), math.log10(p_stop)], np.log(p_end)))
 
     def run(batches):
         keys, table = frequent.value
@@ -407,7 +503,7 @@ def lattice_scores(
             else:
                 at, hit = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
             here, own = row[hit], table[at[hit]]
-            sums = [np.bincount(here, weights=own[:, k], minlength=n) + end[k] for k in range(classes + 1)]
+            parts = [np.bincount(here, weights=own[:, k], minlength=n) + end[k] for k in range(len(end))]
             known = np.bincount(here, minlength=n)
             r, w = row[~hit], h[~hit]
             order = np.lexsort((w, r))
@@ -419,15 +515,15 @@ def lattice_scores(
             tail = pa.StructArray.from_arrays([pa.array(w[start].astype(np.int64)), pa.array(k, pa.int64())], names=["h", "k"])
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(r[start], np.arange(n + 1)), pa.int32()), tail)
             yield pa.RecordBatch.from_arrays(
-                [part.column("rid"), part.column("doc_id"), part.column("held_out"), pa.array(words.n + 1, pa.int64()), pa.array(known + int(ends > 0), pa.int64()), *map(pa.array, sums), lists],
-                names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", *ls, "tail"],
+                [part.column("rid"), part.column("doc_id"), part.column("held_out"), pa.array(words.n + 1, pa.int64()), pa.array(known + int(ends > 0), pa.int64()), *map(pa.array, parts), lists],
+                names=["rid", "doc_id", "held_out", "n_tokens", "n_known", *sums, "tail"],
             )
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    schema = f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, {', '.join(f'{x} double' for x in ls)}, tail array<struct<h:bigint,k:bigint>>"
+    schema = f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, {', '.join(f'{x} double' for x in sums)}, tail array<struct<h:bigint,k:bigint>>"
     part = written(src.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text").mapInArrow(run, schema), "partial")
     tail = part.select("rid", F.explode("tail").alias("t")).select("rid", "t.h", "t.k").join(scored, "h")
-    rest = tail.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("m_known"), *[F.sum(F.col("k") * F.col(x)).alias(f"m_{x}") for x in ["base", *ls]])
+    rest = tail.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("m_known"), *[F.sum(F.col("k") * F.col(x)).alias(f"m_{x}") for x in sums])
     drop(vocab)
     whole = lambda x: F.col(x) + F.coalesce(f"m_{x}", F.lit(0.0))
     joint = [whole(x) + float(log_pi[k]) for k, x in enumerate(ls)]
@@ -435,5 +531,5 @@ def lattice_scores(
     marginal = top + F.log(sum(F.exp(j - top) for j in joint))
     return part.drop("tail").join(rest, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("m_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        whole("base").alias("base_score"), (marginal / math.log(10)).alias("score"),
+        whole("base").alias("base_score"), (marginal / math.log(10)).alias("score"), whole("pure").alias("lattice_score"),
     )

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pulsegrid.llm import lattice_lm as M
+from pyspark.sql import functions as F
 
 PIECES = [b"\xe2\x96\x81", b"\xe2\x96\x81a", b"a", b"b", b"ab", b"ba", b"aba", b"\xc3\xa9"]
 
@@ -85,6 +86,62 @@ def test_scores_and_base(spark, docs_small, monkeypatch):
     assert M.lattice_scores(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("stretch", [1, 7, 64])
+def test_long_words_in_stretches(monkeypatch, stretch):
+    lat, r = toy(), np.random.default_rng(2)
+    words = [bytes(r.choice(np.frombuffer(b"abxa", np.uint8), n)) for n in (1, 20, 63, 64, 65, 200)]
+    weights = [(lat.logp, lat.stop), (np.roll(lat.logp, 3), math.log(0.2))]
+    use = np.array([[True] * 6, [False, True] * 3])
+    want, counts = lat.log_marginals(words, weights), np.zeros((2, len(lat.logp)))
+    lat.expected(words, weights, use, counts)
+    monkeypatch.setattr(M, "LONG", 0)
+    monkeypatch.setattr(M, "STRETCH", stretch)
+    again = np.zeros_like(counts)
+    lat.expected(words, weights, use, again)
+    assert lat.log_marginals(words, weights) == pytest.approx(want) and again == pytest.approx(counts, abs=1e-9)
+
+
+def test_a_word_of_a_megabyte():
+    lat = toy()
+    got = lat.log_marginals([b"ab" * 250_000])[0, 0]
+    assert got == pytest.approx(lat.log_marginals([b"ab" * 5_000])[0, 0] * 50, rel=0.01)
+
+
+def test_scores_equal_a_plain_version(spark):
+    rows = [(i, " ".join(f"w{j * j % (i % 7 + 3)}" for j in range(i % 11))) for i in range(60)] + [(60, None), (61, "Once  upon\na TIME"), (61, "Once  upon\na TIME"), (None, "w1 zebra")]
+    got = M.lattice_scores(spark.createDataFrame(rows, "doc_id long, text string"), classes=1, rounds=0).collect()
+    held = lambda d: d is None or zlib.crc32(str(d).encode()) % 5 == 1
+    toks = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    c = Counter(x for d, t in rows if not held(d) for x in toks(t))
+    ends, n, types = sum(not held(d) for d, _ in rows), sum(c.values()), len(c)
+    n1, n2 = (sum(v == k for v in c.values()) for k in (1, 2))
+    discount = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 and n2 else 0.75
+    lat = M.Lattice(*M.read_pieces(M.default_vocabulary()))
+    low = lambda w: math.exp(lat.log_marginals([w.encode()])[0, 0])
+    end, stop = (ends + 1) / (n + ends + 2), (ends + 1) / (n + ends + 2)
+
+    def score(t):
+        return math.log10(end) + sum(math.log10((1 - end) * (max(c[w] - discount, 0) + discount * types * low(w)) / n) for w in toks(t))
+
+    pure = lambda t: math.log10(stop) + sum(math.log10((1 - stop) * low(w)) for w in toks(t))
+    want = sorted((str(d), round(score(t), 6), round(pure(t), 6)) for d, t in rows)
+    assert sorted((str(x.doc_id), round(x.score, 6), round(x.lattice_score, 6)) for x in got) == want
+
+
+def test_classes_follow_from_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(M, "CLASS_DOCS", 20)
+    tongues = ["the of and to in is".split(), "der die und in den von".split(), "rare kinds of words stand here only".split()]
+    rows = [(i, " ".join(tongues[2 if i % 100 == 99 else i % 2][(j * 7 + i) % 6] for j in range(40))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a = M.class_model(df, 3)
+    assert np.array_equal(a, M.class_model(df.repartition(7), 3))  # no order matters
+    kind = M.class_of(*(lambda w: (w.hashes(), w))(M.Words(*M.bytes_of(M.pa.array([t for _, t in rows])))), a)
+    assert len({k for k, (i, _) in zip(kind, rows, strict=True) if i % 100 != 99 and i % 2 == 0}) == 1
+    assert set(kind[0::2]).isdisjoint(kind[[i for i in range(1, 600, 2) if i % 100 != 99]])
+    same = df.withColumn("doc_id", F.lit(5).cast("long"))  # one id for all rows
+    assert M.class_model(same, 3).shape == (1 << M.BUCKET_BITS, 3) and M.class_model(df.limit(0), 3).shape[1] == 3
+
+
 def test_adapted_weights_suit_held_out_texts_better(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     total = [sum(x.score for x in M.lattice_scores(df, rounds=r).collect() if x.held_out) for r in (0, 2)]
