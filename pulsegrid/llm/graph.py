@@ -9,7 +9,7 @@ from .scratch import drop, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable from each linked node, itself included.
+    """Written (node, component): the smallest node reachable from each linked node, itself included.
 
     Alternates large-star and small-star steps; each step is two shuffles over the
     links, written to the shared folder, and the number of rounds grows with the
@@ -32,4 +32,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         state = now
     # at the end every edge leads to its component's smallest node
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    ends = edges.select(F.explode(F.array("u", "v")).alias("node"), F.col("v").alias("component")).distinct()
+    out = written(ends, "components")
+    drop(edges)
+    return out

@@ -12,13 +12,15 @@ Nodes of the join are distinct texts.  Two texts link when
 3. *Prefix groups*: a text's ``n - ceil(n * num / den) + 1`` least common shingles;
    linked texts share at least one, whatever order ranks "common".  At the first
    that a pair shares, what follows bounds the overlap, and so the partner's size
-   (``cap``).  Groups that lie within one component are settled and go, as do
-   texts that no other of the group suits in size.
+   (``cap``).  A shingle of very many texts has a group for each range of sizes, with
+   the texts of the range below.  Groups that lie within one component are settled
+   and go, as do texts that no other of the group suits in size.
 4. *Signature trees*: the texts of each other group, ordered by size, form a tree
    whose nodes hold OR-ed and AND-ed bitmaps and the range of sizes.  A dual
    traversal drops node pairs whose largest possible overlap is too small, and
    those inside one component; at the leaves, pairs are held to their own bitmaps.
-   Large groups are dealt to tasks in pairs of blocks.
+   Large groups are dealt to tasks in pairs of blocks, of which only those are made
+   whose sizes and caps allow a link.
 5. Surviving pairs are checked on the whole sets, streaming per left text.  In a
    group of many alike texts nearly all pairs survive, but most links only repeat
    what others say.  So a round takes each text's likeliest ``FIRST`` pairs; what
@@ -40,12 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .scratch import drop, free, written
-from .textkernel import U64, Words, shingle_sets, slices
+from .scratch import drop, free, unused, written
+from .textkernel import U64, Words, mix, shingle_sets, slices
 
-SKETCH_BITS = 20
+SKETCH_BITS, SKETCH_MOST = 20, 24  # of the sketch: for up to 2 ** 18 rows, and whatever the input's size
+HOT = 17  # level (logarithm of texts) from which a shingle's group is cut by sizes
 _CHUNK = 4096  # counters in a row of the sketch
-LEAF, BLOCK = 16, 1024
+LEAF, BLOCK = 16, 512
 FIRST = 2
 #: Rows (of two longs or so) up to which a lookup table is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -179,14 +182,15 @@ def likeliest(i: np.ndarray, j: np.ndarray, like: np.ndarray, limit: int) -> np.
 # ---------------------------------------------------------------- stages
 
 
-def _nodes(texts: DataFrame, size: int) -> DataFrame:
-    """Written table: a row per distinct text with words, and rows of the sketch's chunks (those have no text)."""
+def _nodes(texts: DataFrame, size: int, bits: int) -> DataFrame:
+    """Written table: a row per distinct text with words, and rows of the chunks of a sketch of 2 ** bits counters (those have no text)."""
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros(1 << bits, np.uint32)
         for part, buf, off in slices(batches, "text"):
             vals, first = shingle_sets(Words(buf, off), size)
-            sketch += np.bincount((vals >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+            at, n = np.unique(vals >> U64(64 - bits), return_counts=True)
+            sketch[at.astype(np.int64)] += n.astype(np.uint32)
             own = [vals[first[i] : first[i + 1]] for i in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -209,8 +213,8 @@ def _nodes(texts: DataFrame, size: int) -> DataFrame:
     return written(made.withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
 
-def _heat(nodes: DataFrame) -> np.ndarray:
-    """Base-2 logarithm of each bucket's count: a byte per bucket, whatever the input's size."""
+def _heat(nodes: DataFrame, bits: int) -> np.ndarray:
+    """Base-2 logarithm of each bucket's count: a byte per bucket, 2 ** SKETCH_MOST at most."""
 
     def total(batches):
         sums: dict[int, np.ndarray] = {}
@@ -220,9 +224,9 @@ def _heat(nodes: DataFrame) -> np.ndarray:
         level = [np.ceil(np.log2(s.astype(float) + 1)).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], names=["chunk", "level"])
 
-    heat = np.zeros(1 << SKETCH_BITS, np.uint8)
+    heat = np.zeros(1 << bits, np.uint8)
     chunks = nodes.where("chunk is not null").select("chunk", "counts").repartition(16, "chunk")
-    for r in chunks.mapInArrow(total, "chunk int, level binary").collect():  # at most 2 ** SKETCH_BITS bytes
+    for r in chunks.mapInArrow(total, "chunk int, level binary").collect():  # at most 2 ** SKETCH_MOST bytes
         heat[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(bytes(r["level"]), np.uint8)
     return heat
 
@@ -275,20 +279,32 @@ def _stars(nodes: DataFrame, num: int, den: int) -> DataFrame:
 
 def _prefix_groups(nodes: DataFrame, comps: DataFrame, n_comps: int, heat: np.ndarray, size: int, num: int, den: int) -> DataFrame:
     """(key, nid, n, cap) of the prefix groups that hold two components or more, less those texts that no other suits in size."""
+    bits = U64(64 - int(len(heat)).bit_length() + 1)
+    width = np.log(den / num) * 1.0001  # linked sizes lie in one range of this width or in two neighbouring ones
+    shared = nodes.sparkSession.sparkContext.broadcast(heat)
 
     def run(batches):
+        heat = shared.value
         for part, buf, off in slices(batches, "text"):
             vals, first = shingle_sets(Words(buf, off), size)
             nid = part.column("nid").to_numpy()
             counts = np.diff(first)
             rows = np.repeat(np.arange(len(counts)), counts)
-            order = np.lexsort((vals, heat[(vals >> U64(64 - SKETCH_BITS)).astype(np.int64)], rows))
+            level = heat[(vals >> bits).astype(np.int64)]
+            order = np.lexsort((vals, level, rows))
             rank = np.arange(len(vals)) - first[:-1][rows]
             keep = rank < (counts - need(counts, num, den) + 1)[rows]
             at = order[keep]  # rows are contiguous in the order, so ranks hold for it
             own = rows[keep]
             caps = np.minimum(cap(counts[own], rank[keep], num, den), (1 << 32) - 1)  # no text has as many
-            yield pa.RecordBatch.from_arrays([pa.array(vals[at].astype(np.int64)), pa.array(nid[own], pa.int64()), pa.array(counts[own] << 32 | caps, pa.int64())], names=["key", "nid", "both"])
+            key, both = vals[at], counts[own] << 32 | caps
+            hot = np.flatnonzero(level[at] >= HOT)
+            if len(hot):  # a group for each range of sizes, which also takes in the range below
+                span = (np.log(counts[own[hot]]) / width).astype(np.int64).astype(U64)
+                above = mix(key[hot] ^ mix(span + U64(2)))
+                key[hot] = mix(key[hot] ^ mix(span + U64(1)))
+                key, own, both = np.concatenate((key, above)), np.concatenate((own, own[hot])), np.concatenate((both, both[hot]))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nid[own], pa.int64()), pa.array(both, pa.int64())], names=["key", "nid", "both"])
 
     keys = nodes.where("n > 0").select("nid", "text").mapInArrow(run, "key bigint, nid bigint, both bigint")
     tagged = keys.join(lookup(comps, n_comps), F.col("nid") == F.col("node"), "left").select("key", "nid", "both", F.coalesce("component", "nid").alias("component"))
@@ -302,6 +318,16 @@ def _prefix_groups(nodes: DataFrame, comps: DataFrame, n_comps: int, heat: np.nd
     return mixed.where("coalesce(reach >= n, false) or coalesce(more <= cap, false)").select("key", "nid", "n", "cap")
 
 
+def _reach(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, block, least, most): the blocks that a block of a group of several can meet, itself included; a row per block."""
+    blocks = placed.where("last > 0").groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("cap").alias("cap"))
+    other = blocks.select("key", F.col("block").alias("b"), F.col("low").alias("b_low"))
+    pairs = blocks.join(other, "key").where((F.col("b") >= F.col("block")) & ((F.col("b") == F.col("block")) | ((F.col("b_low") <= F.col("cap")) & (den * F.col("high") >= num * F.col("b_low"))))).select("key", "block", "b")
+    up = pairs.groupBy("key", "block").agg(F.max("b").alias("most"))
+    down = pairs.groupBy("key", F.col("b").alias("block")).agg(F.min("block").alias("least"))
+    return up.join(down, ["key", "block"])
+
+
 def _tree_pairs(groups: DataFrame, comps: DataFrame, n_comps: int, nodes: DataFrame, num: int, den: int, limit: int) -> DataFrame:
     """(a, b) of the likeliest pairs between components, written; rows with a null name the groups (b: key) where pairs were put off."""
     by_size = Window.partitionBy("key").orderBy("n", "nid")
@@ -309,7 +335,8 @@ def _tree_pairs(groups: DataFrame, comps: DataFrame, n_comps: int, nodes: DataFr
     tagged = groups.join(lookup(comps, n_comps), F.col("nid") == F.col("node"), "left").select("key", "nid", "n", "cap", F.coalesce("component", "nid").alias("component"))
     mixed = tagged.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).where("lo <> hi")
     placed = mixed.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK)).withColumn("last", F.max("block").over(whole))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    reach = written(_reach(placed, num, den), "reach")
+    paired = placed.join(lookup(reach, reach.count()), ["key", "block"], "left").withColumn("other", F.explode(F.sequence(F.coalesce("least", "block"), F.coalesce("most", "block"))))
     paired = paired.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nid", "component", "n", "cap", (F.col("block") <= F.col("other")).alias("left"))
     paired = paired.join(nodes.where("n > 0").select("nid", "sig"), "nid")
     dealt = paired.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "nid")
@@ -355,7 +382,9 @@ def _tree_pairs(groups: DataFrame, comps: DataFrame, n_comps: int, nodes: DataFr
         if held:
             yield out(list(solve(int(key[0]), [np.concatenate(x) for x in zip(*held, strict=True)])))
 
-    return written(dealt.mapInArrow(run, "a bigint, b bigint"), "candidates")
+    out = written(dealt.mapInArrow(run, "a bigint, b bigint"), "candidates")
+    drop(reach)
+    return out
 
 
 def _between(links: DataFrame, comps: DataFrame, n_comps: int, nodes: DataFrame, heat: np.ndarray, size: int, num: int, den: int) -> tuple[DataFrame, int]:
@@ -363,10 +392,10 @@ def _between(links: DataFrame, comps: DataFrame, n_comps: int, nodes: DataFrame,
     texts = nodes.where("n > 0")
     groups = written(_prefix_groups(nodes, comps, n_comps, heat, size, num, den), "groups")
     free(nodes.sparkSession)
-    limit, failed, found = FIRST, None, links
+    limit, failed, found = FIRST, None, [links]
     while True:
         got = _tree_pairs(groups, comps, n_comps, nodes, num, den, limit)
-        late = got.where("a is null").select(F.col("b").alias("key")).distinct()
+        late = written(got.where("a is null").select(F.col("b").alias("key")).distinct(), "late")
         n_late = late.count()
         pairs = got.where("a is not null").distinct()
         if failed is not None:
@@ -374,31 +403,41 @@ def _between(links: DataFrame, comps: DataFrame, n_comps: int, nodes: DataFrame,
         pairs = written(pairs, "untried")
         linked = _verified(pairs, texts, size, num, den)
         if not linked.isEmpty():
-            found = found.unionByName(linked)
-            comps = written(components(found), "comps")
+            found.append(linked)
+            old, comps = comps, components(union(found))
             n_comps = comps.count()
+            drop(old)
         if not n_late:
+            drop(groups, got, late, pairs, failed, *found)
             return comps, n_comps
         wrong = pairs.join(linked, ["a", "b"], "left_anti")
-        failed = written(wrong if failed is None else failed.unionByName(wrong), "failed")
-        groups = written(groups.join(lookup(late, n_late), "key", "left_semi"), "groups")
-        drop(got, pairs)
+        old, failed = failed, written(wrong if failed is None else failed.unionByName(wrong), "failed")
+        before, groups = groups, written(groups.join(lookup(late, n_late), "key", "left_semi"), "groups")
+        drop(got, late, pairs, old, before)
         limit *= 8
 
 
+def union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def jaccard_classes(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per distinct text with words: tk (md5 of the text), n_shingles, component_id, and first_tk, the text of the document of that id.
 
     Where all ids of a component are null, its ``component_id`` is null and the least tk stands for it.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("tk"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    nodes = _nodes(rows.groupBy("tk").agg(F.min("text").alias("text")), shingle)
+    bits = min(SKETCH_MOST, max(SKETCH_BITS, (4 * docs.count()).bit_length()))
+    nodes = _nodes(rows.groupBy("tk").agg(F.min("text").alias("text")), shingle, bits)
     free(docs.sparkSession)
-    heat = _heat(nodes)
+    heat = _heat(nodes, bits)
     texts = nodes.where("n > 0")
 
     links = _verified(_stars(nodes, num, den), texts, shingle, num, den)
-    comps = written(components(links), "comps")
+    comps = components(links)
     n_comps = comps.count()
     comps, n_comps = _between(links, comps, n_comps, nodes, heat, shingle, num, den)
 
@@ -407,7 +446,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, num: int = 4, den: int =
     named = known.join(least, "tk")
     ids = named.groupBy("component").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "tk")).alias("first"))
     out = written(named.join(ids, "component").select("tk", F.col("n").alias("n_shingles"), F.col("first.own").alias("component_id"), F.col("first.tk").alias("first_tk")), "classes")
-    drop(nodes, links)
+    drop(nodes, comps)
     return out
 
 
@@ -435,8 +474,14 @@ def one_per_component(docs: DataFrame, shingle: int = 5, num: int = 4, den: int
     Texts without words stay.  Of repeated rows one stays, and where a component has no
     id at all, one row of its least text key.
     """
-    classes = jaccard_classes(docs, shingle, num, den, doc_id, text).withColumnRenamed("tk", "_tk")
-    marked = docs.withColumn("_tk", text_key(text)).join(classes.select("_tk", F.col("component_id").alias("_component"), F.col("first_tk").alias("_first")), "_tk", "left")
-    empty = marked.where(F.col("_first").isNull())
-    first = marked.where((F.col("_tk") == F.col("_first")) & F.col(doc_id).eqNullSafe(F.col("_component"))).dropDuplicates(["_first"])
-    return empty.select(*docs.columns).unionByName(first.select(*docs.columns))
+    classes = jaccard_classes(docs, shingle, num, den, doc_id, text)
+    cols = docs.columns
+    tk, first, least = (unused(x, cols) for x in ("tk", "first", "least"))
+    few = classes.select(F.col("tk").alias(tk), F.col("component_id").alias(least), F.col("first_tk").alias(first))
+    marked = docs.withColumn(tk, text_key(text)).join(few, tk, "left")
+    empty = marked.where(F.col(first).isNull())
+    # rows that share id and text may differ elsewhere: the one of the lowest hash stays, so that reruns agree
+    same = marked.where((F.col(tk) == F.col(first)) & F.col(doc_id).eqNullSafe(F.col(least)))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = same.groupBy(first).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in cols]), F.xxhash64(*hashed)).alias(tk)).select(f"{tk}.*")
+    return empty.select(*cols).unionByName(one)

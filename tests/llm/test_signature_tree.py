@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pulsegrid.llm import signature_tree as S
 from pulsegrid.llm.graph import components
+from pyspark.sql import functions as F
 
 
 def brute(rows, size, num, den):
@@ -116,3 +117,22 @@ def test_one_per_component(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == df.columns and len(ids) == len(set(ids))
     assert set(ids) == {c for _, n, c in brute(rows, 5, 4, 5) if n} | {500, 501, 502}
+
+
+@pytest.mark.parametrize("hot", [0, 4, 99])
+def test_prefix_groups_and_blocks_lose_no_link(spark, monkeypatch, hot):
+    """Without the stars' links all must come from the groups, cut by sizes or not, dealt in small blocks, by shuffled joins."""
+    for name, value in (("HOT", hot), ("BLOCK", 4), ("LEAF", 2), ("FIRST", 1), ("BROADCAST_ROWS", 0), ("BROADCAST_IDS", 0)):
+        monkeypatch.setattr(S, name, value)
+    monkeypatch.setattr(S, "_stars", lambda nodes, num, den: nodes.sparkSession.createDataFrame([], "a long, b long"))
+    rows = corpus(20 + hot, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted([tuple(r) for r in S.jaccard_components(df, 4, 85, 100).collect()], key=str) == brute(rows, 4, 85, 100)
+
+
+def test_the_same_row_stays_in_every_run(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, i, {"k": i}, "t") for i in range(30)] + [(2, text, 99, None, "t"), (None, "x y", 5, None, "t"), (None, "x y", 6, None, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int, m map<string,int>, FIRST string")
+    kept = [sorted(map(str, S.one_per_component(d).collect())) for d in (df, df.repartition(5), df.orderBy(F.desc("n")))]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
