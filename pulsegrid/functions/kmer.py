@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 K = 11
 CENTER = 5
+#: Numbers of the methylation types.
 METH_IDS = {"none": 0, "m6A": 1, "m4C": 2, "m5C": 3}
 #: IUPAC letters and the bases they stand for.
 IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
+#: Letters and their complements; S, W and N are their own.
 COMPLEMENT = ("ACGTYRKMBVDH", "TGCARYMKVBHD")
 
 
@@ -44,7 +46,9 @@ def sliding(seq: Column, k: int = K) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions kmer_encode, kmer_decode and revcomp, as SQL expressions that Catalyst inlines."""
+    """SQL functions kmer_encode, kmer_decode, revcomp and iupac_regex, as SQL expressions that Catalyst inlines."""
+    letters = " ".join(f"WHEN '{c}' THEN '{iupac_to_regex(c)}'" for c in IUPAC)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION iupac_regex(s STRING) RETURNS STRING RETURN array_join(transform(split(s, ''), c -> CASE c {letters} ELSE c END), '')")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION kmer_encode(s STRING) RETURNS INT RETURN CASE WHEN s RLIKE '^[ACGT]+$' THEN CAST(conv(translate(s, 'ACGT', '0123'), 4, 10) AS INT) END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION kmer_decode(k INT) RETURNS STRING RETURN translate(lpad(conv(CAST(k AS STRING), 10, 4), 11, '0'), '0123', 'ACGT')")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION revcomp(s STRING) RETURNS STRING RETURN reverse(translate(s, '{COMPLEMENT[0]}', '{COMPLEMENT[1]}'))")

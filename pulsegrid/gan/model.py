@@ -32,6 +32,15 @@ def normals(keys: np.ndarray, n: int, seed: int) -> np.ndarray:
     return np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
 
 
+def noises(keys: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """n normal numbers (single precision) for each key that depend on key and seed alone; a pair of uniform ones gives two."""
+    base = mix(keys.astype(U64) ^ mix(np.array([seed], U64)))[:, None] + np.arange((n + 1) // 2, dtype=U64)[None, :]
+    x = mix(base)
+    r = np.sqrt(np.float32(-2) * np.log(((x >> U64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)))
+    turn = (x & U64(0xFFFFFF)).astype(np.float32) * np.float32(2 * np.pi * 2**-24)
+    return np.concatenate((r * np.cos(turn), r * np.sin(turn)), 1)[:, :n]
+
+
 class Embedding:
     """Rows of observed k-mers; all others by hash."""
 
@@ -100,6 +109,22 @@ class Net:
             h = act
         return h @ self.p["w2"] + self.p["b2"], (tape, h, kmers, meths, masks)
 
+    def heads(self, kmers: np.ndarray, meths: np.ndarray) -> np.ndarray:
+        """What k-mer and methylation add to the first layer, bias included, whatever its other input."""
+        n = len(self.p["w0"]) - self.embed.dim - METH_DIM
+        return self.embed(kmers) @ self.p["w0"][n : n + self.embed.dim] + self.p["meth"][meths] @ self.p["w0"][n + self.embed.dim :] + self.p["b0"]
+
+    def infer(self, x: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """The output without dropout, in single precision, for rows whose ``heads`` are known."""
+        w = {k: v.astype(np.float32) for k, v in self.p.items()}
+        z = x.astype(np.float32) @ w["w0"][: x.shape[1]] + heads.astype(np.float32)
+        for k in range(2):
+            z -= z.mean(1, keepdims=True)
+            z /= np.sqrt((z * z).mean(1, keepdims=True) + np.float32(1e-5))
+            z = z * w[f"g{k}"] + w[f"h{k}"]
+            z = np.maximum(z, np.float32(0.2) * z) @ w[f"w{k + 1}"] + w[f"b{k + 1}"]
+        return z
+
     def backward(self, grad: np.ndarray, saved) -> tuple[np.ndarray, dict]:
         """Gradient to the first input and to all parameters (``kmer``: rows of the embedding)."""
         tape, last, kmers, meths, masks = saved

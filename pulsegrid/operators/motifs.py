@@ -150,14 +150,14 @@ def load(spark: SparkSession, source: str, fraction: float = MIN_FRACTION, detec
     return source
 
 
-def species_motifs(spark: SparkSession, source: str, species: str) -> str:
+def species_motifs(spark: SparkSession, source: str, species: str, fraction: float = MIN_FRACTION, detected: int = MIN_DETECTED) -> str:
     """The motifs of a species from a ``species|motifs`` file (first match), else as ``load``."""
     if os.path.isfile(source) and not source.endswith(".csv"):
         with open(source) as f:
             for line in f:
                 if line.startswith(species + "|"):
                     return line.rstrip("\n").split("|", 1)[1].strip()
-    return load(spark, source)
+    return load(spark, source, fraction, detected)
 
 
 def patterns(entries: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from pulsegrid.operators.motifs import MIN_DETECTED, MIN_FRACTION, load
 
@@ -33,6 +34,12 @@ def prepared(spark: SparkSession, lines: list[str], fraction: float = MIN_FRACTI
     return out
 
 
+def inject_jobs(spark: SparkSession, path: str) -> list[tuple[str, str, str, str, str]]:
+    """(reads, alignment, reference, table, motifs) of each line of a pipe-delimited config; lines without reads go, and what stands behind the fifth field. Jobs are few."""
+    lines = spark.read.text(path).select(F.split("value", r"\|").alias("f")).where((F.size("f") >= 5) & (F.trim(F.col("f")[0]) != ""))
+    return [tuple(r) for r in lines.select(*[F.trim(F.col("f")[i]) for i in range(5)]).collect()]
+
+
 def _first(folder: str, endings: tuple[str, ...]) -> str | None:
     names = sorted(os.listdir(folder))
     return next((os.path.join(folder, n) for e in endings for n in names if n.endswith(e)), None)

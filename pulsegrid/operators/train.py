@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from pulsegrid.functions.kmer import CENTER, K, kmer_codes, scan
 from pulsegrid.operators.motifs import Motif
+from pulsegrid.shared import lookup, unused, written
 
 MOMENTS = ["n", "sum_ipd", "sum_ipd2", "sum_pw", "sum_pw2"]
 SPACE = 4**K
@@ -146,10 +147,33 @@ def marks(sequences: DataFrame, motifs: list[Motif], keep: list[str], seq: str =
     return src.mapInArrow(run, fields + "pos bigint, meth_id int")
 
 
+def _same(left: DataFrame, right: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
+    """``left`` joined with the counted ``right`` on equal keys, nulls among them; without right's keys."""
+    names = {k: unused(k, [*left.columns, *right.columns]) for k in keys}
+    other = lookup(right.withColumnsRenamed(names))
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(other, on, how).drop(*names.values())
+
+
 def cap(rows: DataFrame, limit: int, order: Column, keys: tuple[str, ...] = ("kmer", "meth_id")) -> DataFrame:
-    """At most ``limit`` rows of each key, those of the lowest ``order`` (a hash of the row's identity: a uniform sample that no retry changes)."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
+    """At most ``limit`` rows of each key, those of the lowest ``order``: hex digits of a hash of the row's identity, so a uniform sample that no retry changes.
+
+    Keys of at most ``limit`` rows are counted only; their rows are neither moved nor sorted.
+    Of all others, counts by the leading bits of the order say which rows can be among
+    the lowest, so that a key is sorted with few more than ``limit`` rows, however many it has.
+    """
+    full = written(rows.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > limit).select(*keys), "full")
+    if full.isEmpty():
+        return rows
+    bits, level, least, rank = (unused(x, rows.columns) for x in ("bits", "level", "least", "rank"))
+    # the leading zeros of the first 32 bits: a row of a higher level is lower in order
+    ranked = rows.withColumn(bits, F.conv(F.substring(order, 1, 8), 16, 10).cast("long")).withColumn(level, 32 - F.length(F.bin(bits))).drop(bits)
+    seen = _same(ranked, full, keys, "left_semi").groupBy(*keys, level).agg(F.count("*").alias(rank))
+    down = Window.partitionBy(*keys).orderBy(F.desc(level)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    enough = seen.withColumn(rank, F.sum(rank).over(down)).where(F.col(rank) >= limit).groupBy(*keys).agg(F.max(level).alias(least))
+    hot = _same(ranked, written(enough, "enough"), keys, "inner").where(F.col(level) >= F.col(least)).drop(level, least)
+    first = hot.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col(rank) <= limit).drop(rank)
+    return _same(rows, full, keys, "left_anti").unionByName(first)
 
 
 def coverage(table: DataFrame) -> DataFrame:
@@ -178,3 +202,8 @@ def strain_stats(reads: DataFrame, strain: str = "strain") -> DataFrame:
     mean = lambda c: F.when(F.col(f"n{c}") == 0, 0.0).otherwise(F.round(F.col(f"s{c}") / F.col(f"n{c}"), 4))
     dev = lambda c: F.when(F.col(f"n{c}") == 0, 0.0).otherwise(F.round(F.sqrt(F.greatest(F.lit(0.0), F.col(f"q{c}") / F.col(f"n{c}") - (F.col(f"s{c}") / F.col(f"n{c}")) * (F.col(f"s{c}") / F.col(f"n{c}")))), 4))
     return g.select(strain, mean("i").alias("mean_ipd"), dev("i").alias("std_ipd"), mean("p").alias("mean_pw"), dev("p").alias("std_pw"))
+
+
+def strain_bars(stats: DataFrame, strain: str = "strain") -> DataFrame:
+    """What bar charts of the strains' statistics show: the last part of a strain's dotted name, means, and deviations as error bars."""
+    return stats.select(F.element_at(F.split(F.col(strain), r"\."), -1).alias("label"), "mean_ipd", "std_ipd", "mean_pw", "std_pw")

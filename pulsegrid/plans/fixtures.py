@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LETTERS, _BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 STEP, TAIL = 64, 32  # of the SQL only: texts are cut into pieces of STEP letters and the TAIL letters behind them, as substring counts from the start of its text
+CONTIG_DOCS = 64  # documents of one contig
 MOTIFS = "m6A,GATC,1;m4C,CCWGG,1;m6A,CACAGGNC,4,1539,0.998054;m5C,RCCGGY,2;odd,GANTC,1;m6A,GTCANNNNNGTCG,4,925,1;nonsense"
 
 # Rows of small inputs. Motif tables: motifString, centerPos, modificationType, fraction, nDetected.
@@ -24,6 +25,8 @@ GFF_ROWS = [
     ("c3", 11, 14, "+", "ID=x.1;Name=m4C_CCWGG_1;note=y", 30), ("c3", 15, 18, "-", "pattern=m5C_RCCGGY_2", 30), ("c3", 20, 24, "+", "NAME= m6A_GATC_1 ;pattern=m4C_CCWGG_1", 30), ("c3", 25, 28, "+", "", 30), ("c3", 26, 29, ".", "Name=zzz_GATC_0", 30),
 ]
 PAIRS = [("/data/s1.bam", "m6A,GATC,1"), ("/data/s2.bam", ""), ("/data/s3.bam", "m4C,CCWGG,1;m6A,GANTC,1"), ("/data/s4.bam", "/gone/motifs.csv"), ("/data/s5.bam", "motifs.csv"), ("/data/s6.bam", "sites.txt"), ("/data/s7.bam", "m6A,GATC,1,200,0.99;m5C,CC,0")]
+JOBS = [("/d/a.fq.gz", "/d/a.maf.gz", "/d/a.fna", "/d/t.parquet", "m6A,GATC,2;m4C,CCWGG,1"), ("/d/b.fq", "/d/b.maf", "/d/b.fa", "/d/t.parquet", "/d/m.csv", "more"), ("", "x", "x", "x", "x"), ("/d/c.fq", "/d/c.maf")]
+IUPAC_ROWS = ["GATC", "CCWGG", "RYSWKM", "BDHVN", "GANTC", "", "gat-x"]
 EXCLUDED = ["src3", "src7", "src11"]
 SPECIES_MOTIFS = [("en", "m6A,GATC,1"), ("de", "m4C,CCWGG,1;m6A,GANTC,1"), ("xx", "m5C,RCCGGY,2")]
 
@@ -36,16 +39,20 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("fi", signal(31, 17, 7, 3)).withColumn("fp", signal(13, 29, 3, 2)).withColumn("ri", signal(7, 5, 1, 4)).withColumn("rp", signal(11, 3, 2, 5))
 
 
+def _contig(species: str = "species") -> Column:
+    return F.concat(F.lit("chr_"), F.col(species), F.lit("_"), F.floor(F.col("doc_id") / CONTIG_DOCS).cast("string"))
+
+
 def contigs(r: DataFrame) -> DataFrame:
-    """One contig per species: the reads of all documents, one after the other."""
-    g = r.groupBy("species").agg(F.array_sort(F.collect_list(F.struct("doc_id", "seq"))).alias("s"))
-    return g.select("species", F.concat(F.lit("chr_"), "species").alias("contig"), F.array_join(F.transform("s", lambda x: x["seq"]), "").alias("seq"))
+    """The reads of CONTIG_DOCS neighbouring documents of a species, one after the other: all documents lie in one, and none grows with the table."""
+    g = r.groupBy("species", _contig().alias("contig")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "seq"))).alias("s"))
+    return g.select("species", "contig", F.array_join(F.transform("s", lambda x: x["seq"]), "").alias("seq"))
 
 
 def alignments(r: DataFrame, c: DataFrame) -> DataFrame:
     """Two lines for some reads (the last one counts), none for others, and a contig that is not there."""
-    base = r.where("doc_id % 7 <> 3").join(c.select("species", F.length("seq").cast("long").alias("ref_src_size")), "species")
-    name = F.when(F.col("doc_id") % 11 == 5, F.lit("missing")).otherwise(F.concat(F.lit("chr_"), "species"))
+    base = r.where("doc_id % 7 <> 3").withColumn("contig", _contig()).join(c.select("species", "contig", F.length("seq").cast("long").alias("ref_src_size")), ["species", "contig"])
+    name = F.when(F.col("doc_id") % 11 == 5, F.lit("missing")).otherwise(F.col("contig"))
     rows = base.select("species", "read_name", name.alias("ref_name"), F.pmod(F.col("doc_id") * 7919, F.col("ref_src_size")).alias("ref_start"), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("ref_strand"), "ref_src_size", F.lit(2).cast("long").alias("ord"), "doc_id")
     first = rows.where("doc_id % 13 = 0").withColumn("ref_start", F.lit(0).cast("long")).withColumn("ord", F.lit(1).cast("long"))
     return rows.unionByName(first).drop("doc_id")
@@ -89,8 +96,8 @@ win AS (SELECT w.doc_id, w.strain, w.p AS i, (w.doc_id * 31 + (w.p + 5) * 17 + 7
 
 
 MOMENTS_SQL = "CAST(count(*) AS BIGINT) AS n, CAST(sum(ipd) AS DOUBLE) AS sum_ipd, CAST(sum(ipd * ipd) AS DOUBLE) AS sum_ipd2, CAST(sum(pw) AS DOUBLE) AS sum_pw, CAST(sum(pw * pw) AS DOUBLE) AS sum_pw2"
-REF_SQL = """contigs AS (SELECT species, 'chr_' || species AS contig, string_agg(seq, '' ORDER BY doc_id) AS seq FROM reads GROUP BY species),
-aln0 AS (SELECT r.species, r.read_name, CASE WHEN r.doc_id % 11 = 5 THEN 'missing' ELSE 'chr_' || r.species END AS ref_name, (r.doc_id * 7919) % length(c.seq) AS ref_start,
-  CASE WHEN r.doc_id % 2 = 0 THEN '+' ELSE '-' END AS ref_strand, CAST(length(c.seq) AS BIGINT) AS ref_src_size FROM reads r JOIN contigs c USING (species) WHERE r.doc_id % 7 <> 3),
+REF_SQL = f"""contigs AS (SELECT species, 'chr_' || species || '_' || CAST(doc_id // {CONTIG_DOCS} AS VARCHAR) AS contig, string_agg(seq, '' ORDER BY doc_id) AS seq FROM reads GROUP BY 1, 2),
+aln0 AS (SELECT r.species, r.read_name, CASE WHEN r.doc_id % 11 = 5 THEN 'missing' ELSE c.contig END AS ref_name, (r.doc_id * 7919) % length(c.seq) AS ref_start,
+  CASE WHEN r.doc_id % 2 = 0 THEN '+' ELSE '-' END AS ref_strand, CAST(length(c.seq) AS BIGINT) AS ref_src_size FROM reads r JOIN contigs c ON c.species = r.species AND c.contig = 'chr_' || r.species || '_' || CAST(r.doc_id // {CONTIG_DOCS} AS VARCHAR) WHERE r.doc_id % 7 <> 3),
 mapped AS (SELECT r.doc_id, r.read_name, r.species, r.seq, a.ref_name, a.ref_start, a.ref_strand, a.ref_src_size, c.seq AS contig_seq FROM reads r LEFT JOIN aln0 a ON a.species = r.species AND a.read_name = r.read_name
   LEFT JOIN contigs c ON c.species = r.species AND c.contig = a.ref_name)"""

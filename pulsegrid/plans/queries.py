@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import kmer, signal
 from pulsegrid.operators import inject, motifs, train
 from pulsegrid.plans import fixtures as X
+from pulsegrid.shared import numbered, scratch_path
+from pulsegrid.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -239,6 +241,11 @@ def strain_stats(spark, sf):
     return train.strain_stats(X.reads(spark, sf))
 
 
+@query(f"SELECT string_split('lib.' || strain, '.')[-1] AS label, mean_ipd, std_ipd, mean_pw, std_pw FROM ({_strain_sql()})")
+def strain_bars(spark, sf):
+    return train.strain_bars(train.strain_stats(X.reads(spark, sf).withColumn("strain", F.concat(F.lit("lib."), "strain"))))
+
+
 @query(f"WITH {_DICT} SELECT round(avg(sum_ipd / n), 6) AS mean_ipd, round(avg(sum_pw / n), 6) AS mean_pw FROM dict WHERE meth_id = 0")
 def global_unmeth_mean(spark, sf):
     return _table(spark, sf).where("meth_id = 0").agg(F.round(F.avg(F.col("sum_ipd") / F.col("n")), 6).alias("mean_ipd"), F.round(F.avg(F.col("sum_pw") / F.col("n")), 6).alias("mean_pw"))
@@ -285,17 +292,23 @@ def _joined(spark, sf):
     return inject.mapped(r, X.alignments(r, c), c), c
 
 
+def _placed(spark, sf):
+    r = X.reads(spark, sf).select("doc_id", "read_name", "species", "seq")
+    c = X.contigs(X.reads(spark, sf))
+    return inject.placed(r, X.alignments(r, c), c), c
+
+
 _J = f"{X.READS_SQL}, {X.REF_SQL}"
 
 
 @query(f"WITH {_J} SELECT species, read_name, ref_name, ref_start, ref_strand, ref_src_size FROM mapped")
 def reads_maf_join(spark, sf):
-    return _joined(spark, sf)[0].select("species", "read_name", "ref_name", "ref_start", "ref_strand", "ref_src_size")
+    return _placed(spark, sf)[0].select("species", "read_name", "ref_name", "ref_start", "ref_strand", "ref_src_size")
 
 
 @query(f"WITH {_J} SELECT species, CAST(count(*) AS BIGINT) AS total, CAST(count(contig_seq) AS BIGINT) AS n_mapped, CAST(count(*) - count(contig_seq) AS BIGINT) AS n_unmapped FROM mapped GROUP BY species")
 def mapped_unmapped_counts(spark, sf):
-    return _joined(spark, sf)[0].groupBy("species").agg(F.count("*").alias("total"), F.count("contig_seq").alias("n_mapped"), (F.count("*") - F.count("contig_seq")).alias("n_unmapped"))
+    return _placed(spark, sf)[0].groupBy("species").agg(F.count("*").alias("total"), F.count("clen").alias("n_mapped"), (F.count("*") - F.count("clen")).alias("n_unmapped"))
 
 
 _CTX = "substring(repeat(contig_seq, 3), CAST(((ref_start - 5) % length(contig_seq) + length(contig_seq)) % length(contig_seq) AS INTEGER) + 1, length(seq) + 10)"
@@ -321,8 +334,8 @@ def context_linear(spark, sf):
     SELECT species, read_name, CAST(count(*) AS BIGINT) AS bases, CAST(count(*) FILTER (WHERE contains(left(w, 11), 'N')) AS BIGINT) AS defaults FROM b WHERE p + 11 <= n GROUP BY species, read_name"""
 )
 def n_window_default(spark, sf):
-    j, c = _joined(spark, sf)
-    b = inject.mapped_bases(j, _contig_marks(c), circular=False)
+    j, c = _placed(spark, sf)
+    b = inject.placed_bases(j, inject.tiles(c, _contig_marks(c), circular=False), circular=False)
     return b.groupBy("species", "read_name").agg(F.count("*").alias("bases"), F.count(F.when(F.col("is_n"), 1)).alias("defaults"))
 
 
@@ -330,18 +343,18 @@ def _contig_marks(c):
     return train.marks(c, COMPILED, ["species", "contig"])
 
 
-_CMARK = f"cpos AS ({X.places_sql('contigs', 'species')}), cmark AS ({X.marks_sql('cpos', 'species', COMPILED)})"
-_MBASE = f"""mb0 AS (SELECT species, read_name, {_CTX.replace("repeat(contig_seq, 3)", "repeat(contig_seq, 3 + CAST(length(seq) // length(contig_seq) AS INTEGER))")} AS ctx, ref_start, length(contig_seq) AS clen FROM mapped WHERE contig_seq IS NOT NULL),
-mb1 AS ({X.places_sql('mb0', 'species, read_name, ref_start, clen', 'ctx')}),
+_CMARK = f"cpos AS ({X.places_sql('contigs', 'species, contig')}), cmark AS ({X.marks_sql('cpos', 'species, contig', COMPILED)})"
+_MBASE = f"""mb0 AS (SELECT species, read_name, {_CTX.replace("repeat(contig_seq, 3)", "repeat(contig_seq, 3 + CAST(length(seq) // length(contig_seq) AS INTEGER))")} AS ctx, ref_name, ref_start, length(contig_seq) AS clen FROM mapped WHERE contig_seq IS NOT NULL),
+mb1 AS ({X.places_sql('mb0', 'species, read_name, ref_name, ref_start, clen', 'ctx')}),
 mb AS (SELECT b.species, b.read_name, CAST(b.p AS INTEGER) AS pos, {X.encode_sql("b.w")} AS kmer, CAST(coalesce(c.meth_id, 0) AS INTEGER) AS meth_id, false AS is_n
-  FROM mb1 b LEFT JOIN cmark c ON c.species = b.species AND c.p = (b.ref_start + b.p) % b.clen WHERE b.p + 11 <= b.n)"""
+  FROM mb1 b LEFT JOIN cmark c ON c.species = b.species AND c.contig = b.ref_name AND c.p = (b.ref_start + b.p) % b.clen WHERE b.p + 11 <= b.n)"""
 _FULL = f"{_DICT}, {X.REF_SQL}, {_CMARK}, {_MBASE}"
 
 
 @query(f"WITH {_FULL} SELECT mb.species, read_name, pos, mb.kmer, mb.meth_id, is_n, {_params_sql('d.')} FROM mb LEFT JOIN dict d ON d.kmer = mb.kmer AND d.meth_id = mb.meth_id")
 def inject_params_mapped(spark, sf):
-    j, c = _joined(spark, sf)
-    return inject.parameters(inject.mapped_bases(j, _contig_marks(c)), _table(spark, sf))
+    j, c = _placed(spark, sf)
+    return inject.parameters(inject.placed_bases(j, inject.tiles(c, _contig_marks(c))), _table(spark, sf))
 
 
 _UBASE = f"""um AS (SELECT doc_id, species, read_name, seq FROM mapped WHERE contig_seq IS NULL), upos AS ({X.places_sql('um', 'doc_id, species, read_name')}), umark AS ({X.marks_sql('upos', 'doc_id', COMPILED)}),
@@ -351,9 +364,8 @@ ub AS (SELECT x.species, x.read_name, CAST(x.p AS INTEGER) AS pos, CASE WHEN x.p
 
 @query(f"WITH {_DICT}, {X.REF_SQL}, {_UBASE} SELECT ub.species, read_name, pos, ub.kmer, ub.meth_id, is_n, {_params_sql('d.')} FROM ub LEFT JOIN dict d ON d.kmer = ub.kmer AND d.meth_id = ub.meth_id AND NOT is_n")
 def inject_params_unmapped(spark, sf):
-    j, _ = _joined(spark, sf)
-    j = j.where("length(seq) > 0")
-    return inject.parameters(inject.unmapped_bases(j, train.marks(j.where("contig_seq is null"), COMPILED, ["species", "read_name"])), _table(spark, sf))
+    j, _ = _placed(spark, sf)
+    return inject.parameters(inject.unmapped_bases(j, train.marks(j.where("clen is null"), COMPILED, ["species", "read_name"])), _table(spark, sf))
 
 
 def _uniform_sql(key: str, part: int) -> str:
@@ -383,17 +395,9 @@ def quantise_uint8(spark, sf):
 @query(f"WITH {X.READS_SQL} SELECT read_name, species, CAST(row_number() OVER (ORDER BY doc_id, species) AS BIGINT) AS place FROM reads")
 def pool_species_sorted(spark, sf):
     """Pooled reads in natural name order: r2 before r10."""
-    from pyspark.sql.window import Window
-
     pooled = X.reads(spark, sf).select("read_name", "species")
-    key = inject.natural_key("read_name")
-    # a place in the whole order without one task for all reads: the sizes of the key prefixes before, then the place under the prefix
-    part = pooled.withColumn("k", key).withColumn("part", F.substring("k", 1, 19))
-    w = Window.partitionBy("part").orderBy("k", "species")
-    placed = part.withColumn("rn", F.row_number().over(w))
-    sizes = part.groupBy("part").agg(F.count("*").alias("c"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.join(before.select("part", "before"), "part").select("read_name", "species", (F.col("before") + F.col("rn")).alias("place"))
+    placed = numbered(pooled, "place", inject.natural_key("read_name"), F.col("species"))
+    return placed.withColumn("place", F.col("place") + 1)
 
 
 @query(f"WITH {X.READS_SQL} SELECT strain, CAST(count(*) AS BIGINT) AS n_reads FROM reads WHERE strain NOT IN ({', '.join(repr(x) for x in X.EXCLUDED)}) GROUP BY strain")
@@ -461,6 +465,83 @@ def sam_lines(spark, sf):
     return r.select(F.concat_ws("\t", "read_name", *[F.lit(x) for x in ("4", "*", "0", "255", "*", "*", "0", "0")], "seq", F.lit("*"), tag("fi", F.col("fi")), tag("fp", F.col("fp"))).alias("line"))
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder for files in the shared one, which goes with it at the end."""
+    at = scratch_path(spark, name)
+    return at.removeprefix("file://")
+
+
+@query(f"WITH {X.READS_SQL} SELECT read_name, CAST(4 AS INTEGER) AS flag, CASE WHEN length(seq) > 0 THEN seq END AS seq, array_to_string(fi, ',') AS fi, array_to_string(fp, ',') AS fp, strain AS rg FROM reads")
+def bam_round_trip(spark, sf):
+    """All reads through BAM files and back."""
+    files.register(spark)
+    at = _folder(spark, "bam")
+    X.reads(spark, sf).select("read_name", "seq", "fi", "fp", F.col("strain").alias("rg")).write.format("bam").mode("overwrite").save(at)
+    return spark.read.format("bam").load(at).select("read_name", "flag", "seq", F.array_join("fi", ",").alias("fi"), F.array_join("fp", ",").alias("fp"), "rg")
+
+
+@query(f"WITH {X.READS_SQL} SELECT read_name, seq, repeat('I', length(seq)) AS qual FROM reads")
+def fastq_round_trip(spark, sf):
+    """All reads through plain FASTQ files and back; large ones are read in pieces."""
+    files.register(spark)
+    at = _folder(spark, "fastq")
+    r = X.reads(spark, sf)
+    record = F.concat(F.lit("@"), "read_name", F.lit(" x\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq")))
+    r.select(record.alias("value")).write.text(at)
+    return spark.read.format("fastq").load(f"{at}/*.txt").select("read_name", "seq", "qual")
+
+
+@query(f"WITH {X.READS_SQL}, {X.REF_SQL} SELECT contig, seq FROM contigs")
+def fasta_round_trip(spark, sf):
+    """All contigs through FASTA files of 60-letter lines and back."""
+    files.register(spark)
+    at = _folder(spark, "fasta")
+    c = X.contigs(X.reads(spark, sf))
+    c.select(F.concat(F.lit(">"), "contig", F.lit(" x\n"), F.regexp_replace(F.lower("seq"), "(.{60})", "$1\n")).alias("value")).write.text(at)
+    return spark.read.format("fasta").load(f"{at}/*.txt").select("contig", "seq")
+
+
+@query(f"WITH {X.READS_SQL}, {X.REF_SQL} SELECT read_name, ref_name, ref_start, ref_strand, ref_src_size FROM aln0")
+def maf_round_trip(spark, sf):
+    """All alignments through MAF files and back."""
+    files.register(spark)
+    at = _folder(spark, "maf")
+    r = X.reads(spark, sf)
+    a = inject.last_alignment(X.alignments(r, X.contigs(r)))
+    ref = F.concat_ws(" ", F.lit("s"), "ref_name", F.col("ref_start").cast("string"), F.lit("1"), "ref_strand", F.col("ref_src_size").cast("string"), F.lit("A"))
+    a.select(F.concat(F.lit("a\n"), ref, F.lit("\ns "), "read_name", F.lit(" 0 1 + 1 A\n")).alias("value")).write.text(at)
+    return spark.read.format("maf").load(f"{at}/*.txt").select("read_name", "ref_name", "ref_start", "ref_strand", "ref_src_size")
+
+
+_GFF_LINES = ["##gff", "", *["\t".join([c, "tool", "match", str(a), str(b), "0", s, ".", t]) for c, a, b, s, t, _ in X.GFF_ROWS], "c1\ttoo\tfew"]
+
+
+@query(f"SELECT contig, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, strand, attributes FROM {X._values([r[:5] for r in X.GFF_ROWS], 'contig, start, stop, strand, attributes')}")
+def gff_scan(spark, sf):
+    """Hits of a fuzzy search through a file and back: comments, blank and short lines go."""
+    at = _folder(spark, "gff")
+    spark.createDataFrame([(x,) for x in _GFF_LINES], "value string").write.text(at)
+    return motifs.read_gff(spark, at).select("contig", "start", "stop", "strand", "attributes")
+
+
+@query(f"SELECT fastq, maf, ref, dict, motifs FROM {X._values([x[:5] for x in X.JOBS if len(x) >= 5 and x[0]], 'fastq, maf, ref, dict, motifs')}")
+def inject_config(spark, sf):
+    """A pipe-delimited list of injection jobs."""
+    from pulsegrid.operators.prepare import inject_jobs
+
+    at = _folder(spark, "jobs")
+    spark.createDataFrame([("|".join(x),) for x in X.JOBS], "value string").coalesce(1).write.text(at)
+    return spark.createDataFrame(inject_jobs(spark, at), "fastq string, maf string, ref string, dict string, motifs string")
+
+
+@query(f"""WITH n AS (SELECT * FROM {X._values([(m,) for m in X.IUPAC_ROWS], 'motif')}), c AS (SELECT motif, i, substring(motif, i, 1) AS c FROM (SELECT motif, unnest(range(1, length(motif) + 1)) AS i FROM n))
+    SELECT n.motif, coalesce(string_agg(CASE c {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in (('N', '.'), ('R', '[AG]'), ('Y', '[CT]'), ('S', '[CG]'), ('W', '[AT]'), ('K', '[GT]'), ('M', '[AC]'), ('B', '[CGT]'), ('D', '[AGT]'), ('H', '[ACT]'), ('V', '[ACG]')))} ELSE c END, '' ORDER BY i), '') AS re FROM n LEFT JOIN c USING (motif) GROUP BY n.motif""")
+def iupac_regex(spark, sf):
+    """The SQL function of that name."""
+    kmer.register(spark)
+    return spark.createDataFrame([(m,) for m in X.IUPAC_ROWS], "motif string").selectExpr("motif", "iupac_regex(motif) AS re")
+
+
 @query()
 def gan_generate(spark, sf):
     """Signals of all reads from a generator with seeded weights (a trained one is loaded from its checkpoint)."""

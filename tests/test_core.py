@@ -299,3 +299,91 @@ def test_command_line(spark, tmp_path, capsys):
     assert (tmp_path / "pat").read_text() == ">m6A_GATC_1\nGATC\n"
     with pytest.raises(SystemExit, match="did you mean prepare"):
         cli.main(["prepar"])
+
+
+def test_split_files_read_like_whole_ones(spark, tmp_path, monkeypatch):
+    r = random.Random(12)
+    seqs = ["".join(r.choice("ACGT") for _ in range(r.choice([0, 5, 60, 300]))) for _ in range(200)]
+    (tmp_path / "x.fq").write_text("".join(f"@r{i} @x\n{s}\n+{'@' * (i % 2)}\n{'@' * min(1, len(s))}{'+I@'[i % 3] * max(0, len(s) - 1)}\n" + "\n" * (i % 40 == 7) for i, s in enumerate(seqs)))
+    (tmp_path / "x.maf").write_text("##maf\n" + "".join(f"a score={i}\ns c{i % 3} {i} 5 + 900 {s}A\ns r{i} 0 5 + 5 A{s}\n\n" for i, s in enumerate(seqs)))
+    whole = {kind: list(f(str(tmp_path / f"x.{end}"))) for kind, f, end in (("fastq", files.fastq, "fq"), ("maf", files.maf, "maf"))}
+    assert len(whole["fastq"]) == len(whole["maf"]) == 200
+    for split in (17, 100, 1000):
+        monkeypatch.setattr(files, "SPLIT", split)
+        for kind, f, end in (("fastq", files.fastq, "fq"), ("maf", files.maf, "maf")):
+            path = str(tmp_path / f"x.{end}")
+            got = [row for lo in range(0, os.path.getsize(path), split) for row in f(path, lo, lo + split)]
+            assert [x[:-1] for x in got] == [x[:-1] for x in whole[kind]] and [x[-1] for x in got] == sorted({x[-1] for x in got})
+
+
+def test_split_bam_reads_like_a_whole_one(spark, tmp_path, monkeypatch):
+    r = random.Random(13)
+    at = str(tmp_path / "x.bam")
+    with open(at, "wb") as f:
+        w = files.BgzfWriter(f)
+        w.write(files.header(["g"]))
+        for i in range(120):
+            n = r.choice([0, 1, 12, 500, 40_000]) if i % 3 else 200
+            w.write(files.record(f"m/{i}", "".join(r.choice("ACGT") for _ in range(n)), None, [r.choice([0, 255, r.randrange(256)]) for _ in range(n)], [255] * n if i % 5 else None, "g"))
+            if r.random() < 0.1 and w.held:
+                w._block(bytes(w.held))
+                w.held.clear()
+        w.close()
+    whole = list(files.bam(at))
+    assert [x[0] for x in whole] == [f"m/{i}" for i in range(120)]
+    for split in (3000, 40_000, 300_000):
+        monkeypatch.setattr(files, "SPLIT", split)
+        got = [row for lo in range(0, os.path.getsize(at), split) for row in files.bam(at, lo, lo + split)]
+        assert [x[:-1] for x in got] == [x[:-1] for x in whole] and [x[-1] for x in got] == sorted({x[-1] for x in got})
+    files.register(spark)
+    assert spark.read.format("bam").load("file://" + at).count() == 120
+
+
+def test_broken_files_lists_and_one_pooled_file(spark, tmp_path):
+    files.register(spark)
+    df = spark.createDataFrame([(f"r{i}", "ACGT" * 5, [i] * 20, [1] * 20, f"s{i % 2}") for i in range(50)], "read_name string, seq string, fi array<int>, fp array<int>, rg string")
+    one = str(tmp_path / "pool.bam")
+    for _ in range(2):  # a second run replaces the first
+        df.repartition(4).orderBy(inject.natural_key("read_name")).write.format("bam").mode("append").option("single", "true").option("groups", "s0,s1").option("order", "queryname").save(one)
+        assert os.path.isfile(one) and not os.path.exists(one + ".parts")
+    with gzip.open(one) as f:
+        assert b"SO:queryname\n@RG\tID:s0" in f.read(200)
+    assert [x[0] for x in files.bam(one)] == [f"r{i}" for i in range(50)]
+    folder = str(tmp_path / "parts")
+    for _ in range(2):
+        df.repartition(3).write.format("bam").mode("overwrite").save(folder)
+    assert spark.read.format("bam").load(folder).count() == 50
+    (tmp_path / "bad.bam").write_bytes(open(one, "rb").read()[:200])
+    (tmp_path / "no.bam").write_bytes(b"nothing")
+    (tmp_path / "list").write_text(f"{one}\n\n{tmp_path}/bad.bam\n{tmp_path}/no.bam\n{tmp_path}/gone.bam\n")
+    got = spark.read.format("bam").option("errors", "rows").load(f"@{tmp_path}/list")
+    assert sorted({os.path.basename(x.file) for x in got.where("error is not null").collect()}) == ["bad.bam", "gone.bam", "no.bam"]
+    assert got.where("error is null").count() == 50
+    kmer.register(spark)
+    assert spark.sql("select iupac_regex('GANTCRx')").first()[0] == "GA.TC[AG]x"
+
+
+@pytest.mark.parametrize("circular", [True, False])
+def test_tiles_give_the_bases_that_contexts_give(spark, monkeypatch, circular):
+    monkeypatch.setattr(inject, "TILE", 16)
+    monkeypatch.setattr(inject, "TILES", 3)
+    monkeypatch.setattr(inject, "PIECES", 2)
+    r = random.Random(21)
+    genome = {("s", "c1"): "".join(r.choice("ACGTACGTACGTNR") for _ in range(200)), ("s", "c2"): "".join(r.choice("ACGT") for _ in range(13)), ("t", "c1"): "".join(r.choice("ACGT") for _ in range(64)), ("t", "e"): ""}
+    refs = spark.createDataFrame([(s, c, x) for (s, c), x in genome.items()], "species string, contig string, seq string")
+    rows, aln = [], []
+    for i in range(60):
+        s, c = r.choice(list(genome))
+        rows.append((s, f"r{i}", "".join(r.choice("ACGTN") for _ in range(r.choice([0, 1, 9, 10, 11, 30, 70]))) if i % 20 else None))
+        if i % 6:
+            aln.append((s, f"r{i}", c if i % 7 else "gone", r.randrange(max(1, len(genome[s, c]))), "+", 1, 1))
+    reads = spark.createDataFrame(rows, "species string, read_name string, seq string")
+    al = spark.createDataFrame(aln, "species string, read_name string, ref_name string, ref_start long, ref_strand string, ref_src_size long, ord long")
+    marks = train.marks(refs, MOTIFS, ["species", "contig"])
+    old = inject.mapped_bases(inject.mapped(reads, al, refs).where("length(contig_seq) > 0"), marks, circular).collect()
+    new = inject.placed_bases(inject.placed(reads, al, refs), inject.tiles(refs, marks, circular), circular).collect()
+    key = lambda x: (x.species, x.read_name, x.pos)
+    a, b = ({key(x): (x.kmer if not x.is_n else None, x.meth_id if circular or not x.is_n else 0, x.is_n) for x in t} for t in (old, new))
+    if not circular:  # marks under windows with an N, which are defaults anyway
+        b = {k: (x[0], x[1] if not x[2] else 0, x[2]) for k, x in b.items()}
+    assert a == b and len(new) == len(a) > 300
