@@ -7,17 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _by_place(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
+    """The documents with columns named by their places and the text once more, the names, and the text's: so no column clashes with what an operator adds."""
+    names = [f"column{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names).withColumn("whole", F.col(names[docs.columns.index("text")])), names, "whole"
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts (probability 0.5 or more)."""
     net = byte_cnn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    marked = docs.withColumn("_text", F.col("text"))
-    return byte_cnn.score(marked, net, text="_text").where("score >= 0.5").select(*docs.columns)
+    plain, names, text = _by_place(docs)
+    return byte_cnn.score(plain, net, text=text).where("score >= 0.5").select(*names).toDF(*docs.columns)
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the production policy."""
-    led = rule_ledger.ledger(docs.withColumn("_text_in", F.col("text")), text="_text_in")
-    return led.where(rule_ledger.passes("web-1")).select(*docs.columns)
+    plain, names, text = _by_place(docs)
+    return rule_ledger.ledger(plain, text=text).where(rule_ledger.passes("web-1")).select(*names).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = scratch.written(docs, f"stage{k}")
+            before, docs = docs, scratch.written(docs, f"stage{k}")
+            scratch.drop(before)
     return docs
