@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import drop, written
+from .scratch import drop, lookup, numbered, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3  # times that a source, shard or document may be taken
@@ -27,32 +27,12 @@ SHARD_DOCS = 2000
 PRIMES = (1_000_003, 1_000_033, 1_000_037)
 WAYS = 32  # parts into which a step of the narrowing cuts an interval
 FEW = 4096  # contested quotients of a group that are ranked by a sort
-LOOKUP_ROWS = 100_000  # rows up to which a table is broadcast; beyond, joins shuffle
 
 
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _lookup(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast only if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= LOOKUP_ROWS else df
-
-
-def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
-    """``df`` with its places from 0 in the whole order, written: ranges are sorted apart, and the sizes of those before are added."""
-    dealt = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
-    part = written(dealt, "numbered")
-    sizes = {r["p"]: r["n"] for r in part.groupBy(F.shiftright("_id", 33).alias("p")).agg(F.count("*").alias("n")).collect()}  # a row per partition
-    starts, total = [], 0
-    for p in sorted(sizes):
-        starts.append((p, total))
-        total += sizes[p]
-    before = df.sparkSession.createDataFrame(starts, "_part long, _before long")
-    placed = part.withColumn("_part", F.shiftright("_id", 33)).join(F.broadcast(before), "_part")
-    return placed.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_id")
-
-
 def cyclic_targets(sizes: DataFrame) -> DataFrame:
     """Written (source, source_size, docs, weight, target) from (source, size) rows.
 
@@ -60,7 +40,7 @@ def cyclic_targets(sizes: DataFrame) -> DataFrame:
     targets stop at CAP times their source's size, the excess reshared by weight until
     none is above: a round caps all sources below the present level, which only rises.
     """
-    per = numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), F.col("source").asc_nulls_last(), "place")
+    per = numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), "place", F.col("source").asc_nulls_last())
     per = per.withColumn("weight", F.pmod("place", F.lit(3)) + 1).drop("place")
     exact = lambda c: (c if isinstance(c, Column) else F.lit(c)).cast("decimal(38,0)")
     capped, state = F.lit(False), None
@@ -90,8 +70,8 @@ def _narrowed(rows: DataFrame, state: DataFrame, count) -> DataFrame:
         todo = state.where(wide)
         if todo.isEmpty():
             return state
-        counted = rows.join(_lookup(todo.select("group", "lo", "hi")), "group").groupBy("group").agg(*[F.sum(count(cut(j))).alias(f"c{j}") for j in range(1, WAYS)])
-        both = state.join(_lookup(counted), "group", "left")
+        counted = rows.join(lookup(todo.select("group", "lo", "hi")), "group").groupBy("group").agg(*[F.sum(count(cut(j))).alias(f"c{j}") for j in range(1, WAYS)])
+        both = state.join(lookup(counted), "group", "left")
         cuts = F.array(F.col("lo"), *[cut(j) for j in range(1, WAYS)], F.col("hi"))
         counts = F.array(F.col("at_lo"), *marks, F.col("at_hi"))
         k = F.size(F.filter(counts, lambda c: c >= F.col("want")))  # counts fall, and the first one suffices
@@ -126,14 +106,14 @@ def sainte_lague(parties: DataFrame, within: list[str], weight: str, seats: str,
     first = groups.where("seats > 0 and all > 0").select("group", F.least("seats", "all").cast("long").alias("want"), F.col("least").alias("lo"), (F.col("top") * 2).alias("hi"), F.col("all").alias("at_lo"), F.lit(0).cast("long").alias("at_hi"))
     state = _narrowed(live, first, count)
     # seats from hi on are won; those between lo and hi are contested, a row each
-    near = rows.join(_lookup(state), "group").withColumn("sure", count(F.col("hi"))).withColumn("maybe", count(F.col("lo")))
+    near = rows.join(lookup(state), "group").withColumn("sure", count(F.col("hi"))).withColumn("maybe", count(F.col("lo")))
     contested = near.where("maybe > sure").select("group", "id", "u", "w", "want", "at_hi", F.explode(F.sequence("sure", F.col("maybe") - 1)).alias("k")).withColumn("q", q(F.col("k")))
     ties = state.where(F.col("at_lo") - F.col("at_hi") > FEW)  # so many equal ones
     if not ties.isEmpty():
-        flat = written(contested.join(_lookup(ties.select("group")), "group", "left_semi").select("group", "u"), "ties")
+        flat = written(contested.join(lookup(ties.select("group")), "group", "left_semi").select("group", "u"), "ties")
         one = ties.select("group", (F.col("want") - F.col("at_hi")).alias("want"), F.lit(0.5).alias("lo"), F.lit(2.5).alias("hi"), (F.col("at_lo") - F.col("at_hi")).alias("at_lo"), F.lit(0).cast("long").alias("at_hi"))
         cuts = _narrowed(flat, one, lambda cut: (F.col("u") >= cut).cast("long"))
-        contested = contested.join(_lookup(cuts.select("group", F.col("lo").alias("u_lo"), F.col("hi").alias("u_hi"), F.col("at_hi").alias("u_won"))), "group", "left")
+        contested = contested.join(lookup(cuts.select("group", F.col("lo").alias("u_lo"), F.col("hi").alias("u_hi"), F.col("at_hi").alias("u_won"))), "group", "left")
     else:
         contested = contested.withColumn("u_lo", F.lit(0.0)).withColumn("u_hi", F.lit(3.0)).withColumn("u_won", F.lit(0).cast("long"))
     by_hash = F.col("u_lo").isNotNull()
@@ -141,7 +121,7 @@ def sainte_lague(parties: DataFrame, within: list[str], weight: str, seats: str,
     rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("q"), F.desc("u"), "k"))
     won = open_.withColumn("rank", rank).where(F.col("rank") <= F.col("want") - F.col("at_hi") - F.coalesce("u_won", F.lit(0))).select("group", "id")
     won = won.unionByName(contested.where(F.col("u") >= F.col("u_hi")).select("group", "id")).groupBy("group", "id").agg(F.count("*").alias("extra"))
-    sure = rows.join(_lookup(state.select("group", "hi")), "group", "left").withColumn("sure", F.when((F.col("m") > 0) & F.col("hi").isNotNull(), count(F.col("hi"))).otherwise(0))
+    sure = rows.join(lookup(state.select("group", "hi")), "group", "left").withColumn("sure", F.when((F.col("m") > 0) & F.col("hi").isNotNull(), count(F.col("hi"))).otherwise(0))
     return sure.join(won, ["group", "id"], "left").select("party.*", (F.col("sure") + F.coalesce("extra", F.lit(0))).cast("long").alias("quota"))
 
 
@@ -162,7 +142,7 @@ def mix(docs: DataFrame, targets=cyclic_targets, block: int = 16, seed: int = 42
     known = by_source.join(quotas, F.col("source").eqNullSafe(F.col("q_source"))).drop("q_source")
     known = written(known.withColumn("shards", F.ceil(F.col("docs") / SHARD_DOCS).cast("long")), "quotas")
     drop(by_source)
-    few = _lookup(known)
+    few = lookup(known)
 
     placed = sizes.join(few.withColumnRenamed("source", "k_source"), F.col("source").eqNullSafe(F.col("k_source"))).drop("k_source")
     placed = placed.withColumn("key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("key")), F.col("shards")))
@@ -178,7 +158,7 @@ def mix(docs: DataFrame, targets=cyclic_targets, block: int = 16, seed: int = 42
 
     stream = Window.partitionBy("source", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("hi", F.sum("size").over(stream)).withColumn("lo", F.col("hi") - F.col("size"))
-    joined = placed.join(_lookup(per), F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")))
+    joined = placed.join(lookup(per), F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")))
     first, last = F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block)
     chosen = F.expr(
         f"aggregate(sequence(cast(floor(lo / {block}) as bigint), cast(floor((hi - 1) / {block}) as bigint)), cast(0 as bigint), (t, k) -> t + if((k * step + start) % blocks < extra, least(hi, (k + 1) * {block}) - greatest(lo, k * {block}), cast(0 as bigint)))"

@@ -1,93 +1,5 @@
-"""Intermediate tables in the folder that all executors share.
+"""Intermediate tables and lookups, shared with the rest of the library."""
 
-``written`` cuts lineage with a Parquet table below ``spark.checkpoint.dir``, so
-lost executors cost no recomputation beyond their running tasks.  All tables of an
-application lie in one folder, which goes when the driver's process ends; ``drop``
-removes those that no later plan reads before.  Only on one machine (tests) is a
-local folder made where the session names none.
-"""
+from pulsegrid.shared import LOOKUP_ROWS, clear, drop, free, lookup, numbered, scratch_path, shared_dir, unused, written
 
-from __future__ import annotations
-
-import atexit
-import gc
-import itertools
-import tempfile
-import uuid
-from collections.abc import Iterable
-
-from pyspark.sql import DataFrame, SparkSession
-
-_BASE: dict[str, str] = {}
-_FOLDERS: dict[str, tuple[object, object]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own where that is unset and driver and executors are one machine, else an error."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _BASE:
-        _BASE[app] = tempfile.mkdtemp(prefix="pulsegrid-")
-        atexit.register(__import__("shutil").rmtree, _BASE[app], True)
-    return f"file://{_BASE[app]}"
-
-
-def _delete(jvm, conf, path: str) -> None:
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-
-
-def _folder(spark: SparkSession) -> str:
-    """This application's folder, which goes at the end."""
-    path = f"{shared_dir(spark)}/pulsegrid-{spark.sparkContext.applicationId}"
-    if path not in _FOLDERS:
-        _FOLDERS[path] = (spark._jvm, spark._jsc.hadoopConfiguration())
-    return path
-
-
-@atexit.register
-def clear() -> None:
-    """Removes all tables of all applications of this process; also runs when it ends."""
-    for path, (jvm, conf) in list(_FOLDERS.items()):
-        try:
-            _delete(jvm, conf, path)
-        except Exception:  # the JVM may have gone before: then nothing can be removed any more
-            pass
-        del _FOLDERS[path]
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read from there. ``drop`` removes it."""
-    spark = df.sparkSession
-    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._pulsegrid_path = path  # type: ignore[attr-defined]
-    return out
-
-
-def free(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def drop(*tables: DataFrame | None) -> None:
-    """Removes tables made by ``written`` that no later plan reads, and the shuffle files of plans that are done; others are left alone."""
-    known = [df for df in tables if df is not None]
-    if known:
-        free(known[0].sparkSession)
-    for df in known:
-        path = getattr(df, "_pulsegrid_path", None)
-        if path:
-            _delete(df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration(), path)
-
-
-def unused(name: str, taken: Iterable[str]) -> str:
-    """A column name that is not among ``taken``, whatever its case."""
-    have = {c.lower() for c in taken}
-    return next(c for c in itertools.chain([name], (f"{name}{i}" for i in itertools.count())) if c.lower() not in have)
+__all__ = ["LOOKUP_ROWS", "clear", "drop", "free", "lookup", "numbered", "scratch_path", "shared_dir", "unused", "written"]

@@ -4,6 +4,7 @@ import re
 from fractions import Fraction
 
 import duckdb
+from pulsegrid import shared
 from pulsegrid.llm import mixing as M
 from pyspark.sql import functions as F
 
@@ -104,7 +105,7 @@ def test_large_party_against_thousands_of_small_ones(spark):
 
 def test_groups_ties_and_narrowing(spark, monkeypatch):
     monkeypatch.setattr(M, "FEW", 20)
-    monkeypatch.setattr(M, "LOOKUP_ROWS", 0)
+    monkeypatch.setattr(shared, "LOOKUP_ROWS", 0)
     r = random.Random(9)
     rows = []
     for g, n in (("a", 500), ("b", 3), (None, 200), ("zero", 4)):
@@ -120,7 +121,7 @@ def test_groups_ties_and_narrowing(spark, monkeypatch):
 
 def test_numbers_follow_the_order(spark):
     rows = [(s,) for s in ["b", None, "a", "é", "Z", ""]] + [(f"s{i}",) for i in range(500)]
-    got = M.numbered(spark.createDataFrame(rows, "s string"), F.col("s").asc_nulls_last(), "place").collect()
+    got = M.numbered(spark.createDataFrame(rows, "s string"), "place", F.col("s").asc_nulls_last()).collect()
     order = sorted((s for (s,) in rows), key=lambda s: (s is None, (s or "").encode()))
     assert {x.s: x.place for x in got} == {s: i for i, s in enumerate(order)}
 

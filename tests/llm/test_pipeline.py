@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pulsegrid.llm import byte_cnn, decontam, rule_ledger
 from pulsegrid.llm.textkernel import bytes_of
+from pyspark.sql import functions as F
 from test_signature_tree import brute
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +52,15 @@ def test_run_and_edge_rows(spark):
     for df in (odd, odd.limit(0)):
         for _, stage in P.STAGES:
             assert stage(spark, df, SF).count() <= 4
+
+
+def test_stages_keep_columns_that_clash(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    clash = ["score", "n_words", "failed_bits", "whole", "column0", "tk", "first", "least", "key", "_text", "hash", "nid"]
+    rich = docs.select("*", *[F.lit(777 + i).alias(c) for i, c in enumerate(clash)], F.create_map(F.lit("k"), F.col("doc_id")).alias("m"))
+    for name, stage in P.STAGES[:4]:
+        got = stage(spark, rich, SF)
+        assert got.columns == rich.columns, name
+        for x in got.collect():
+            assert [x[c] for c in clash] == [777 + i for i in range(len(clash))] and x.m == {"k": x.doc_id}
+        assert {x.doc_id for x in got.collect()} == {x.doc_id for x in stage(spark, docs, SF).collect()}, name
