@@ -38,11 +38,11 @@ def revcomp(motif: str) -> str:
 
 
 def sliding(seq: Column, k: int = K) -> Column:
-    """Array of the k-mer numbers of every window; letters other than ACGT count as A."""
-    clean = F.translate(F.regexp_replace(seq, "[^ACGT]", "A"), "ACGT", "0123")
+    """Array of the k-mer numbers of every window; letters other than ACGT count as A. For short texts: ``operators.train.kmers`` counts those of whole reads."""
+    clean = F.array(F.translate(F.regexp_replace(seq, "[^ACGT]", "A"), "ACGT", "0123"))  # bound once, not per window
     n = F.length(seq)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.conv(F.substring(clean, i, F.lit(k)), 4, 10).cast("int"))
-    return F.when(n >= k, windows).otherwise(F.array().cast("array<int>"))
+    windows = F.transform(clean, lambda c: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.conv(F.substring(c, i, F.lit(k)), 4, 10).cast("int")))
+    return F.when(n >= k, windows[0]).otherwise(F.array().cast("array<int>"))
 
 
 def register(spark: SparkSession) -> None:

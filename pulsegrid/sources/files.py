@@ -31,7 +31,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 BATCH = 2000
 SPLIT = 64 << 20  # bytes of a file in one partition
 NIBBLES = "=ACMGRSVTWYHKDBN"
-_CODE = {c: i for i, c in enumerate(NIBBLES)}
+_LETTER = np.frombuffer(NIBBLES.encode(), np.uint8)
+_NIBBLE = np.full(256, 15, np.uint8)
+for _i, _c in enumerate(NIBBLES):
+    _NIBBLE[ord(_c)] = _NIBBLE[ord(_c.lower())] = _i
 #: The end-of-file block of a BGZF file.
 EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
@@ -342,11 +345,11 @@ def _fields(rec: bytes) -> tuple:
     i = 32 + l_name
     name = rec[32 : i - 1].decode()
     i += 4 * n_cigar
-    packed = rec[i : i + (l_seq + 1) // 2]
-    seq = "".join(NIBBLES[b >> 4] + NIBBLES[b & 15] for b in packed)[:l_seq]
+    packed = np.frombuffer(rec, np.uint8, (l_seq + 1) // 2, i)
+    seq = _LETTER[np.stack((packed >> 4, packed & 15), 1).ravel()[:l_seq]].tobytes().decode()
     i += (l_seq + 1) // 2
     q = rec[i : i + l_seq]
-    qual = None if not l_seq or q[0] == 255 else "".join(chr(x + 33) for x in q)
+    qual = None if not l_seq or q[0] == 255 else (np.frombuffer(q, np.uint8) + np.uint8(33)).tobytes().decode("latin-1")
     t = _tags(rec[i + l_seq :])
     arr = lambda k: t[k] if isinstance(t.get(k), list) else None
     return name, flag, seq or None, qual, arr("fi"), arr("fp"), arr("ri"), arr("rp"), t.get("RG")
@@ -357,12 +360,12 @@ def record(name: str, seq: str | None, qual: str | None, fi, fp, rg: str | None,
     seq, tags = seq or "", b""
     for tag, v in (("fi", fi), ("fp", fp)):
         if v is not None:
-            tags += tag.encode() + b"BC" + struct.pack("<I", len(v)) + bytes(int(x) for x in v)
+            tags += tag.encode() + b"BC" + struct.pack("<I", len(v)) + bytes(v)
     if rg:
         tags += b"RGZ" + rg.encode() + b"\0"
-    codes = [_CODE.get(c, 15) for c in seq.upper()] + [0] * (len(seq) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
-    quals = bytes(ord(c) - 33 for c in qual) if qual and len(qual) == len(seq) else b"\xff" * len(seq)
+    codes = _NIBBLE[np.frombuffer(seq.encode("ascii", "replace") + b"=" * (len(seq) % 2), np.uint8)]
+    packed = (codes[::2] << 4 | codes[1::2]).tobytes()
+    quals = (np.frombuffer(qual.encode("latin-1"), np.uint8) - np.uint8(33)).tobytes() if qual and len(qual) == len(seq) else b"\xff" * len(seq)
     body = struct.pack("<iiBBHHHiiii", -1, -1, len(name) + 1, 255, 4680, 0, flag, len(seq), -1, -1, 0) + name.encode() + b"\0" + packed + quals + tags
     return struct.pack("<i", len(body)) + body
 
