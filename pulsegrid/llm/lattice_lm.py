@@ -51,6 +51,8 @@ PRIOR = 1000.0  # weight of the vocabulary's own scores, in pieces
 LONG = 48  # bytes from which a word is solved on its own
 STRETCH = 4096  # bytes of a long word whose arcs are held at once
 MARK = "▁".encode()
+_STEP = U64(0x9E3779B97F4A7C15)  # of the pieces' hashes
+_LEAST = 1e-280  # scaled sums beyond this and its inverse are solved in the log domain
 
 
 def default_vocabulary() -> str:
@@ -78,76 +80,108 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray, stop: float = math.log(0.4)):
         self.pieces, self.logp, self.stop = pieces, logp, stop
-        self.index = {p: k for k, p in enumerate(pieces)}
-        self.by_len: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in sorted({len(p) for p in pieces}):
-            own = [(self._hash(np.frombuffer(p, np.uint8)[None, :])[0], k) for k, p in enumerate(pieces) if len(p) == n]
-            h, k = np.array([x[0] for x in own], U64), np.array([x[1] for x in own])
-            order = np.argsort(h)
-            self.by_len[n] = (h[order], k[order])
-        self.longest = max(self.by_len)
-
-    @staticmethod
-    def _hash(rows: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(rows), U64)
-        for j in range(rows.shape[1]):
-            h = (h + rows[:, j].astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)
-        return h
+        size = np.array([len(p) for p in pieces])
+        self.sizes, self.longest = set(size.tolist()), int(size.max())
+        self.lengths = np.concatenate((size, np.ones(256, np.int64)))
+        keys = np.zeros(len(pieces), U64)
+        for n in self.sizes:
+            own = np.flatnonzero(size == n)
+            rows = np.frombuffer(b"".join(pieces[k] for k in own), np.uint8).reshape(-1, n)
+            for j in range(n):
+                keys[own] = (keys[own] + rows[:, j].astype(U64) + U64(1)) * _STEP
+        # a hash table by the keys' leading bits; what meets a taken slot goes to the next one
+        bits = max(4, (4 * len(pieces)).bit_length())
+        self.shift, self.mask = U64(64 - bits), (1 << bits) - 1
+        self.key, self.id = np.zeros(1 << bits, U64), np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(len(pieces)), (keys >> self.shift).astype(np.int64)
+        while len(left):
+            at, first = np.unique(slot[left], return_index=True)
+            free = self.id[at] < 0
+            put = left[first[free]]
+            self.key[at[free]], self.id[at[free]] = keys[put], put
+            left = np.setdiff1d(left, put)
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces, and those pieces."""
+        slot = (h >> self.shift).astype(np.int64)
+        hit = self.key[slot] == h
+        found = np.where(hit, self.id[slot], -1)
+        more = np.flatnonzero(~hit & (self.id[slot] >= 0))
+        while len(more):
+            slot[more] = (slot[more] + 1) & self.mask
+            here = self.key[slot[more]] == h[more]
+            found[more[here]] = self.id[slot[more[here]]]
+            more = more[~here & (self.id[slot[more]] >= 0)]
+        at = np.flatnonzero(found >= 0)
+        return at, found[at]
 
     def _arcs(self, rows: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, end, rows' numbers, pieces) of every match, for words of one length."""
-        n = rows.shape[1]
+        """(start, end, rows' numbers, pieces) of every match, for words of one length, ordered by start."""
+        m, n = rows.shape
+        cols, every = [rows[:, j].astype(U64) + U64(1) for j in range(n)], np.arange(m)
         out = []
         for s in range(n):
-            h = np.zeros(len(rows), U64)
+            h = np.zeros(m, U64)
             for e in range(s + 1, min(n, s + self.longest) + 1):
-                h = (h + rows[:, e - 1].astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)
-                if e - s in self.by_len:
-                    keys, ids = self.by_len[e - s]
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    hit = np.flatnonzero(keys[at] == h)
+                h = (h + cols[e - 1]) * _STEP
+                if e - s in self.sizes:
+                    hit, ids = self._find(h)
                     if len(hit):
-                        out.append((s, e, hit, ids[at[hit]]))
-            out.append((s, s + 1, np.arange(len(rows)), len(self.pieces) + rows[:, s].astype(np.int64)))
+                        out.append((s, e, hit, ids))
+            out.append((s, s + 1, every, len(self.pieces) + rows[:, s].astype(np.int64)))
         return out
 
-    @staticmethod
-    def _expect(arcs, n: int, m: int, logp: np.ndarray, go: float, counts: np.ndarray) -> None:
-        """Adds the expected piece counts of m words of n bytes."""
-        alpha, beta = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
-        alpha[0], beta[n] = 0, 0
-        lps = [logp[k] + go for _, _, _, k in arcs]
-        for (s, e, r, _), lp in zip(arcs, lps, strict=True):  # ordered by start: alpha[s] is final when its arcs come
-            alpha[e, r] = np.logaddexp(alpha[e, r], alpha[s, r] + lp)
-        for (s, e, r, _), lp in zip(reversed(arcs), reversed(lps), strict=True):
-            beta[s, r] = np.logaddexp(beta[s, r], beta[e, r] + lp)
-        w = [np.exp(alpha[s, r] + lp + beta[e, r] - alpha[n, r]) for (s, e, r, _), lp in zip(arcs, lps, strict=True)]
-        counts += np.bincount(np.concatenate([k for _, _, _, k in arcs]), weights=np.concatenate(w), minlength=len(counts))
+    def _scaled(self, logp: np.ndarray, go: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights (a row per weighting) times a constant for each byte, which keeps products of up to LONG bytes within range, and the constants' logs."""
+        each = -logp.min(1) / 2
+        return np.exp(logp + go[:, None] + each[:, None] * self.lengths), each
 
     @staticmethod
-    def _marginals(arcs, n: int, m: int, logp: np.ndarray, go: np.ndarray) -> np.ndarray:
-        """Log sums over all segmentations, a row per weighting (``logp``: weightings by pieces)."""
-        alpha = np.full((n + 1, len(logp), m), -np.inf)
-        alpha[0] = 0
-        for s, e, r, k in arcs:
-            alpha[e][:, r] = np.logaddexp(alpha[e][:, r], alpha[s][:, r] + (logp[:, k] + go[:, None]))
+    def _marginals(arcs, n: int, m: int, weights: np.ndarray) -> np.ndarray:
+        """Scaled sums over all segmentations, a row per weighting."""
+        alpha = np.zeros((n + 1, len(weights), m))
+        alpha[0] = 1
+        for s, e, r, k in arcs:  # alpha[s] is final when its arcs come
+            if len(r) == m:
+                alpha[e] += alpha[s] * weights[:, k]
+            else:
+                alpha[e][:, r] += alpha[s][:, r] * weights[:, k]
         return alpha[n]
 
+    @staticmethod
+    def _expect(arcs, n: int, kind: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Adds the expected pieces of words of n bytes, each under the weighting of its ``kind``; returns marks of the words that left the range, which it left out."""
+        m = len(kind)
+        alpha, beta = np.zeros((n + 1, m)), np.zeros((n + 1, m))
+        alpha[0] = beta[n] = 1
+        lps = [weights[kind[r], k] for _, _, r, k in arcs]
+        for (s, e, r, _), lp in zip(arcs, lps, strict=True):
+            alpha[e, r] += alpha[s, r] * lp
+        for (s, e, r, _), lp in zip(reversed(arcs), reversed(lps), strict=True):
+            beta[s, r] += beta[e, r] * lp
+        bad = ~((alpha[n] > _LEAST) & (alpha[n] < 1 / _LEAST))
+        total = np.where(bad, np.inf, alpha[n])
+        w = np.concatenate([alpha[s, r] / total[r] * lp * beta[e, r] for (s, e, r, _), lp in zip(arcs, lps, strict=True)])
+        at = np.concatenate([kind[r] * counts.shape[1] + k for _, _, r, k in arcs])
+        if bad.any():
+            w[~np.isfinite(w)] = 0
+        counts += np.bincount(at, weights=w, minlength=counts.size).reshape(counts.shape)
+        return bad
+
     def _ends(self, word: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, pieces, first): the arcs that end at each place of lo + 1..hi of a word, ordered by end; ``first`` counts them."""
         base = max(0, lo - self.longest)
         part, starts, ids, ends = word[base:hi], [], [], []
         h = np.zeros(len(part), U64)
         for n in range(1, min(self.longest, len(part)) + 1):  # h: hashes of the n bytes from each place on
-            h = (h[: len(part) - n + 1] + part[n - 1 :].astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)
-            if n in self.by_len:
-                keys, own = self.by_len[n]
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = np.flatnonzero(keys[at] == h)
-                hit = hit[base + hit + n > lo]
-                starts.append(base + hit)
-                ends.append(base + hit + n)
-                ids.append(own[at[hit]])
+            h = (h[: len(part) - n + 1] + part[n - 1 :].astype(U64) + U64(1)) * _STEP
+            if n in self.sizes:
+                hit, own = self._find(h)
+                new = base + hit + n > lo
+                starts.append(base + hit[new])
+                ends.append(base + hit[new] + n)
+                ids.append(own[new].astype(np.int64))
         single = np.arange(lo, hi)
         starts, ends, ids = (np.concatenate(x) for x in ([*starts, single], [*ends, single + 1], [*ids, len(self.pieces) + word[lo:hi].astype(np.int64)]))
         order = np.argsort(ends, kind="stable")
@@ -191,53 +225,60 @@ class Lattice:
                     counts[k] += np.bincount(ids, weights=weight[:, k], minlength=counts.shape[1])
         return held[-1]
 
-    def _groups(self, words: list[bytes]):
-        """Words of one length at a time, as (their numbers, bytes with the mark, arcs); long ones singly, without arcs."""
+    @staticmethod
+    def _groups(words: list[bytes]):
+        """Words of one length at a time, as (their numbers, bytes with the mark); long ones singly, as (number, bytes)."""
         groups: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             groups.setdefault(len(w), []).append(i)
         for n, ids in groups.items():
             if n >= LONG:
-                yield from ((np.array([i]), MARK + words[i], None) for i in ids)
+                yield from ((i, MARK + words[i]) for i in ids)
                 continue
             for lo in range(0, len(ids), 8192):
                 some = ids[lo : lo + 8192]
-                rows = np.frombuffer(b"".join(MARK + words[i] for i in some), np.uint8).reshape(len(some), n + len(MARK))
-                yield np.array(some), rows, self._arcs(rows)
+                yield np.array(some), np.frombuffer(b"".join(MARK + words[i] for i in some), np.uint8).reshape(len(some), n + len(MARK))
 
     def log_marginals(self, words: list[bytes], weights: list[tuple[np.ndarray, float]] | None = None) -> np.ndarray:
         """Natural log of each word's marginal probability, a row per weighting (log weights, stop); the lattice is matched once for all."""
         weights = weights or [(self.logp, self.stop)]
         logp, stop = np.stack([w for w, _ in weights]), np.array([s for _, s in weights])
         go = np.log1p(-np.exp(stop))
+        scaled, each = self._scaled(logp, go)
         out = np.empty((len(weights), len(words)))
-        for ids, rows, arcs in self._groups(words):
-            if arcs is None:
-                out[:, ids[0]] = self._long(rows, logp, go) + stop - go
-            else:
-                out[:, ids] = self._marginals(arcs, rows.shape[1], len(ids), logp, go) + (stop - go)[:, None]
+        for ids, rows in self._groups(words):
+            if isinstance(rows, bytes):
+                out[:, ids] = self._long(rows, logp, go) + stop - go
+                continue
+            n = rows.shape[1]
+            got = self._marginals(self._arcs(rows), n, len(ids), scaled)
+            good = ((got > _LEAST) & (got < 1 / _LEAST)).all(0)
+            out[:, ids[good]] = np.log(got[:, good]) - (each * n)[:, None] + (stop - go)[:, None]
+            for i in ids[~good]:  # out of range: in the log domain
+                out[:, i] = self._long(MARK + words[i], logp, go) + stop - go
         return out
 
     def expected(self, words: list[bytes], weights: list[tuple[np.ndarray, float]], use: np.ndarray, counts: np.ndarray) -> None:
         """Adds to each weighting's row of ``counts`` the expected pieces of the words that its row of ``use`` marks."""
-        for ids, rows, arcs in self._groups(words):
-            if arcs is None:
-                mine = np.flatnonzero(use[:, ids[0]])
-                if len(mine):
-                    own = np.zeros((len(mine), counts.shape[1]))
-                    self._long(rows, np.stack([weights[j][0] for j in mine]), np.log1p(-np.exp([weights[j][1] for j in mine])), own)
-                    counts[mine] += own
+        logp, go = np.stack([w for w, _ in weights]), np.log1p(-np.exp([s for _, s in weights]))
+        scaled, _ = self._scaled(logp, go)
+
+        def slowly(word, kinds):
+            own = np.zeros((len(kinds), counts.shape[1]))
+            self._long(word, logp[kinds], go[kinds], own)
+            np.add.at(counts, kinds, own)
+
+        for ids, rows in self._groups(words):
+            if isinstance(rows, bytes):
+                kinds = np.flatnonzero(use[:, ids])
+                if len(kinds):
+                    slowly(rows, kinds)
                 continue
-            for j, (logp, stop) in enumerate(weights):
-                mine = use[j, ids]
-                if not mine.any():
-                    continue
-                place = np.cumsum(mine) - 1
-                own = []
-                for s, e, r, k in arcs:
-                    keep = mine[r]
-                    own.append((s, e, place[r[keep]], k[keep]))
-                self._expect(own, rows.shape[1], int(mine.sum()), logp, math.log1p(-math.exp(stop)), counts[j])
+            at, kind = np.nonzero(use[:, ids].T)  # a row per word and weighting that wants it
+            for lo in range(0, len(at), 8192):
+                own, mine = rows[at[lo : lo + 8192]], kind[lo : lo + 8192]
+                for i in np.flatnonzero(self._expect(self._arcs(own), rows.shape[1], mine, scaled, counts)):
+                    slowly(own[i].tobytes(), mine[i : i + 1])
 
 
 def gathered(batches, rows: int = 100_000):
@@ -302,7 +343,7 @@ def class_of(h: np.ndarray, words: Words, logw: np.ndarray) -> np.ndarray:
     """The likeliest class of each row by the log weights of its words' buckets (a row per bucket); the first one of rows without words."""
     if logw.shape[1] < 2:
         return np.zeros(len(words.n), np.int64)
-    sums = np.zeros((len(words.n) + 1, logw.shape[1]))
+    sums = np.zeros((len(words.n) + 1, logw.shape[1]), np.float32)
     filled = np.flatnonzero(words.n)
     if len(filled):
         sums[filled] = np.add.reduceat(logw[buckets(h)], words.first[filled], axis=0)
@@ -313,7 +354,7 @@ def log_weights(counts: np.ndarray) -> np.ndarray:
     """Smoothed log weights, a row per bucket, from counts of classes (rows) and buckets."""
     share = (counts.sum(0) + 0.5) / (counts.sum() + 0.5 * counts.shape[1])
     w = counts + 0.1 * counts.shape[1] * share
-    return np.log(w / w.sum(1, keepdims=True)).T.copy()
+    return np.log(w / w.sum(1, keepdims=True)).T.astype(np.float32)
 
 
 def class_model(train: DataFrame, classes: int, rounds: int = CLASS_ROUNDS) -> np.ndarray:

@@ -146,3 +146,18 @@ def test_adapted_weights_suit_held_out_texts_better(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     total = [sum(x.score for x in M.lattice_scores(df, rounds=r).collect() if x.held_out) for r in (0, 2)]
     assert total[1] > 0.9 * total[0] and total[1] > total[0]
+
+
+def test_sums_out_of_range_are_solved_in_logs(monkeypatch):
+    lat = toy()
+    words = [b"abab", b"xxxxxxx", b"aba"]
+    weights, use = [(lat.logp, lat.stop), (np.roll(lat.logp, 5), lat.stop)], np.ones((2, 3), bool)
+    want, counts = lat.log_marginals(words, weights), np.zeros((2, len(lat.logp)))
+    lat.expected(words, weights, use, counts)
+    monkeypatch.setattr(M, "_LEAST", 2.0)  # nothing is in range
+    again = np.zeros_like(counts)
+    lat.expected(words, weights, use, again)
+    assert lat.log_marginals(words, weights) == pytest.approx(want) and again == pytest.approx(counts, abs=1e-12)
+    steep = np.full(len(lat.logp), -60.0)  # far below what the scale can hold
+    steep[0] = -1e-9
+    assert M.Lattice(PIECES, steep).log_marginals([b"q" * 40])[0, 0] == pytest.approx(-60 * 40 + 41 * math.log(0.6) + math.log(0.4 / 0.6) - 1e-9, rel=1e-6)
