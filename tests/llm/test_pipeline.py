@@ -25,7 +25,7 @@ def test_stages(spark):
     kept = P.rules_stage(spark, docs, SF)
     got = rule_ledger.measure(*bytes_of(pa.array([r.text for r in rows], pa.string())))
     m = {k: v.tolist() for k, v in got.items()}
-    fails = lambda i: any(eval(rule, {}, {k: v[i] for k, v in m.items()}) for _, rule in rule_ledger.RULES)  # noqa: E731, S307
+    fails = lambda i: any(eval(rule, {}, {k: v[i] for k, v in m.items()}) for name, rule in rule_ledger.RULES if rule_ledger.POLICIES["web-2"] & rule_ledger.BIT[name])  # noqa: E731, S307
     assert kept.columns == cols and {r.doc_id for r in kept.collect()} == {r.doc_id for i, r in enumerate(rows) if not fails(i)}
 
     kept = P.near_duplicate_stage(spark, docs, SF)
