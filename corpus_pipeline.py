@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the production policy."""
     plain, names, text = _by_place(docs)
-    return rule_ledger.ledger(plain, text=text).where(rule_ledger.passes("web-1")).select(*names).toDF(*docs.columns)
+    return rule_ledger.ledger(plain, text=text).where(rule_ledger.passes("web-2")).select(*names).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
