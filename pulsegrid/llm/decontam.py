@@ -114,7 +114,7 @@ def canonical(buf: np.ndarray, off: np.ndarray) -> Templates:
 
 
 def template_windows(t: Templates, size: int, item: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(keys, first tokens, kinds) of all windows of ``size`` tokens within one row, for each reading.
+    """(keys, first tokens, kinds of all tokens) of all windows of ``size`` tokens within one row, for each reading.
 
     Both template readings share their keys, so that a window meets another under either
     reading of both; a window that is the same in both comes once.  Windows with their
@@ -124,19 +124,22 @@ def template_windows(t: Templates, size: int, item: bool) -> Iterator[tuple[np.n
     at = np.arange(int(n.sum())) + np.repeat(t.first[:-1] - (np.cumsum(n) - n), n)
     if not len(at):
         return
-    span = at[:, None] + np.arange(size)
-    seen: list[np.ndarray] = []
+    seen = None
     for reading, (tokens, kind) in enumerate(((t.token, t.kind), (t.tokens, t.kinds), (t.value, t.kind))):
         exact = reading == 2
-        keys = mix(window_hashes(tokens, size)[at] + U64(2 * size + exact))
-        own = kind[span]
-        use = np.ones(len(at), bool)
+        if size < SHORTEST and not exact:
+            continue
+        keys, own = window_hashes(tokens, size)[at], at
         if reading == 1:
-            use = keys != seen[0]
+            new = np.flatnonzero(keys != seen)
+            keys, own = keys[new], at[new]
+        elif reading == 0:
+            seen = keys
         if item and not exact:
-            use &= ((own == 0).sum(1) >= min(LITERALS, size)) & (size >= SHORTEST)
-        seen.append(keys)
-        yield keys[use], at[use], own[use]
+            words = np.concatenate(([0], np.cumsum(kind == 0)))
+            use = words[own + size] - words[own] >= min(LITERALS, size)
+            keys, own = keys[use], own[use]
+        yield mix(keys + U64(2 * size + exact)), own, kind
 
 
 @dataclass
@@ -209,7 +212,7 @@ def _windows(items: DataFrame) -> DataFrame:
                 fits = lengths == size if size < WINDOW else lengths >= WINDOW
                 for keys, at, kinds in template_windows(t, size, True):
                     keep = fits[np.searchsorted(t.first, at, "right") - 1]
-                    parts.append((keys[keep], at[keep], kinds[keep]))
+                    parts.append((keys[keep], at[keep], kinds[at[keep][:, None] + np.arange(size)]))
                     sizes.append(size)
             row, q, values = _rows(parts, t, sizes)
             yield pa.RecordBatch.from_arrays(
@@ -226,9 +229,9 @@ def _windows(items: DataFrame) -> DataFrame:
 _CHUNK = 1 << 13  # bytes of the filter in a row
 
 
-def _probes(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Four places of each key in a filter of 2 ** bits bits."""
-    return [(keys >> U64(s)) & U64((1 << bits) - 1) for s in (0, 11, 23, 64 - bits)]
+def _shifts(bits: int) -> list[U64]:
+    """Where in a key the four places start that it has in a filter of 2 ** bits bits."""
+    return [U64(s) for s in (0, 11, 23, 64 - bits)]
 
 
 def _filter(windows: DataFrame, rows: int) -> tuple[int, np.ndarray]:
@@ -238,7 +241,8 @@ def _filter(windows: DataFrame, rows: int) -> tuple[int, np.ndarray]:
     def fill(batches):
         out = np.zeros(1 << (bits - 3), np.uint8)
         for b in batches:
-            for at in _probes(b.column("key").to_numpy().view(U64), bits):
+            for shift in _shifts(bits):
+                at = (b.column("key").to_numpy().view(U64) >> shift) & U64((1 << bits) - 1)
                 np.bitwise_or.at(out, (at >> U64(3)).astype(np.int64), np.left_shift(1, (at & U64(7)).astype(np.uint8)).astype(np.uint8))
         chunks = [k for k in range(0, len(out), _CHUNK) if out[k : k + _CHUNK].any()]
         yield pa.RecordBatch.from_arrays([pa.array([k // _CHUNK for k in chunks], pa.int64()), pa.array([out[k : k + _CHUNK].tobytes() for k in chunks], pa.binary())], names=["chunk", "bits"])
@@ -267,12 +271,12 @@ def _text_windows(texts: DataFrame, known: tuple[int, np.ndarray], sizes: list[i
             t = canonical(buf, off)
             parts, of = [], []
             for size in sizes:
-                for keys, at, kinds in template_windows(t, size, False):
+                for keys, at, _ in template_windows(t, size, False):
                     hit = np.arange(len(keys))
-                    for k in range(4):
-                        place = _probes(keys[hit], bits)[k]
+                    for shift in _shifts(bits):
+                        place = (keys[hit] >> shift) & U64((1 << bits) - 1)
                         hit = hit[(bitmap[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8)) & 1 == 1]
-                    parts.append((keys[hit], at[hit], kinds[hit]))
+                    parts.append((keys[hit], at[hit], None))
                     of.append(size)
             row, p, values = _rows(parts, t, of)
             yield pa.RecordBatch.from_arrays(
@@ -358,7 +362,7 @@ class Index:
         for size in range(1, WINDOW + 1):
             for keys, at, kinds in template_windows(self.t, size, True):
                 row = np.searchsorted(self.t.first, at, "right") - 1
-                for key, a, k, kind in zip(keys.tolist(), at.tolist(), row.tolist(), kinds, strict=True):
+                for key, a, k, kind in zip(keys.tolist(), at.tolist(), row.tolist(), kinds[at[:, None] + np.arange(size)], strict=True):
                     if lengths[k] == size or size == WINDOW:
                         self.sizes.add(size)
                         self.windows[key].append((k, a, kind.astype(np.uint8).tobytes()))
