@@ -23,6 +23,7 @@ from .scratch import drop, lookup, numbered, written
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3  # times that a source, shard or document may be taken
 SHARD_DOCS = 2000
+COPIES = 10_000  # equal rows made at once
 # Multipliers of the permutation; the first that does not divide the number of blocks serves.
 PRIMES = (1_000_003, 1_000_033, 1_000_037)
 WAYS = 32  # parts into which a step of the narrowing cuts an interval
@@ -132,8 +133,12 @@ def mix(docs: DataFrame, targets=cyclic_targets, block: int = 16, seed: int = 42
     empty texts have size 0 and give nothing; a null source is a source.  Repeated rows
     count each.  The same rows and seed give the same result, however they are dealt.
     """
-    sizes = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")), "sizes")
-    by_source = targets(sizes)
+    each = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
+    # rows that are the same here are counted and numbered, so that however many there are, they lie in many shards
+    same = each.groupBy("doc_id", "source", "size").agg((F.count("*") - 1).alias("last"))
+    some = same.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(COPIES).cast("long"))))
+    sizes = written(some.select("doc_id", "source", "size", F.explode(F.sequence("lo", F.least("last", F.col("lo") + COPIES - 1))).alias("copy")), "sizes")
+    by_source = targets(sizes.select("source", "size"))
 
     total = by_source.agg(F.sum("target")).first()[0] or 0.0
     # no source may get more than CAP times its blocks, and shards round up, so this bound holds below
@@ -145,7 +150,7 @@ def mix(docs: DataFrame, targets=cyclic_targets, block: int = 16, seed: int = 42
     few = lookup(known)
 
     placed = sizes.join(few.withColumnRenamed("source", "k_source"), F.col("source").eqNullSafe(F.col("k_source"))).drop("k_source")
-    placed = placed.withColumn("key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("key")), F.col("shards")))
+    placed = placed.withColumn("key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"), F.col("copy"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("key")), F.col("shards")))
     per = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"))
     per = per.withColumn("blocks", F.ceil(F.col("words") / block).cast("long")).withColumn("most", CAP * F.col("blocks"))
     per = written(sainte_lague(per, ["source"], "words", "source_quota", "most"), "shards")
@@ -156,7 +161,7 @@ def mix(docs: DataFrame, targets=cyclic_targets, block: int = 16, seed: int = 42
         F.when(n > 0, F.col("quota") % n).otherwise(0).alias("extra"), step.alias("step"), F.when(n > 0, F.pmod(F.xxhash64(F.lit(seed + 2), F.col("source"), F.col("shard")), n)).otherwise(0).alias("start"),
     )
 
-    stream = Window.partitionBy("source", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stream = Window.partitionBy("source", "shard").orderBy("key", "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("hi", F.sum("size").over(stream)).withColumn("lo", F.col("hi") - F.col("size"))
     joined = placed.join(lookup(per), F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")))
     first, last = F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block)

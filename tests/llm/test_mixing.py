@@ -138,6 +138,16 @@ def test_sizes_and_targets_equal_sql(spark):
     assert len(got) == len(want) and all((got[d].size, got[d].source_size) == (n, m) and abs(got[d].target - t) < 1e-6 for d, n, m, t in want)
 
 
+def test_equal_rows_lie_in_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_DOCS", 50)
+    monkeypatch.setattr(M, "COPIES", 7)
+    rows = [(None, "w " * 20, "a")] * 600 + [(i, "w " * 20, "b") for i in range(300)]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 900 and len({r.taken for r in got if r.source == "a"}) > 2
+    for s in "ab":
+        assert abs(sum(r.taken for r in got if r.source == s) - next(r.target for r in got if r.source == s)) <= 32 * 13
+
+
 def test_empty(spark):
     assert M.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     none = M.mix(spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")).collect()
