@@ -24,14 +24,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def normals(keys: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """n normal numbers for each key that depend on key and seed alone."""
-    base = mix(keys.astype(U64) ^ mix(np.array([seed], U64)))[:, None] + np.arange(n, dtype=U64)[None, :] * U64(2)
-    u = ((mix(base) >> U64(11)).astype(float) + 0.5) / 2**53
-    v = ((mix(base + U64(1)) >> U64(11)).astype(float) + 0.5) / 2**53
-    return np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
-
-
 def noises(keys: np.ndarray, n: int, seed: int) -> np.ndarray:
     """n normal numbers (single precision) for each key that depend on key and seed alone; a pair of uniform ones gives two."""
     base = mix(keys.astype(U64) ^ mix(np.array([seed], U64)))[:, None] + np.arange((n + 1) // 2, dtype=U64)[None, :]
@@ -47,7 +39,7 @@ class Embedding:
     def __init__(self, dim: int, seed: int, ids: np.ndarray | None = None):
         self.dim, self.seed = dim, seed
         self.ids = np.zeros(0, np.int64) if ids is None else np.unique(ids).astype(np.int64)
-        self.rows = 0.02 * normals(self.ids, dim, seed)
+        self.rows = 0.02 * noises(self.ids, dim, seed).astype(float)
 
     def index(self, kmers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.ids):
@@ -62,7 +54,7 @@ class Embedding:
             out[known] = self.rows[at[known]]
         if (~known).any():
             own, inverse = np.unique(kmers[~known], return_inverse=True)
-            out[~known] = (0.02 * normals(own, self.dim, self.seed))[inverse]
+            out[~known] = (0.02 * noises(own, self.dim, self.seed))[inverse]
         return out
 
 
