@@ -387,3 +387,57 @@ def test_tiles_give_the_bases_that_contexts_give(spark, monkeypatch, circular):
     if not circular:  # marks under windows with an N, which are defaults anyway
         b = {k: (x[0], x[1] if not x[2] else 0, x[2]) for k, x in b.items()}
     assert a == b and len(new) == len(a) > 300
+
+
+def test_commands_over_lists_and_flags_that_act(spark, tmp_path, capsys):
+    from pulsegrid import cli
+
+    files.register(spark)
+    r = random.Random(5)
+    genome = "".join(r.choice("ACGT") for _ in range(300)) + "CACAG" * 4
+    for sp in ("spa", "spb"):
+        sub = tmp_path / "meta" / sp
+        sub.mkdir(parents=True)
+        (sub / f"{sp}.fq").write_text("".join(f"@{sp}_{i}\n{genome[i : i + 60]}\n+\n{'I' * 60}\n" for i in range(0, 260, 20)))
+        (sub / f"{sp}.maf").write_text("".join(f"a\ns c {i} 60 + 320 A\ns {sp}_{i} 0 60 + 60 A\n\n" for i in range(0, 260, 20)))
+        (sub / f"{sp}.fna").write_text(f">c\n{genome}\n")
+        (sub / "m.csv").write_text("motifString,centerPos,modificationType,fraction,nDetected\nCACAG,3,m6A,1,20\n")
+    bam = str(tmp_path / "one.bam")
+    reads = spark.createDataFrame([("x", genome, [50] * len(genome), [20] * len(genome)), ("y", None, None, None)], "read_name string, seq string, fi array<int>, fp array<int>")
+    reads.coalesce(1).write.format("bam").mode("overwrite").option("single", "true").save(bam)
+    t = str(tmp_path / "t.parquet")
+    cli.main(["dictionary", "train", bam, "m6A,CACAG,3", t])
+    both = spark.read.parquet(t).where("meth_id = 1").agg(F.sum("n")).first()[0]
+    cli.main(["dictionary", "train", bam, "m6A,CACAG,3", str(tmp_path / "f.parquet"), "--no-revcomp", "--no-fuzznuc"])
+    assert 0 < spark.read.parquet(str(tmp_path / "f.parquet")).where("meth_id = 1").agg(F.sum("n")).first()[0] <= both
+
+    # the reverse strand's marks, and with them other signals, only without the flag
+    sub = tmp_path / "meta" / "spa"
+    (tmp_path / "jobs").write_text(f"{sub}/spa.fq|{sub}/spa.maf|{sub}/spa.fna|{t}|m6A,CTGTG,1\n\n|x|x|x|x\n")
+    cli.main(["dictionary", "inject-list", str(tmp_path / "jobs"), str(tmp_path / "a")])
+    cli.main(["dictionary", "inject-list", str(tmp_path / "jobs"), str(tmp_path / "b"), "--no-revcomp"])
+    a, b = ({x[0]: x[4] for x in files.bam(str(tmp_path / d / "spa.bam"))} for d in "ab")
+    assert list(a) == [f"spa_{i}" for i in range(0, 260, 20)] and a != b
+    with pytest.raises(SystemExit, match="no motifs"):
+        cli.main(["dictionary", "inject", str(sub), t, str(sub / "m.csv"), str(tmp_path / "c"), "--min-detected", "21"])
+
+    pool = str(tmp_path / "pool.bam")
+    for _ in range(2):
+        cli.main(["dictionary", "metagenome", str(tmp_path / "meta"), t, pool, "--keep-species"])
+    names = [(x[0], x[8]) for x in files.bam(pool)]
+    assert names == [(f"{s}_{i}", s) for s in ("spa", "spb") for i in range(0, 260, 20)]
+    assert len(list(files.bam(str(tmp_path / "spa.bam")))) == 13 and len(list(files.bam(str(tmp_path / "spb.bam")))) == 13
+
+    (tmp_path / "bad.bam").write_bytes(b"no such thing")
+    (tmp_path / "list").write_text(f"{bam}\n{tmp_path}/bad.bam\n{tmp_path}/gone.bam\n")
+    capsys.readouterr()
+    cli.main(["stats", str(tmp_path / "list"), str(tmp_path / "stats")])
+    said = capsys.readouterr().out
+    assert "skipped bad:" in said and "skipped gone:" in said
+    got = spark.read.csv(str(tmp_path / "stats"), header=True).collect()
+    assert [(x.strain, float(x.mean_ipd), float(x.std_ipd), float(x.mean_pw)) for x in got] == [("one", 50.0, 0.0, 20.0)]
+    (tmp_path / "three").write_text(f"{tmp_path}/gone.bam\n{bam}\n{pool}\n")
+    cli.main(["dump", str(tmp_path / "three")])
+    lines = capsys.readouterr().out.strip().split("\n")
+    assert lines[0].split("\t") == ["READ_NAME", "SEQUENCE", "FI_TAG", "RI_TAG", "FP_TAG", "RP_TAG"] and len(lines) == 2
+    assert lines[1].split("\t") == ["x", genome, str([50] * len(genome)), "None", str([20] * len(genome)), "None"]
