@@ -159,7 +159,12 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, remainder: int = 1, pe
 
 
 def quality(docs: DataFrame, labels: DataFrame, mod: int = 3, remainder: int = 1) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+    """doc_id, held_out, score, predicted for every document; learns from rows that are not held out.
+
+    Null and empty texts are scored as one chunk of zero bytes; rows without an id are held
+    out; equal texts get equal scores; repeated rows each get a row.  Without labels, or with
+    one alone, the score is constant (0.5, or what that label is).  Other columns play no part.
+    """
     out = score(docs.select("doc_id", "text"), fit(docs, labels, mod, remainder))
     return out.select("doc_id", held_out("doc_id", mod, remainder).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -34,7 +34,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, mod: int, r
     """At most ``per_class`` distinct (text, label) pairs of each label, chosen by hash, from rows that are not held out.
 
     Only texts of at most ``max_chars`` serve to learn, so the sample's size on the
-    driver is bounded.  Repeated and contradictory label rows: the largest label counts.
+    driver is bounded.  Repeated and contradictory label rows: the largest label counts;
+    null ids, labels and texts teach nothing.  Equal texts of different ids count once.
     """
     y = labels.where(F.col(target).isin(0, 1) & ~held_out("doc_id", mod, remainder)).groupBy("doc_id").agg(F.max(target).alias("_y"))
     own = docs.select("doc_id", "text").where(~held_out("doc_id", mod, remainder) & (F.length("text") <= max_chars) & (F.length("text") > 0))

@@ -389,7 +389,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, mod: int = 5, remainder: int = 0, per_class: int = 2000, max_chars: int = 20_000) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document; learns from at most ``per_class`` texts of each label that are not held out."""
+    """doc_id, held_out, score, predicted for every document; learns from at most ``per_class`` texts of each label that are not held out.
+
+    Null and empty texts match nothing and get the link's value for that; rows without an id
+    are held out; equal texts get equal scores; repeated rows each get a row.  Without labels
+    of both kinds the fixed lexicon decides.  Other columns play no part.
+    """
     model = train(labelled_sample(docs, labels, "toxic", mod, remainder, per_class, max_chars))
     out = score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out("doc_id", mod, remainder).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
