@@ -54,6 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each on the written result of the one before.
+
+    Null and empty texts are scored by the classifier as they are; the rules reject them.
+    Rows without an id are judged by their texts; of repeated rows one stays; an empty table
+    gives an empty result; further columns of any name reach the last stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
