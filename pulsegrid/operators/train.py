@@ -10,16 +10,16 @@ from pyspark.sql.window import Window
 
 from pulsegrid.functions.kmer import CENTER, K, kmer_codes, scan
 from pulsegrid.operators.motifs import Motif
-from pulsegrid.shared import lookup, unused, written
+from pulsegrid.shared import lookup, small_batches, unused, written
 
 MOMENTS = ["n", "sum_ipd", "sum_ipd2", "sum_pw", "sum_pw2"]
 SPACE = 4**K
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def usable(reads: DataFrame) -> DataFrame:
     """Reads with a sequence of 11 bases or more and both signals (a read without widths is dropped, not an error)."""
-    return reads.where(F.col("seq").isNotNull() & (F.length("seq") >= K) & F.col("fi").isNotNull() & F.col("fp").isNotNull())
+    return small_batches(reads).where(F.col("seq").isNotNull() & (F.length("seq") >= K) & F.col("fi").isNotNull() & F.col("fp").isNotNull())
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +108,7 @@ def kmers(reads: DataFrame) -> DataFrame:
             found, n = np.unique(codes[inside], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], names=["kmer", "n"])
 
-    part = reads.where(F.length("seq") >= K).select("seq").mapInArrow(run, "kmer int, n bigint")
+    part = small_batches(reads).where(F.length("seq") >= K).select("seq").mapInArrow(run, "kmer int, n bigint")
     return part.groupBy("kmer").agg(F.sum("n").alias("n"))
 
 
@@ -132,7 +132,7 @@ def samples(reads: DataFrame, motifs: list[Motif], keep: list[str] | None = None
 
 def marks(sequences: DataFrame, motifs: list[Motif], keep: list[str], seq: str = "seq") -> DataFrame:
     """(keep, pos, meth_id) of every marked base."""
-    src = sequences.where(F.col(seq).isNotNull()).select(*keep, F.col(seq).alias("_seq"))
+    src = small_batches(sequences).where(F.col(seq).isNotNull()).select(*keep, F.col(seq).alias("_seq"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema if f.name in keep)
 
     def run(batches):
@@ -167,8 +167,8 @@ def cap(rows: DataFrame, limit: int, order: Column, keys: tuple[str, ...] = ("km
         return rows
     bits, level, least, rank = (unused(x, rows.columns) for x in ("bits", "level", "least", "rank"))
     # the leading zeros of the first 32 bits: a row of a higher level is lower in order
-    ranked = rows.withColumn(bits, F.conv(F.substring(order, 1, 8), 16, 10).cast("long")).withColumn(level, 32 - F.length(F.bin(bits))).drop(bits)
-    seen = _same(ranked, full, keys, "left_semi").groupBy(*keys, level).agg(F.count("*").alias(rank))
+    ranked = _same(rows, full, keys, "left_semi").withColumn(bits, F.conv(F.substring(order, 1, 8), 16, 10).cast("long")).withColumn(level, 32 - F.length(F.bin(bits))).drop(bits)
+    seen = ranked.groupBy(*keys, level).agg(F.count("*").alias(rank))
     down = Window.partitionBy(*keys).orderBy(F.desc(level)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     enough = seen.withColumn(rank, F.sum(rank).over(down)).where(F.col(rank) >= limit).groupBy(*keys).agg(F.max(level).alias(least))
     hot = _same(ranked, written(enough, "enough"), keys, "inner").where(F.col(level) >= F.col(least)).drop(level, least)

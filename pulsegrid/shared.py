@@ -101,6 +101,17 @@ def unused(name: str, taken: Iterable[str]) -> str:
     return next(c for c in itertools.chain([name], (f"{name}{i}" for i in itertools.count())) if c.lower() not in have)
 
 
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session now hands rows to Python in batches of 16 MB at most, unless it sets a bound itself: kernels over long reads take many times a batch's size."""
+    conf = df.sparkSession.conf
+    if _BYTES not in conf.getAll:
+        conf.set(_BYTES, "16m")
+    return df
+
+
 def lookup(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast only if its counted rows are few."""
     return F.broadcast(df) if df.count() <= LOOKUP_ROWS else df

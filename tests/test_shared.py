@@ -49,3 +49,16 @@ def test_names_and_numbers(spark):
     in_order = [(x.id, x.part) for x in sorted(got, key=lambda x: x.place)]
     assert in_order == sorted(in_order, key=lambda x: (x[0] is not None, -(x[0] or 0), x[1]))
     assert shared.numbered(df.limit(0), "place", F.col("id")).count() == 0
+
+
+def test_batches_are_bounded_by_bytes_unless_the_session_says_so(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        spark.conf.unset(key)
+        shared.small_batches(spark.range(1))
+        assert spark.conf.get(key) == "16m"
+        spark.conf.set(key, "3m")
+        shared.small_batches(spark.range(1))
+        assert spark.conf.get(key) == "3m"
+    finally:
+        spark.conf.unset(key)
