@@ -35,7 +35,10 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     seq = F.regexp_replace(F.translate(F.lower(F.coalesce("text", F.lit(""))), _LETTERS, _BASES), "[^ACGT]", "")
     d = d.select("doc_id", F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("read_name"), seq.alias("seq"), F.col("lang").alias("species"), F.col("source").alias("strain"))
-    signal = lambda a, b, c, m: F.expr(f"transform(slice(sequence(0, length(seq)), 1, cast(greatest(length(seq) - doc_id % {m}, 0) as int)), i -> cast((doc_id * {a} + i * {b} + {c}) % 256 as int))")
+    # (doc_id * a + i * b + c) % 256 for each i: a sequence with step b, of which eight bits stay
+    signal = lambda a, b, c, m: F.expr(
+        f"if(length(seq) > doc_id % {m}, transform(sequence(cast((doc_id * {a} + {c}) % 256 as int), cast((doc_id * {a} + {c}) % 256 + (length(seq) - doc_id % {m} - 1) * {b} as int), {b}), x -> x & 255), cast(array() as array<int>))"
+    )
     return d.withColumn("fi", signal(31, 17, 7, 3)).withColumn("fp", signal(13, 29, 3, 2)).withColumn("ri", signal(7, 5, 1, 4)).withColumn("rp", signal(11, 3, 2, 5))
 
 
