@@ -273,8 +273,7 @@ def sample_cap_extract(spark, sf):
 
 @query(f"WITH {_W}, {_S}, parts AS ({_capped(_EXTRACT, 's', ', strain')}) {_capped(_MERGE, 'parts')}")
 def sample_cap_merge(spark, sf):
-    per = train.samples(X.reads(spark, sf), COMPILED, ["doc_id", "strain"])
-    return train.cap(train.cap(per, _EXTRACT, _order(), ("kmer", "meth_id", "strain")).drop("strain"), _MERGE, _order())
+    return train.capped_samples(X.packed(spark, sf), COMPILED, "doc_id", "strain", _EXTRACT, _MERGE)
 
 
 @query(f"WITH {_W}, {_S}, c AS ({_capped(_EXTRACT, 's')}) SELECT CAST(count(*) AS BIGINT) AS contexts, CAST(sum(n) AS BIGINT) AS samples FROM (SELECT kmer, meth_id, count(*) AS n FROM c GROUP BY kmer, meth_id)")
