@@ -268,7 +268,7 @@ _S = "s AS (SELECT doc_id, CAST(i AS INTEGER) AS pos, kmer, meth_id, CAST(ipd AS
 
 @query(f"WITH {_W}, {_S} {_capped(_EXTRACT, 's')}")
 def sample_cap_extract(spark, sf):
-    return train.cap(_windows(spark, sf), _EXTRACT, _order())
+    return train.capped_samples(X.packed(spark, sf), COMPILED, "doc_id", None, _EXTRACT, _EXTRACT)
 
 
 @query(f"WITH {_W}, {_S}, parts AS ({_capped(_EXTRACT, 's', ', strain')}) {_capped(_MERGE, 'parts')}")
