@@ -19,18 +19,31 @@ U64 = np.uint64
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = x + U64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    t = x >> U64(30)
+    for factor, shift in ((0xBF58476D1CE4E5B9, 27), (0x94D049BB133111EB, 31)):  # in place: arrays that stay in a processor's cache
+        x ^= t
+        x *= U64(factor)
+        t = np.right_shift(x, U64(shift), out=t) if x.ndim else x >> U64(shift)
+    return x ^ t
 
 
 def noises(keys: np.ndarray, n: int, seed: int) -> np.ndarray:
     """n normal numbers (single precision) for each key that depend on key and seed alone; a pair of uniform ones gives two."""
     base = mix(keys.astype(U64) ^ mix(np.array([seed], U64)))[:, None] + np.arange((n + 1) // 2, dtype=U64)[None, :]
     x = mix(base)
-    r = np.sqrt(np.float32(-2) * np.log(((x >> U64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)))
-    turn = (x & U64(0xFFFFFF)).astype(np.float32) * np.float32(2 * np.pi * 2**-24)
-    return np.concatenate((r * np.cos(turn), r * np.sin(turn)), 1)[:, :n]
+    r = (x >> U64(40)).astype(np.uint32).astype(np.float32)
+    r += np.float32(0.5)
+    r *= np.float32(2**-24)
+    np.log(r, out=r)
+    r *= np.float32(-2)
+    np.sqrt(r, out=r)
+    turn = (x.astype(np.uint32) & np.uint32(0xFFFFFF)).astype(np.float32)
+    turn *= np.float32(2 * np.pi * 2**-24)
+    half = r.shape[1]
+    out = np.empty((len(r), 2 * half), np.float32)
+    np.multiply(r, np.cos(turn), out=out[:, :half])
+    np.multiply(r, np.sin(turn, out=turn), out=out[:, half:])
+    return out[:, :n]
 
 
 class Embedding:
@@ -57,6 +70,17 @@ class Embedding:
             out[~known] = (0.02 * noises(own, self.dim, self.seed))[inverse]
         return out
 
+    def single(self, kmers: np.ndarray) -> np.ndarray:
+        """The same rows in single precision, made anew for each unseen k-mer of ``kmers``."""
+        at, known = self.index(kmers)
+        if known.all() and len(kmers):
+            return self.rows.take(at, 0).astype(np.float32)
+        out = noises(kmers, self.dim, self.seed)
+        out *= np.float32(0.02)
+        if known.any():
+            out[known] = self.rows[at[known]]
+        return out
+
 
 @dataclass
 class Net:
@@ -101,21 +125,38 @@ class Net:
             h = act
         return h @ self.p["w2"] + self.p["b2"], (tape, h, kmers, meths, masks)
 
-    def heads(self, kmers: np.ndarray, meths: np.ndarray) -> np.ndarray:
-        """What k-mer and methylation add to the first layer, bias included, whatever its other input."""
-        n = len(self.p["w0"]) - self.embed.dim - METH_DIM
-        return self.embed(kmers) @ self.p["w0"][n : n + self.embed.dim] + self.p["meth"][meths] @ self.p["w0"][n + self.embed.dim :] + self.p["b0"]
-
-    def infer(self, x: np.ndarray, heads: np.ndarray) -> np.ndarray:
-        """The output without dropout, in single precision, for rows whose ``heads`` are known."""
-        w = {k: v.astype(np.float32) for k, v in self.p.items()}
-        z = x.astype(np.float32) @ w["w0"][: x.shape[1]] + heads.astype(np.float32)
+    def ready(self) -> dict[str, np.ndarray]:
+        """Weights for ``infer`` in single precision. What a layer adds to all its outputs alike, its norm takes away: it is taken from the weights."""
+        n = len(self.p["w0"]) - METH_DIM
+        flat = lambda x: x - x.mean(1, keepdims=True)
+        w = {"w0": flat(self.p["w0"][:n]), "meth": flat(self.p["meth"] @ self.p["w0"][n:] + self.p["b0"]), "w1": flat(self.p["w1"]), "b1": flat(self.p["b1"][None])[0]}
+        return {k: v.astype(np.float32) for k, v in (self.p | w).items()}
+
+    def infer(self, x: np.ndarray, kmers: np.ndarray, meths: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+        """The output without dropout, in single precision, of the weights of ``ready``.
+
+        A norm divides each row by one number, which the steps behind it that add nothing
+        let through: it is multiplied in where something is added, or at the end.
+        """
+        n, eps = len(w["w0"]) - self.embed.dim, np.float32(1e-5)
+        z = self.embed.single(kmers) @ w["w0"][n:]
+        z += x @ w["w0"][:n]
+        z += w["meth"].take(meths, 0)
+        t, scale = np.empty_like(z), np.ones((len(z), 1), np.float32)
         for k in range(2):
-            z -= z.mean(1, keepdims=True)
-            z /= np.sqrt((z * z).mean(1, keepdims=True) + np.float32(1e-5))
-            z = z * w[f"g{k}"] + w[f"h{k}"]
-            z = np.maximum(z, np.float32(0.2) * z) @ w[f"w{k + 1}"] + w[f"b{k + 1}"]
-        return z
+            square = np.einsum("ij,ij->i", z, z)[:, None] / np.float32(z.shape[1])
+            scale = scale / np.sqrt(square * scale * scale + eps)
+            if (w[f"g{k}"] != 1).any():
+                z *= w[f"g{k}"]
+            if w[f"h{k}"].any():
+                z, scale = z * scale + w[f"h{k}"], np.ones_like(scale)
+            np.multiply(z, np.float32(0.2), out=t)
+            np.maximum(z, t, out=z)
+            if k == 0:
+                z, t = np.matmul(z, w["w1"], out=t), z
+                if w["b1"].any():
+                    z, scale = z * scale + w["b1"], np.ones_like(scale)
+        return (z @ w["w2"]) * scale + w["b2"]
 
     def backward(self, grad: np.ndarray, saved) -> tuple[np.ndarray, dict]:
         """Gradient to the first input and to all parameters (``kmer``: rows of the embedding)."""

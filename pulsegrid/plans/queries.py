@@ -29,10 +29,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _windows(spark, sf):
-    return train.samples(X.reads(spark, sf), COMPILED, ["doc_id"])
-
-
 def _table(spark, sf):
     return train.moments(X.packed(spark, sf), COMPILED)
 
@@ -548,7 +544,7 @@ def gan_generate(spark, sf):
     """Signals of all reads from a generator with seeded weights (a trained one is loaded from its checkpoint)."""
     from pulsegrid.gan import infer, model
 
-    return infer.generate(train.samples(X.reads(spark, sf), COMPILED, ["doc_id"]).select("doc_id", "pos", "kmer", "meth_id"), model.new_generator(seed=1))
+    return infer.generate_samples(X.packed(spark, sf), COMPILED, ["doc_id"], model.new_generator(seed=1))
 
 
 __all__ = ["QUERIES", "SQL"]
